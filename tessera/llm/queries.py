@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, mixing, sharding, simhash
+from tessera.llm import bpe, langid, mixing, quality, sharding, simhash
 
 N_SHARDS = 8
 
@@ -32,6 +32,11 @@ def op5_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op6_ppm_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.train(docs)).withColumnRenamed("id", "doc_id")
+
+
 def op8_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), byte_bpe_path()).withColumnRenamed("id", "doc_id")
 
@@ -41,7 +46,12 @@ def op9_hash_threshold_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_neardup, op5_hypergeometric_shards, op8_bpe_automaton, op9_hash_threshold_mix)}
+def op10_isolation_forest_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return out.withColumnRenamed("id", "doc_id").withColumnRenamed("score", "anomaly_score")
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash_neardup, op5_hypergeometric_shards, op6_ppm_language_id, op8_bpe_automaton, op9_hash_threshold_mix, op10_isolation_forest_quality)}
 
 #: Targets by the water level of sources ordered by cap / weight; thresholds by a running sum in hash order.
 MIX_SQL = """

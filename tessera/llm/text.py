@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: A word is a run of characters that are none of space, tab, line feed, vertical tab, form feed and carriage return.
@@ -18,3 +21,16 @@ def n_words(text: Column) -> Column:
 def free_name(taken: list[str], stem: str) -> str:
     """A column name that none of ``taken`` clashes with, whatever the case."""
     return stem if stem.lower() not in {c.lower() for c in taken} else f"{stem}_{uuid.uuid4().hex[:12]}"
+
+
+def where_arrow(df: DataFrame, columns: list[str], make: Callable[[], Callable[..., np.ndarray]]) -> DataFrame:
+    """Rows of ``df`` that a vectorised test keeps: ``make()`` is called once a task and returns a function from the Arrow
+    arrays of ``columns`` to booleans. All columns pass through as they are."""
+    at = [df.columns.index(c) for c in columns]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        test = make()
+        for b in batches:
+            yield b.filter(pa.array(test(*[b.column(i) for i in at]), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
