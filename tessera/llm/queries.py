@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, langid, mixing, quality, sharding, simhash
+from tessera.llm import bpe, langid, mixing, neardup_vectors, quality, sharding, simhash
 
 N_SHARDS = 8
 
@@ -25,6 +25,11 @@ def op1_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op4_spherical_kmeans_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = neardup_vectors.near_duplicate_vectors(_table(spark, sf_dir, "embeddings"))
+    return out.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), "kept")
+
+
 def op5_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     rows = docs.select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"))
@@ -51,7 +56,7 @@ def op10_isolation_forest_quality(spark: SparkSession, sf_dir: str) -> DataFrame
     return out.withColumnRenamed("id", "doc_id").withColumnRenamed("score", "anomaly_score")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_neardup, op5_hypergeometric_shards, op6_ppm_language_id, op8_bpe_automaton, op9_hash_threshold_mix, op10_isolation_forest_quality)}
+QUERIES = {f.__name__: f for f in (op1_simhash_neardup, op4_spherical_kmeans_neardup, op5_hypergeometric_shards, op6_ppm_language_id, op8_bpe_automaton, op9_hash_threshold_mix, op10_isolation_forest_quality)}
 
 #: Targets by the water level of sources ordered by cap / weight; thresholds by a running sum in hash order.
 MIX_SQL = """
@@ -82,4 +87,22 @@ SELECT doc_id, size, source_size, target, CAST(size * (reps + CASE WHEN run <= t
 FROM runs
 """
 
-ORACLE = {"op9_hash_threshold_mix": MIX_SQL}
+VECTORS_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+u AS (
+  SELECT vec_id, label, e FROM v
+  WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(e, lambda x: x <> 0)) > 0),
+l AS (
+  SELECT a.vec_id AS s, b.vec_id AS d FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+reach(node, seen) AS (
+  SELECT vec_id, vec_id FROM embeddings UNION SELECT r.node, l.d FROM reach r JOIN l ON r.seen = l.s),
+comp AS (SELECT node, min(seen) AS component_id FROM reach GROUP BY node),
+deg AS (SELECT s, count(*) AS n FROM l GROUP BY s)
+SELECT e.vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, e.vec_id = component_id AS kept
+FROM embeddings e JOIN comp ON e.vec_id = node LEFT JOIN deg ON e.vec_id = s
+"""
+
+ORACLE = {"op4_spherical_kmeans_neardup": VECTORS_SQL, "op9_hash_threshold_mix": MIX_SQL}
