@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, langid, mixing, neardup_vectors, quality, sharding, simhash
+from tessera.llm import bpe, chat, langid, lmscore, mixing, neardup_vectors, quality, sharding, simhash, warc
 
 N_SHARDS = 8
 
@@ -25,6 +25,17 @@ def op1_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op2_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lmscore.stupid_backoff(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def op3_transcript_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Roles of four fifths of the conversations teach the model; all are parsed."""
+    raw = chat.raw_transcripts(_table(spark, sf_dir, "conversations"))
+    model = chat.fit(chat.lines_of(raw.where(F.crc32(F.col("conv_id").cast("string").cast("binary")) % 5 != 0), role_col="role"))
+    return chat.parse(raw, model)
+
+
 def op4_spherical_kmeans_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = neardup_vectors.near_duplicate_vectors(_table(spark, sf_dir, "embeddings"))
     return out.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), "kept")
@@ -42,6 +53,11 @@ def op6_ppm_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.train(docs)).withColumnRenamed("id", "doc_id")
 
 
+def op7_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = warc.derive(warc.responses(_table(spark, sf_dir, "pages")))
+    return out.select(F.col("id").alias("page_id"), "record_type", "record_id", "refers_to", "target_uri", "block_digest", "payload_digest", "source_digest", F.octet_length("block").cast("long").alias("n_bytes"), F.sha2("block", 256).alias("block_sha256"))
+
+
 def op8_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), byte_bpe_path()).withColumnRenamed("id", "doc_id")
 
@@ -56,7 +72,7 @@ def op10_isolation_forest_quality(spark: SparkSession, sf_dir: str) -> DataFrame
     return out.withColumnRenamed("id", "doc_id").withColumnRenamed("score", "anomaly_score")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_neardup, op4_spherical_kmeans_neardup, op5_hypergeometric_shards, op6_ppm_language_id, op8_bpe_automaton, op9_hash_threshold_mix, op10_isolation_forest_quality)}
+QUERIES = {f.__name__: f for f in (op1_simhash_neardup, op2_stupid_backoff, op3_transcript_hmm, op4_spherical_kmeans_neardup, op5_hypergeometric_shards, op6_ppm_language_id, op7_warc_derivatives, op8_bpe_automaton, op9_hash_threshold_mix, op10_isolation_forest_quality)}
 
 #: Targets by the water level of sources ordered by cap / weight; thresholds by a running sum in hash order.
 MIX_SQL = """
