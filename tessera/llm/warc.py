@@ -47,7 +47,7 @@ def plain_text(page: str) -> str:
 
 def metadata(page: str) -> dict:
     title = TITLE.search(page)
-    links = [html.unescape(next(x for x in m if x or x == m[2])) for m in LINK.findall(page)]
+    links = [html.unescape(a or b or c) for a, b, c in LINK.findall(page)]
     metas = [{k.lower(): html.unescape(a or b or c) for k, a, b, c in ATTRIBUTE.findall(m)} for m in META.findall(page)]
     return {"Title": " ".join(html.unescape(title[1]).split()) if title else None, "Metas": metas, "Links": links}
 
