@@ -14,6 +14,7 @@ from tessera.operators import metrics as mt
 from tessera.operators import panel as pn
 from tessera.plans import sql
 from tessera.sources import tables as tb
+from tessera.storage import materialize
 
 MODELS = ("naive", "mean3", "seasonal_naive", "snaive_growth", "ses", "level_season")
 QUERIES, ORACLE = {}, {}
@@ -33,25 +34,33 @@ def the_panel(spark: SparkSession, sf: str) -> DataFrame:
     return pn.panel(tb.monthly_sales(spark, sf))
 
 
+def stored_panel(spark: SparkSession, sf: str) -> DataFrame:
+    """The panel as a small Parquet table (a row a series and month): what reads it several times scans the facts once."""
+    return materialize(the_panel(spark, sf), "panel")
+
+
 def decomposed(spark: SparkSession, sf: str, require_full: bool = True) -> DataFrame:
-    return pn.decompose(the_panel(spark, sf), require_full)
+    return pn.decompose(stored_panel(spark, sf), require_full)
 
 
 def published(spark: SparkSession, sf: str) -> DataFrame:
-    return fc.national_log(tb.national_sales(spark, sf), DEFAULT.panel.start)
+    return materialize(fc.national_log(tb.national_sales(spark, sf), DEFAULT.panel.start), "published")
 
 
-def local_forecasts(spark: SparkSession, sf: str, models=MODELS) -> DataFrame:
-    return fc.forecast(fc.states(decomposed(spark, sf)), pn.grid(spark), models)
+def local_forecasts(spark: SparkSession, sf: str, models=MODELS, p: DataFrame | None = None) -> DataFrame:
+    d = pn.decompose(p) if p is not None else decomposed(spark, sf)
+    return fc.forecast(fc.states(d), pn.grid(spark), models)
 
 
-def national_average(spark: SparkSession, sf: str, cfg: NationalConfig = DEFAULT.national) -> DataFrame:
-    n, pub, grid = pn.national(the_panel(spark, sf)), published(spark, sf), pn.grid(spark)
+def national_average(spark: SparkSession, sf: str, cfg: NationalConfig = DEFAULT.national, p: DataFrame | None = None, pub: DataFrame | None = None) -> DataFrame:
+    n = pn.national(p if p is not None else stored_panel(spark, sf))
+    pub, grid = pub if pub is not None else published(spark, sf), pn.grid(spark)
     return fc.average(*[fc.national_forecast(n, pub, grid, m, cfg) for m in ("snaive_own", "snaive_nat", "nat_profile_g")])
 
 
 def forecasts(spark: SparkSession, sf: str, models=MODELS) -> DataFrame:
-    return fc.with_actuals(fc.compose(local_forecasts(spark, sf, models), national_average(spark, sf)), the_panel(spark, sf))
+    p = stored_panel(spark, sf)
+    return fc.with_actuals(fc.compose(local_forecasts(spark, sf, models, p), national_average(spark, sf, p=p)), p)
 
 
 @query("WITH " + sql.PANEL + " SELECT territory_id, category, cat_idx, t, CAST(month AS VARCHAR) AS month, y, round(ly, 6) + 0.0 AS ly, is_full FROM panel")
@@ -120,8 +129,9 @@ def national_avg3(spark: SparkSession, sf: str) -> DataFrame:
 )
 def national_vintage_lags(spark: SparkSession, sf: str) -> DataFrame:
     """How much later publication costs: error of the national average for lags 0, 1 and 2."""
-    n = pn.national(the_panel(spark, sf)).select("category", "t", "n")
-    parts = [national_average(spark, sf, NationalConfig(lag=lag)).join(n, ["category", "t"]).withColumn("lag", F.lit(lag)) for lag in (0, 1, 2)]
+    p, pub = stored_panel(spark, sf), published(spark, sf)
+    n = pn.national(p).select("category", "t", "n")
+    parts = [national_average(spark, sf, NationalConfig(lag=lag), p, pub).join(n, ["category", "t"]).withColumn("lag", F.lit(lag)) for lag in (0, 1, 2)]
     rows = reduce(DataFrame.unionByName, parts)
     return rows.groupBy("lag", "h").agg(r6(F.avg(F.abs(F.col("nhat") - F.col("n")))).alias("mae_log"), F.count("nhat").alias("n"))
 
