@@ -239,10 +239,10 @@ def parts_to_total(spark: SparkSession, sf: str) -> DataFrame:
     return s.groupBy("territory_id").agg(median("r").alias("r")).agg(F.round(median("r"), 6).alias("median_ratio"), F.count("*").alias("n"))
 
 
-@query("WITH " + sql.PANEL + ", g AS (SELECT category, territory_id, avg(ly) FILTER (WHERE t >= 12) - avg(ly) FILTER (WHERE t < 12) AS g FROM panel WHERE is_full GROUP BY category, territory_id) SELECT category, round(100 * (exp(avg(g)) - 1), 6) + 0.0 AS growth_pct FROM g GROUP BY category")
+@query("WITH " + sql.PANEL + ", g AS (SELECT category, territory_id, avg(ly) FILTER (WHERE t >= 12) - avg(ly) FILTER (WHERE t < 12) AS g FROM panel WHERE is_full GROUP BY category, territory_id) SELECT category, round(100 * (exp(avg(g)) - 1), 4) + 0.0 AS growth_pct FROM g GROUP BY category")
 def mean_growth(spark: SparkSession, sf: str) -> DataFrame:
     g = the_panel(spark, sf).where("is_full").groupBy("category", "territory_id").agg((F.avg(F.when(F.col("t") >= 12, F.col("ly"))) - F.avg(F.when(F.col("t") < 12, F.col("ly")))).alias("g"))
-    return g.groupBy("category").agg(r6(100 * (F.exp(F.avg("g")) - 1)).alias("growth_pct"))
+    return g.groupBy("category").agg((F.round(100 * (F.exp(F.avg("g")) - 1), 4) + 0.0).alias("growth_pct"))
 
 
 @query(
@@ -251,7 +251,7 @@ last AS (SELECT category, max(n) FILTER (WHERE t = 23) - max(n) FILTER (WHERE t
 f AS (SELECT n.category, n.t + 12 AS t, n.n + 0.5 * l.g AS nhat FROM nat n JOIN last l USING (category) WHERE n.t BETWEEN 12 AND 23),
 e AS (SELECT f.category, avg(f.nhat) - avg(n.n) AS fg, avg(p1.l) - avg(p0.l) AS ag FROM f JOIN nat n ON n.category = f.category AND n.t = f.t - 12
   JOIN pub p1 ON p1.category = f.category AND p1.t = f.t JOIN pub p0 ON p0.category = f.category AND p0.t = f.t - 12 GROUP BY f.category)
-SELECT category, round(100 * (exp(fg) - 1), 6) + 0.0 AS forecast_growth_pct, round(100 * (exp(ag) - 1), 6) + 0.0 AS published_growth_pct FROM e"""
+SELECT category, round(100 * (exp(fg) - 1), 4) + 0.0 AS forecast_growth_pct, round(100 * (exp(ag) - 1), 4) + 0.0 AS published_growth_pct FROM e"""
 )
 def external_check(spark: SparkSession, sf: str) -> DataFrame:
     """The year after the panel: national growth forecast at the last month against what the published series show."""
@@ -261,7 +261,7 @@ def external_check(spark: SparkSession, sf: str) -> DataFrame:
     pub = published(spark, sf)
     before = pub.select("category", (F.col("t") + 12).alias("t"), F.col("l").alias("l0"))
     e = f.join(pub, ["category", "t"]).join(before, ["category", "t"]).groupBy("category").agg((F.avg("nhat") - F.avg("n0")).alias("fg"), (F.avg("l") - F.avg("l0")).alias("ag"))
-    return e.select("category", r6(100 * (F.exp("fg") - 1)).alias("forecast_growth_pct"), r6(100 * (F.exp("ag") - 1)).alias("published_growth_pct"))
+    return e.select("category", (F.round(100 * (F.exp("fg") - 1), 4) + 0.0).alias("forecast_growth_pct"), (F.round(100 * (F.exp("ag") - 1), 4) + 0.0).alias("published_growth_pct"))
 
 
 @query(sql.FORECASTS + " SELECT h, territory_id, t, round(avg(ea - eb), 6) + 0.0 AS diff FROM (SELECT h, territory_id, category, o, t, max(abs(y - yhat)) FILTER (WHERE model = 'level_season') AS ea, max(abs(y - yhat)) FILTER (WHERE model = 'naive') AS eb FROM fc WHERE y IS NOT NULL AND yhat IS NOT NULL GROUP BY ALL) WHERE ea IS NOT NULL AND eb IS NOT NULL GROUP BY h, territory_id, t")
