@@ -13,12 +13,14 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.text import slices
+
 #: Pre-split of byte-level BPE (fixed value of the public vocabulary's format).
 PRE_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters with the White_Space property, as a class's inside (fixed values).
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Words whose ids a task remembers, and the longest such word in characters. Others are encoded anew each time.
-REMEMBERED, REMEMBERED_CHARS = 500_000, 64
+REMEMBERED, REMEMBERED_CHARS = 250_000, 64
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -185,12 +187,10 @@ def tokens(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(shared.value)
-        for b in batches:
-            for at in range(0, b.num_rows, 256):
-                some = b.slice(at, 256)
-                ids = [np.frombuffer(encoder.ids(x or ""), "<u4") for x in some.column(1).to_pylist()]
-                text = [encoder.decode(x.tolist()) for x in ids]
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32())), pa.array(text, pa.string())], names=["id", "ids", "decoded"])
+        for b in slices(batches, 128):
+            ids = [np.frombuffer(encoder.ids(x or ""), "<u4") for x in b.column(1).to_pylist()]
+            text = [encoder.decode(x.tolist()) for x in ids]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32())), pa.array(text, pa.string())], names=["id", "ids", "decoded"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, f"id {kind}, ids array<int>, decoded string")
@@ -204,7 +204,7 @@ def digests(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(shared.value)
         sha = lambda x: hashlib.sha256(x).hexdigest()
-        for b in batches:
+        for b in slices(batches):
             rows = []
             for x in b.column(1).to_pylist():
                 ids = encoder.ids(x or "")

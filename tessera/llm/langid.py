@@ -9,6 +9,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from tessera.llm.text import slices, where_arrow
 
 UNKNOWN = "und"
 #: Longest context in bytes. A text is coded as if this many line feeds came before it.
@@ -18,7 +21,7 @@ SAMPLE_DOCS, MOST_PAIRS = 2_000, 200_000
 #: Code lengths are kept in units of 2**-20 bits: sums are exact in any order.
 UNIT = float(1 << 20)
 #: Bytes coded at once; slots of the table of costs that a task fills as it meets (context, byte) pairs.
-WINDOW, SLOTS = 1 << 20, 1 << 20
+WINDOW, SLOTS = 1 << 18, 1 << 20
 
 
 def remainder(id_: Column) -> Column:
@@ -57,8 +60,6 @@ def pair_counts(docs: DataFrame, *, id_col: str, text_col: str, lang_col: str, o
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g), pa.string()), pa.array(g.view(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
 
     sums = drawn.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    from pyspark.sql.window import Window
-
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     return sums.withColumn("r", rank).where(F.col("r") <= most).drop("r")
 
@@ -186,13 +187,12 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
 
     The sample is bounded by ``sample_docs`` documents a language; its counts, at most ``most`` a language, come to the driver.
     """
-    got = pair_counts(docs, id_col=id_col, text_col=text_col, lang_col=lang_col, order=order, sample_docs=sample_docs, most=most).toPandas()
-    langs = sorted(got["lang"].unique())
-    trees = []
-    for lang in langs:
-        own = got[got["lang"] == lang].sort_values("gram")
-        trees.append(context_tree(own["gram"].to_numpy(np.int64).view(np.uint64), own["n"].to_numpy(np.float64), order))
-    return Model(langs, trees, order)
+    counts = pair_counts(docs, id_col=id_col, text_col=text_col, lang_col=lang_col, order=order, sample_docs=sample_docs, most=most)
+    got = counts.groupBy("lang").agg(F.collect_list("gram").alias("gram"), F.collect_list("n").alias("n")).toArrow()
+    langs = got["lang"].to_pylist()
+    trees = [context_tree(got["gram"][i].values.to_numpy().view(np.uint64), got["n"][i].values.to_numpy(), order) for i in range(len(langs))]
+    ranked = sorted(range(len(langs)), key=langs.__getitem__)
+    return Model([langs[i] for i in ranked], [trees[i] for i in ranked], order)
 
 
 def _shared(docs: DataFrame, model: Model):
@@ -211,7 +211,7 @@ def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         predict = make()
-        for b in batches:
+        for b in slices(batches):
             lang, score = predict(b.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lang, pa.string()), pa.array(score)], names=["id", "held_out", "lang_pred", "score"])
 
@@ -222,8 +222,6 @@ def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
 
 def keep_known(docs: DataFrame, model: Model, *, text_col: str = "text", least: float = 0.5) -> DataFrame:
     """``docs`` without documents in no known language: those that are ``und`` or whose score is below ``least``."""
-    from tessera.llm.text import where_arrow
-
     make = _shared(docs, model)
 
     def tests():

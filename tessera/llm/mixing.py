@@ -13,8 +13,8 @@ from tessera.storage import materialize
 
 #: Sources by code point, null last, get these weights in turn.
 WEIGHTS, MOST_REPEATS = (5, 2, 1), 3
-#: Bits of the hash, and of one histogram level. Two levels of 2**14 buckets narrow a threshold to 2**-28 of a source.
-HASH_BITS, LEVEL_BITS = 60, 14
+#: Bits of the hash, and of one histogram level. Two levels of 2**10 buckets narrow a threshold to 2**-20 of a source.
+HASH_BITS, LEVEL_BITS = 60, 10
 #: Source tables of at most this many rows are broadcast; larger ones are joined by shuffle.
 SMALL = 10_000
 
@@ -48,7 +48,7 @@ def thresholds(sized: DataFrame, weights: Sequence[float] = WEIGHTS, most: float
     ``repeats`` times, and once more if its ``h`` is below ``bound``.
 
     Sizes are summed by source and hash bucket (combined before the shuffle); the bucket in which the running sum
-    crosses the budget is the only one that is refined, by the next bits of its documents; what is left, 2**-28 of a
+    crosses the budget is the only one that is refined, by the next bits of its documents; what is left, 2**-20 of a
     source, is resolved by single hash values. Documents with the same hash are taken together. Nothing is sorted but buckets.
     """
     top, mid = HASH_BITS - LEVEL_BITS, HASH_BITS - 2 * LEVEL_BITS

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from tessera.llm.text import where_arrow
+from tessera.llm.text import slices, where_arrow
 from tessera.storage import materialize
 
 SYMBOLS, SPACES = "#*$%&|<>", " \t\n\v\f\r"
@@ -154,7 +154,7 @@ def measured(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     """``id``, the columns of ``BASE`` (long) and ``stats`` (array of double in the order of ``STATS``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             base, stats = all_statistics(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(base[:, i]) for i in range(len(BASE))], pa.array(list(stats), pa.list_(pa.float64()))], names=["id", *BASE, "stats"])
 
@@ -190,12 +190,16 @@ def labelled(rows: DataFrame, labels: DataFrame, label_col: str) -> DataFrame:
 def fit(rows: DataFrame, labels: DataFrame, *, label_col: str = "quality", sample_rows: int = SAMPLE_ROWS) -> tuple[Forest, float]:
     """Forest and threshold from measured rows.
 
-    Bounds of each statistic are quantiles over all labelled good rows. The forest is fitted on ``sample_rows`` labelled rows, the first by a hash of the id. The threshold is found on all
+    Bounds of each statistic are quantiles over all labelled good rows. The forest is fitted on ``sample_rows`` labelled rows, the first by a hash of the id
+    among about twice as many that the hash draws (so that tasks send few rows). The threshold is found on all
     labelled rows from a histogram of their scores: the one that separates good from bad best (largest difference of
     the shares above it) of those that lose at most ``GOOD_LOSS`` of the good rows. Without labels of both kinds it is infinite.
     """
     known = materialize(labelled(rows, labels, label_col).select("id", "good", "stats"), "labelled")
-    sample = known.orderBy(F.xxhash64(F.lit(SEED), "id"), "id").limit(sample_rows).select("stats").toPandas()["stats"]
+    u = F.xxhash64(F.lit(SEED), "id")
+    rate = min(1.0, 2.0 * sample_rows / max(1, known.count()))
+    drawn = known.where(u.bitwiseAND(F.lit((1 << 53) - 1)) < int(rate * (1 << 53)))
+    sample = drawn.orderBy(u, "id").limit(sample_rows).select("stats").toPandas()["stats"]
     sides = [F.percentile_approx(F.col("stats")[i], list(EDGES), ACCURACY).alias(c) for i, c in enumerate(STATS)]
     edges = known.where("good = 1").agg(*sides).first()
     if edges[0] is None:

@@ -23,6 +23,13 @@ def free_name(taken: list[str], stem: str) -> str:
     return stem if stem.lower() not in {c.lower() for c in taken} else f"{stem}_{uuid.uuid4().hex[:12]}"
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Batches in pieces: only a piece's texts are Python objects at a time."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def where_arrow(df: DataFrame, columns: list[str], make: Callable[[], Callable[..., np.ndarray]]) -> DataFrame:
     """Rows of ``df`` that a vectorised test keeps: ``make()`` is called once a task and returns a function from the Arrow
     arrays of ``columns`` to booleans. All columns pass through as they are."""
@@ -30,7 +37,7 @@ def where_arrow(df: DataFrame, columns: list[str], make: Callable[[], Callable[.
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         test = make()
-        for b in batches:
+        for b in slices(batches):
             yield b.filter(pa.array(test(*[b.column(i) for i in at]), pa.bool_()))
 
     return df.mapInArrow(run, df.schema)
