@@ -42,10 +42,9 @@ def op4_spherical_kmeans_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
-    rows = docs.select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"))
-    out = sharding.shard(rows, N_SHARDS)
-    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    out = sharding.shard(_table(spark, sf_dir, "documents"), N_SHARDS)
+    size, crc = (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long"), F.crc32(F.col("text").cast("binary"))
+    return out.select("doc_id", size.alias("size"), crc.alias("text_crc32"), F.lit("rows").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op6_ppm_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

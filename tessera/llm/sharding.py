@@ -14,7 +14,7 @@ from tessera.llm.text import free_name
 from tessera.storage import materialize
 
 #: Rows that one local permutation aims at, and the most source partitions and cells a shard (the bound of what is collected).
-ROWS, MOST = 250_000, 4096
+ROWS, MOST = 16_384, 4096
 
 
 def hypergeometric(rng: random.Random, good: int, bad: int, draws: int) -> int:

@@ -1,4 +1,5 @@
 import random
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -108,3 +109,15 @@ def test_mix_edges(odd):
     assert len(rows) == 12 and {r.size for r in rows if r.id in (3, 4, 5)} == {0}
     assert mixing.mixed(odd).columns == odd.columns
     assert mixing.mix(odd.limit(0)).count() == 0 and mixing.mixed(odd.limit(0)).count() == 0
+
+
+def test_sharding_query_deals_whole_documents(spark, sf, monkeypatch):
+    """The operator gets every column of the table; the digests are those of the rows that it returns."""
+    seen, shard = [], sharding.shard
+    monkeypatch.setattr(sharding, "shard", lambda df, n, **k: seen.append(df.columns) or shard(df, n, **k))
+    table = spark.read.parquet(f"{sf}/documents.parquet")
+    got = {r.doc_id: (r.size, r.text_crc32, r.shard, r.slot) for r in queries.op5_hypergeometric_shards(spark, sf).collect()}
+    assert seen == [table.columns]
+    held = {r.doc_id: (r.text, r.shard, r.slot) for r in shard(table, queries.N_SHARDS).collect()}
+    want = {i: (len((t or "").encode()) + 1, None if t is None else zlib.crc32(t.encode()), s, n) for i, (t, s, n) in held.items()}
+    assert got == want
