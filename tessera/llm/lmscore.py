@@ -44,15 +44,23 @@ def ngram_keys(words: np.ndarray, n: int) -> np.ndarray:
 
 
 def pack(x: np.ndarray) -> bytes:
-    """Sorted or small unsigned integers as compressed differences, by byte planes."""
-    d = np.diff(x, prepend=x.dtype.type(0))
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(d.view(np.uint8).reshape(-1, x.itemsize).T).tobytes())
+    """Sorted unsigned integers as compressed differences, by byte planes."""
+    return pack_small(np.diff(x, prepend=x.dtype.type(0)))
+
+
+def pack_small(d: np.ndarray) -> bytes:
+    """Mostly small unsigned integers in any order, compressed by byte planes."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(d.view(np.uint8).reshape(-1, d.itemsize).T).tobytes())
 
 
 def unpack(data: bytes, dtype: str) -> np.ndarray:
+    return np.cumsum(unpack_small(data, dtype), dtype=dtype)
+
+
+def unpack_small(data: bytes, dtype: str) -> np.ndarray:
     planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
     size = np.dtype(dtype).itemsize
-    return np.cumsum(np.ascontiguousarray(planes.reshape(size, -1).T).view(dtype).ravel(), dtype=dtype)
+    return np.ascontiguousarray(planes.reshape(size, -1).T).view(dtype).ravel()
 
 
 class Block:
@@ -80,7 +88,7 @@ def blocks_of(docs: DataFrame, *, id_col: str, text_col: str, block_bytes: int)
             h = np.fromiter(map(xxhash.xxh64_intdigest, seen), np.uint64, len(seen))
             words, rank = np.unique(h, return_inverse=True)
             tokens = rank[np.concatenate(codes)] if len(seen) else np.zeros(0, np.int64)
-            row = [pa.array([uuid.uuid4().int >> 65], pa.int64()), pa.array([ids], pa.list_(b.column(0).type)), pa.array([pack(np.array(sizes, np.uint32))], pa.binary()), pa.array([pack(words)], pa.binary())]
+            row = [pa.array([uuid.uuid4().int >> 65], pa.int64()), pa.array([ids], pa.list_(b.column(0).type)), pa.array([pack_small(np.array(sizes, np.uint32))], pa.binary()), pa.array([pack(words)], pa.binary())]
             planes = np.ascontiguousarray(tokens.astype(np.uint32).view(np.uint8).reshape(-1, 4).T).tobytes()
             row.append(pa.array([zstandard.ZstdCompressor(level=1).compress(planes)], pa.binary()))
             return pa.RecordBatch.from_arrays(row, names=["block", "ids", "sizes", "words", "tokens"])
@@ -105,7 +113,7 @@ def blocks_of(docs: DataFrame, *, id_col: str, text_col: str, block_bytes: int)
 def open_block(sizes: bytes, words: bytes, tokens: bytes) -> Block:
     planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(tokens), np.uint8)
     index = np.ascontiguousarray(planes.reshape(4, -1).T).view(np.uint32).ravel()
-    return Block(unpack(words, "<u8"), index, unpack(sizes, "<u4").astype(np.int64))
+    return Block(unpack(words, "<u8"), index, unpack_small(sizes, "<u4").astype(np.int64))
 
 
 def requests(blocks: DataFrame, order: int, buckets: int) -> DataFrame:
@@ -120,7 +128,7 @@ def requests(blocks: DataFrame, order: int, buckets: int) -> DataFrame:
                     keys, counts = np.unique(block.grams(n)[1], return_counts=True)
                     cut = np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
                     some = np.flatnonzero(np.diff(cut))
-                    rows = [(int(k), n, r["block"], pack(keys[cut[k] : cut[k + 1]]), pack(counts[cut[k] : cut[k + 1]].astype(np.uint32))) for k in some]
+                    rows = [(int(k), n, r["block"], pack(keys[cut[k] : cut[k + 1]]), pack_small(counts[cut[k] : cut[k + 1]].astype(np.uint32))) for k in some]
                     if rows:
                         cols = zip(*rows, strict=True)
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "n", "block", "keys", "counts"])
@@ -129,27 +137,28 @@ def requests(blocks: DataFrame, order: int, buckets: int) -> DataFrame:
 
 
 def answer(p: pd.DataFrame) -> pd.DataFrame:
-    """The count table of one bucket and n, joined to what the blocks ask: their keys' total counts, in the order of the keys."""
+    """The count table of one bucket and n, joined to what the blocks ask: how often other blocks have their keys, in the order of the keys."""
     keys = [unpack(k, "<u8") for k in p["keys"]]
     every, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-    total = np.bincount(inverse, np.concatenate([unpack(c, "<u4") for c in p["counts"]])).astype(np.uint64)
+    own = np.concatenate([unpack_small(c, "<u4") for c in p["counts"]]).astype(np.uint64)
+    others = np.bincount(inverse, own).astype(np.uint64)[inverse] - own
     ends = np.cumsum([len(k) for k in keys])
-    found = np.split(total[inverse], ends[:-1])
-    return pd.DataFrame({"block": p["block"].to_numpy(), "n": p["n"].to_numpy(), "bucket": p["bucket"].to_numpy(), "totals": [pack(x) for x in found]})
+    found = np.split(others, ends[:-1])
+    return pd.DataFrame({"block": p["block"].to_numpy(), "n": p["n"].to_numpy(), "bucket": p["bucket"].to_numpy(), "totals": [pack_small(x) for x in found]})
 
 
 def score_block(block: Block, ids: list, totals: dict[int, np.ndarray], words: int, order: int, alpha: float) -> tuple:
-    """Sums of log10 scores of a block's documents, under counts less their own."""
+    """Sums of log10 scores of a block's documents, under counts less their own; ``totals`` are the counts in other blocks."""
     doc = np.repeat(np.arange(len(block.sizes)), block.sizes)
     rest: list[np.ndarray] = []
     for n in range(1, order + 1):
         at, keys = block.grams(n)
-        every, inv = np.unique(keys, return_inverse=True)
+        every, inv, here = np.unique(keys, return_inverse=True, return_counts=True)
         own, back = np.unique(doc[at].astype(np.uint64) * np.uint64(max(1, len(every))) + inv.astype(np.uint64), return_inverse=True)
         mine = np.bincount(back, minlength=len(own))[back] if len(own) else np.zeros(0)
         count = np.zeros(len(doc))
         if len(at):
-            count[at] = totals[n][inv].astype(np.float64) - mine
+            count[at] = (totals[n].astype(np.float64) + here)[inv] - mine
         rest.append(count)
     others = np.maximum(1.0, float(words) - block.sizes[doc])
     score, level, open_ = np.zeros(len(doc)), np.zeros(len(doc)), np.ones(len(doc), bool)
@@ -192,7 +201,7 @@ def stupid_backoff(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     def score(b: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
         r = b.iloc[0]
         t = t.sort_values(["n", "bucket"])
-        totals = {int(n): np.concatenate([unpack(x, "<u8") for x in g["totals"]]) for n, g in t.groupby("n")}
+        totals = {int(n): np.concatenate([unpack_small(x, "<u8") for x in g["totals"]]) for n, g in t.groupby("n")}
         ids, n, sums, backed = score_block(open_block(r["sizes"], r["words"], r["tokens"]), list(r["ids"]), totals, words, order, alpha)
         return pd.DataFrame({"id": ids, "n_words": n, "log10_score": np.round(sums, 9) + 0.0, "backed_off": backed})
 
@@ -204,6 +213,6 @@ def _words(blocks: DataFrame) -> int:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([sum(int(unpack(x, "<u4").sum()) for x in b.column(0).to_pylist())], pa.int64())], names=["n"])
+            yield pa.RecordBatch.from_arrays([pa.array([sum(int(unpack_small(x, "<u4").sum()) for x in b.column(0).to_pylist())], pa.int64())], names=["n"])
 
     return blocks.select("sizes").mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tessera.llm import bpe, chat, langid, lmscore, mixing, neardup_vectors, quality, sharding, simhash, warc
 
 N_SHARDS = 8
+#: Longest n-gram of the language-model scores.
+ORDER = 3
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,7 +28,7 @@ def op1_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lmscore.stupid_backoff(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+    return lmscore.stupid_backoff(_table(spark, sf_dir, "documents"), order=ORDER).withColumnRenamed("id", "doc_id")
 
 
 def op3_transcript_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@ from collections import Counter
 
 import pytest
 
-from tessera.llm import lmscore
+from tessera.llm import lmscore, queries
 
 
 def brute(docs, order, alpha):
@@ -52,3 +52,11 @@ def test_edges(spark):
     assert [g for g in got if g[1] == 0] == want
     assert len(got) == 6
     assert lmscore.stupid_backoff(docs.limit(0)).count() == 0
+
+
+def test_query_scores_by_trigrams(spark, tmp_path):
+    """Words whose bigram is known and whose trigram is not are backed off, which a bigram model can't tell."""
+    rows = [(1, "a b c d"), (2, "x b c e"), (3, "a b c d"), (4, "y c d z"), (5, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_words, round(r.log10_score, 6), r.backed_off) for r in queries.op2_stupid_backoff(spark, str(tmp_path)).collect()}
+    assert got == brute(rows, 3, lmscore.ALPHA) and got != brute(rows, 2, lmscore.ALPHA)
