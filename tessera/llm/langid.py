@@ -22,6 +22,9 @@ SAMPLE_DOCS, MOST_PAIRS = 2_000, 200_000
 UNIT = float(1 << 20)
 #: Bytes coded at once; slots of the table of costs that a task fills as it meets (context, byte) pairs.
 WINDOW, SLOTS = 1 << 18, 1 << 20
+#: A text fits no learned language above so many times the code length a byte that all but a hundredth of the labelled
+#: training documents keep to, less so many bits of any text: short ones vary.
+TIMES, SLACK_BITS = 2.0, 64.0
 
 
 def remainder(id_: Column) -> Column:
@@ -165,19 +168,22 @@ class Model:
     def predictor(self):
         langs, coder = self.langs, Coder(self.trees, self.order) if self.langs else None
 
-        def predict(texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-            """Shortest code (ties: the first language) and its share of the probability of the text under equal priors."""
-            lang, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
+        def predict(texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+            """Shortest code (ties: the first language), its share of the probability of the text under equal priors, and its
+            bits a byte beyond ``SLACK_BITS``."""
+            lang, score, rate = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
             known = [i for i, t in enumerate(texts) if has_letter(t)] if coder else []
             for at in range(0, len(known), 512):
                 some = known[at : at + 512]
-                n = coder.lengths([_bytes(texts[i]) for i in some])
+                data = [_bytes(texts[i]) for i in some]
+                n = coder.lengths(data)
+                rate[some] = np.maximum(0.0, n.min(axis=1) / UNIT - SLACK_BITS) / [len(d) for d in data]
                 best = n.argmin(axis=1)
                 share = 1 / np.exp2(np.maximum((n.min(axis=1, keepdims=True) - n) / UNIT, -1000)).sum(axis=1)
                 score[some] = share
                 for i, k in zip(some, best.tolist(), strict=True):
                     lang[i] = langs[k]
-            return lang, score
+            return lang, score, rate
 
         return predict
 
@@ -212,7 +218,7 @@ def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         predict = make()
         for b in slices(batches):
-            lang, score = predict(b.column(2).to_pylist())
+            lang, score, _ = predict(b.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lang, pa.string()), pa.array(score)], names=["id", "held_out", "lang_pred", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -220,16 +226,39 @@ def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
     return rows.mapInArrow(run, f"id {kind}, held_out boolean, lang_pred string, score double")
 
 
-def keep_known(docs: DataFrame, model: Model, *, text_col: str = "text", least: float = 0.5) -> DataFrame:
-    """``docs`` without documents in no known language: those that are ``und`` or whose score is below ``least``."""
+def worst_fit(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> float:
+    """``TIMES`` the bits a byte that 99 in 100 of all labelled training documents keep to; infinite where there are none.
+
+    Counted by hundredths of a bit, so what comes to the driver is bounded and does not depend on the order of rows.
+    """
+    make = _shared(docs, model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        predict = make()
+        for b in slices(batches):
+            lang, _, rate = predict(b.column(0).to_pylist())
+            step = np.ceil(100 * rate[np.array(lang, object) != UNKNOWN]).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(step, pa.int64())], names=["step"])
+
+    rows = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & (remainder(F.col(id_col)) != 0)).select(F.col(text_col).cast("string").alias("t"))
+    held = sorted((r[0], r[1]) for r in rows.mapInArrow(run, "step long").groupBy("step").count().collect())
+    if not held:
+        return float("inf")
+    upto = np.cumsum([n for _, n in held])
+    return TIMES * held[int(np.searchsorted(upto, 0.99 * upto[-1]))][0] / 100
+
+
+def keep_known(docs: DataFrame, model: Model, *, text_col: str = "text", least: float = 0.5, most: float = float("inf")) -> DataFrame:
+    """``docs`` without documents in no known language: those that are ``und``, whose score is below ``least``, or that
+    even their best language codes in more than ``most`` bits a byte (see ``worst_fit``): the score compares languages only."""
     make = _shared(docs, model)
 
     def tests():
         predict = make()
 
         def keep(text: pa.Array) -> np.ndarray:
-            lang, score = predict(text.to_pylist())
-            return (np.array(lang, object) != UNKNOWN) & (score >= least)
+            lang, score, rate = predict(text.to_pylist())
+            return (np.array(lang, object) != UNKNOWN) & (score >= least) & (rate <= most)
 
         return keep
 

@@ -1,6 +1,7 @@
 import zlib
 from collections import Counter
 
+import corpus_pipeline
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -125,3 +126,14 @@ def test_quality_edges(odd, spark):
     assert quality.judge(odd.limit(0), labels).count() == 0
     none = quality.judge(odd.withColumn("text", F.lit("this is a perfectly plain text of more than twenty words so that the base rule has nothing at all to say against it here")), labels.limit(0))
     assert {r.kept for r in none.collect()} == {True}
+
+
+def test_stage_drops_a_language_that_was_not_learned(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rng = np.random.default_rng(3)
+    junk = " ".join("".join(map(chr, rng.integers(97, 123, 6))) for _ in range(60))
+    texts = ["это русский текст о погоде и о лесах вокруг большого озера", junk, "tämä on suomenkielinen teksti jota malli ei ole koskaan nähnyt ja se kertoo metsästä ja järvistä"]
+    planted = spark.createDataFrame([(10**9 + i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    kept = {r.doc_id for r in corpus_pipeline.language_id(spark, docs.unionByName(planted, allowMissingColumns=True), "").select("doc_id").collect()}
+    assert kept.isdisjoint({10**9 + i for i in range(len(texts))})
+    assert kept == {r.doc_id for r in docs.collect() if langid.has_letter(r.text)}
