@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,8 +20,10 @@ from tessera.llm.text import slices
 PRE_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters with the White_Space property, as a class's inside (fixed values).
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Words whose ids a task remembers, and the longest such word in characters. Others are encoded anew each time.
+#: Pieces whose ids a task remembers, and the longest such piece in characters. Others are encoded anew each time.
 REMEMBERED, REMEMBERED_CHARS = 250_000, 64
+#: Longest word in bytes that is walked in step with others; longer ones go alone.
+IN_STEP = 256
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -31,134 +34,279 @@ def byte_alphabet() -> dict[str, int]:
     return out
 
 
-def compile_automaton(vocab: dict[bytes, int], merges: list[tuple[bytes, bytes]]) -> dict:
-    """Merges to the automaton whose accepted token sequences are exactly the correct tokenizations.
+def compile_automaton(vocab: dict[bytes, int], merges: list[tuple[bytes, bytes]]) -> dict[str, np.ndarray | list]:
+    """Merges to the automaton whose accepted token sequences are exactly the correct tokenizations, as flat tables.
 
     It starts as one state with an arc for each byte. The gadget of merge ``u v`` gives every state with an arc ``u``
     into a state that has an arc ``v`` a new arc ``uv`` to where ``v`` leads, and moves the arcs ``u`` to a copy of
-    their target that lacks ``v``. All arcs of one token lead to the same state, so a gadget is one new state, which is
-    stored as its parent, the token that it lacks and the merge that made it; an arc is looked up along parents
-    (older arcs) and left halves (newer arcs). Building is linear in the merges and the tables hold some numbers a merge.
-
-    Returned: ``target`` (token to state), ``parent``, ``lacks``, ``made`` (by state), ``left``, ``rank`` (by token; bytes
-    have rank -1, tokens that no gadget reaches rank None), ``tokens`` (bytes to id) and ``labels`` (id to bytes).
+    their target that lacks ``v``. All arcs of one token lead to the same state, so a gadget is one new state: a copy
+    of its parent less an arc and what later gadgets would have made of that arc.
+
+    Tokens are numbered so that what a state lacks is an interval of numbers a gadget (``_numbers``), so the transition
+    table is ``row`` (of a token: the row of the state that its arcs lead to; row 0 is the initial state), ``lacks``
+    (sorted keys: row in the upper half, first number of an interval in the lower) and ``upto`` (the furthest end of the
+    row's intervals so far): some numbers a merge. Bytes are read by a trie of the labels with failure links
+    (``parent, byte, fail``, in order of depth), whose nodes name the longest token that ends there (``longest``);
+    ``shorter`` is the next shorter token that ends a token, ``length`` and ``label`` are its bytes.
     """
-    auto = {"target": {}, "parent": [-1], "lacks": [-1], "made": [0], "left": {}, "rank": {}, "tokens": dict(vocab), "labels": {i: t for t, i in vocab.items()}}
+    target, left, rank, parent, lacks, made = {}, {}, {}, [-1], [-1], [0]
     for b in range(256):
-        if (t := vocab.get(bytes([b]))) is not None:
-            auto["target"][t], auto["rank"][t] = 0, -1
-    target, rank = auto["target"], auto["rank"]
+        if bytes([b]) not in vocab:
+            raise ValueError("the vocabulary must hold every byte")
+        target[vocab[bytes([b])]], rank[vocab[bytes([b])]] = 0, -1
+
+    def has(q: int, t: int) -> bool:
+        """Whether state ``q`` has an arc ``t``: older arcs are those of the parent, newer ones come from their left halves."""
+        while q or rank[t] >= 0:
+            if rank[t] >= made[q]:
+                t = left[t]
+            elif lacks[q] == t:
+                return False
+            else:
+                q = parent[q]
+        return True
+
     for r, (a, b) in enumerate(merges):
         u, v, w = vocab[a], vocab[b], vocab[a + b]
-        if w in rank or u not in target or v not in target or not arc(auto, target[u], v, {}):
+        if w in rank or u not in target or v not in target or not has(target[u], v):
             continue
-        auto["left"][w], rank[w], target[w] = u, r, target[v]
-        auto["parent"].append(target[u])
-        auto["lacks"].append(v)
-        auto["made"].append(r)
-        target[u] = len(auto["parent"]) - 1
-    return auto
-
-
-def arc(auto: dict, state: int, token: int, known: dict[int, bool]) -> bool:
-    """Whether ``state`` has an arc ``token``. ``known`` is the part of the transition table filled so far."""
-    key = state << 32 | token
-    if (hit := known.get(key)) is not None:
-        return hit
-    rank, left, made, parent, lacks = auto["rank"], auto["left"], auto["made"], auto["parent"], auto["lacks"]
-    q, t, found = state, token, None
-    while found is None:
-        r = rank.get(t)
-        if r is None:
-            found = False
-        elif r >= made[q]:
-            t = left[t]
-        elif q == 0:
-            found = r < 0
-        elif lacks[q] == t:
-            found = False
-        else:
-            q = parent[q]
-    if len(known) < 4 * REMEMBERED:
-        known[key] = found
-    return found
-
-
-#: Lengths of tokens that are tried at every place.
-SHORT = (2, 1)
-
-
-class Words(dict):
-    """Words to their encoded ids (little-endian unsigned 32-bit integers), filled as they come; long words aren't kept.
-    A full table becomes the older one, from which words that are met again come back."""
-
-    def __init__(self, encode):
+        left[w], rank[w], target[w] = u, r, target[v]
+        parent.append(target[u])
+        lacks.append(v)
+        made.append(r)
+        target[u] = len(parent) - 1
+
+    number, first, last = _numbers(left, rank, lacks, made)
+    rows = {0: 0}
+    for q in target.values():
+        rows.setdefault(q, len(rows))
+    keys, ends = [], []
+    for q, row in rows.items():
+        found, at = [], q
+        while at:
+            found.append((first[at], last[at]))
+            at = parent[at]
+        reach = 0
+        for lo, hi in sorted(found):
+            reach = max(reach, hi)
+            keys.append((row, lo))
+            ends.append(reach)
+    order = np.lexsort(np.array(keys, np.int64).reshape(-1, 2).T[::-1])
+    keys = np.array(keys, np.int64).reshape(-1, 2)[order]
+    size = max(vocab.values()) + 1
+    out = {"number": np.full(size, -1, np.int32), "row": np.full(size, -1, np.int32), "lacks": keys[:, 0] << 32 | keys[:, 1], "upto": np.array(ends, np.int32)[order]}
+    for t, q in target.items():
+        out["number"][t], out["row"][t] = number[t], rows[q]
+    label: list[bytes] = [b""] * size
+    for word, t in vocab.items():
+        label[t] = word
+    return {**out, **_trie({label[t]: t for t in target}, size), "label": label}
+
+
+def _numbers(left: dict[int, int], rank: dict[int, int], lacks: list[int], made: list[int]) -> tuple[dict[int, int], list[int], list[int]]:
+    """Numbers of tokens, and of each state the interval that its gadget took away from the parent.
+
+    That is the token ``v`` and all that start with ``v`` and were made from it by this gadget's merge or later ones. Tokens
+    are numbered as a tree over left halves, from a parent to its youngest child first, so these are neighbours.
+    """
+    children: dict[int, list[int]] = {}
+    for w in sorted(left, key=rank.__getitem__):
+        children.setdefault(left[w], []).append(w)
+    number, walk, stack = {}, [], sorted((t for t, r in rank.items() if r < 0), reverse=True)
+    while stack:
+        t = stack.pop()
+        number[t] = len(walk)
+        walk.append(t)
+        stack.extend(children.get(t, ()))
+    size = dict.fromkeys(walk, 1)
+    for t in reversed(walk):
+        if t in left:
+            size[left[t]] += size[t]
+    first, last = [0], [0]
+    for v, m in zip(lacks[1:], made[1:], strict=True):
+        older = [w for w in children.get(v, ()) if rank[w] < m]
+        first.append(number[v])
+        last.append(number[older[-1]] if older else number[v] + size[v])
+    return number, first, last
+
+
+def _trie(tokens: dict[bytes, int], size: int) -> dict[str, np.ndarray]:
+    """Prefixes of tokens as nodes, in order of depth; a node's failure link is the longest node that ends it."""
+    nodes = {word: n for n, word in enumerate(sorted({b"", *(w[:k] for w in tokens for k in range(1, len(w) + 1))}, key=len))}
+    parent, byte = [nodes[w[:-1]] for w in nodes], [w[-1] if w else 0 for w in nodes]
+    fail, longest, shorter = np.zeros(len(parent), np.int32), np.full(len(parent), -1, np.int32), np.full(size, -1, np.int32)
+    for word, n in nodes.items():
+        f = next((nodes[word[k:]] for k in range(1, len(word)) if word[k:] in nodes), 0)
+        fail[n], longest[n] = f, longest[f]
+        if (t := tokens.get(word)) is not None:
+            longest[n], shorter[t] = t, longest[f]
+    length, depth = np.zeros(size, np.int32), np.zeros(len(parent), np.int32)
+    for word, t in tokens.items():
+        length[t] = len(word)
+    for word, n in nodes.items():
+        depth[n] = len(word)
+    return {"parent": np.array(parent, np.int32), "byte": np.array(byte, np.int32), "fail": fail, "depth": depth, "longest": longest, "shorter": shorter, "length": length}
+
+
+class Walker:
+    """Spells words by the automaton's arcs.
+
+    Each prefix of a word has one correct tokenization; its last token is the longest one that ends there and has an arc
+    from the state that the prefix before it leads to. So one pass over the bytes finds it, without search or return.
+    """
+
+    def __init__(self, tables: dict):
+        self.t = tables
+        self.next = np.zeros((len(tables["fail"]), 256), np.int32)
+        cuts = np.searchsorted(tables["depth"], np.arange(tables["depth"].max() + 2))
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if a:
+                self.next[a:b] = self.next[tables["fail"][a:b]]
+            kids = np.flatnonzero((tables["parent"] >= a) & (tables["parent"] < b) & (tables["depth"] > 0))
+            self.next[tables["parent"][kids], tables["byte"][kids]] = kids
+        self.view = memoryview(self.next.reshape(-1))
+        self.lists = {k: tables[k].tolist() for k in ("longest", "shorter", "length", "row", "number", "lacks", "upto")}
+        self.known: dict[int, bool] = {}
+
+    def has_arcs(self, row: np.ndarray, token: np.ndarray) -> np.ndarray:
+        """Whether the states of these rows have arcs of these tokens."""
+        number = self.t["number"][token]
+        at = np.searchsorted(self.t["lacks"], row.astype(np.int64) << 32 | number, "right") - 1
+        return ~((self.t["lacks"][at] >> 32 == row) & (self.t["upto"][at] > number) & (at >= 0))
+
+    def words(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word as little-endian unsigned 32-bit integers. Short words are walked in step, byte by byte."""
+        out: list[bytes] = [b""] * len(words)
+        short = sorted((i for i, w in enumerate(words) if len(w) <= IN_STEP), key=lambda i: -len(words[i]))
+        for at in range(0, len(short), 8192):
+            some = short[at : at + 8192]
+            for i, x in zip(some, self._in_step([words[i] for i in some]), strict=True):
+                out[i] = x
+        for i, w in enumerate(words):
+            if len(w) > IN_STEP:
+                out[i] = self._alone(w)
+        return out
+
+    def _in_step(self, words: list[bytes]) -> list[bytes]:
+        t, n = self.t, len(words)
+        sizes = np.array([len(w) for w in words], np.int64)
+        data, starts = np.frombuffer(b"".join(words), np.uint8), np.cumsum(sizes) - sizes
+        last, rows = np.zeros((sizes[0] + 1, n), np.int32), np.zeros((sizes[0] + 1, n), np.int32)
+        node = np.zeros(n, np.int32)
+        for end in range(1, sizes[0] + 1):
+            m = int(np.searchsorted(-sizes, -end, "right"))
+            node = self.next[node[:m], data[starts[:m] + end - 1]]
+            who, token = np.arange(m), t["longest"][node]
+            while len(who):
+                ok = self.has_arcs(rows[end - t["length"][token], who], token)
+                last[end, who[ok]] = token[ok]
+                who, token = who[~ok], t["shorter"][token[~ok]]
+            rows[end, :m] = t["row"][last[end, :m]]
+        who, place, found = np.arange(n), sizes.copy(), []
+        while len(who := who[place[who] > 0]):
+            token = last[place[who], who]
+            place[who] -= t["length"][token]
+            found.append((who, token))
+        who, step = np.concatenate([w for w, _ in found]), np.repeat(np.arange(len(found)), [len(w) for w, _ in found])
+        ids = np.concatenate([x for _, x in found])[np.lexsort((-step, who))].astype("<u4").tobytes()
+        ends = 4 * np.cumsum(np.bincount(who, minlength=n))
+        return [ids[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+
+    def _alone(self, word: bytes) -> bytes:
+        longest, shorter, length, row, number, lacks, upto = self.lists.values()
+        view, known, node, last, rows = self.view, self.known, 0, [0], [0]
+        for end, byte in enumerate(word, 1):
+            node = view[node << 8 | byte]
+            token = longest[node]
+            while True:
+                key = rows[end - length[token]] << 32 | token
+                if (ok := known.get(key)) is None:
+                    at = bisect_right(lacks, key >> 32 << 32 | number[token]) - 1
+                    ok = known[key] = at < 0 or lacks[at] >> 32 != key >> 32 or upto[at] <= number[token]
+                if ok:
+                    break
+                token = shorter[token]
+            last.append(token)
+            rows.append(row[token])
+        if len(known) > REMEMBERED:
+            known.clear()
+        out, at = [], len(word)
+        while at:
+            out.append(last[at])
+            at -= length[last[at]]
+        return np.array(out[::-1], "<u4").tobytes()
+
+
+class Remembered(dict):
+    """A table that is filled as pieces come. What was there before it filled up is kept as ``older``."""
+
+    def __init__(self):
         super().__init__()
-        self.encode, self.older = encode, {}
-
-    def __missing__(self, word: str) -> bytes:
-        if (out := self.older.get(word)) is None:
-            out = self.encode(word)
-        if len(word) <= REMEMBERED_CHARS:
-            if len(self) >= REMEMBERED:
-                self.older = dict(self)
-                self.clear()
-            self[word] = out
+        self.older = {}
+
+    def lacking(self, keys: set) -> list:
+        """Those of ``keys`` that are in neither table, after the others are brought into this one."""
+        if len(self) > REMEMBERED:
+            self.older = self.copy()
+            self.clear()
+        out = []
+        for k in keys:
+            if k not in self:
+                if (x := self.older.get(k)) is None:
+                    out.append(k)
+                else:
+                    self[k] = x
         return out
 
+    def forget_long(self, keys: list) -> None:
+        for k in keys:
+            if len(k) > REMEMBERED_CHARS:
+                self.pop(k, None)
+
 
 class Encoder:
-    """Encodes and decodes by an automaton: ``word`` takes a pre-split word, ``ids`` a text."""
-
-    def __init__(self, auto: dict, added: list[tuple[str, int]]):
-        self.auto, self.known = auto, {}
-        found: dict[bytes, set[int]] = {}
-        for t in auto["tokens"]:
-            if len(t) > 2:
-                found.setdefault(t[:3], set()).add(len(t))
-        self.lengths = {k: (*sorted(v, reverse=True), *SHORT) for k, v in found.items()}
+    """Encodes and decodes texts by an automaton."""
+
+    def __init__(self, tables: dict, added: list[tuple[str, int]]):
+        self.walker = Walker(tables)
         self.special = {s: np.array([i], "<u4").tobytes() for s, i in added}
-        self.labels = {**auto["labels"], **{i: s.encode() for s, i in added}}
         self.split = regex.compile(PRE_SPLIT.replace(r"\s", f"[{SPACE}]").replace(f"[^[{SPACE}]", f"[^{SPACE}").replace(r"\S", f"[^{SPACE}]")).findall
         self.chunks = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+").findall
-        self.four = {i: i.to_bytes(4, "little") for i in auto["labels"]}
-        self.words = Words(lambda w: b"".join(map(self.four.__getitem__, self.word(w.encode()))))
-        self.runs = Words(lambda c: b"".join(map(self.words.__getitem__, self.split(c))))
+        self.found, self.runs = Remembered(), Remembered()
         self.added = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if added else None
+        label = list(tables["label"]) + [b""] * (max([i for _, i in added], default=-1) + 1 - len(tables["label"]))
+        for s, i in added:
+            label[i] = s.encode()
+        self.sizes = np.array([len(x) for x in label], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.labels = np.frombuffer(b"".join(label), np.uint8)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts as little-endian unsigned 32-bit integers.
+
+        White-space runs and the words after them are split first, as the pre-split never looks past them. What no table
+        holds of all texts is pre-split and walked at once.
+        """
+        parts = [self.added.split(x) if self.added else [x] for x in texts]
+        split = [[self.chunks(x) if k % 2 == 0 else x for k, x in enumerate(p)] for p in parts]
+        new = self.runs.lacking(set().union(*(x for p in split for x in p[::2])))
+        words = [self.split(c) for c in new]
+        lacking = self.found.lacking(set().union(*words))
+        self.found.update(zip(lacking, self.walker.words([w.encode() for w in lacking]), strict=True))
+        self.runs.update(zip(new, [b"".join(map(self.found.__getitem__, w)) for w in words], strict=True))
+        out = [b"".join([b"".join(map(self.runs.__getitem__, x)) if k % 2 == 0 else self.special[x] for k, x in enumerate(p)]) for p in split]
+        self.runs.forget_long(new)
+        self.found.forget_long(lacking)
+        return out
 
-    def word(self, data: bytes) -> list[int]:
-        """The path of the automaton that spells ``data``. Each prefix has one correct tokenization, so an end that was
-        reached and led nowhere need not be reached again: the search takes the longest token that has an arc first."""
-        tokens, target, known, auto, lengths, n = self.auto["tokens"], self.auto["target"], self.known, self.auto, self.lengths, len(data)
-        path, back, at, q, dead = [], [], 0, 0, set()
-        lens = iter(lengths.get(data[:3], SHORT))
-        while at < n:
-            for length in lens:
-                end = at + length
-                if end <= n and (t := tokens.get(data[at:end])) is not None and end not in dead:
-                    hit = known.get(q << 32 | t)
-                    if hit or hit is None and arc(auto, q, t, known):
-                        path.append(t)
-                        back.append((at, q, lens))
-                        at, q = end, target[t]
-                        lens = iter(lengths.get(data[at : at + 3], SHORT))
-                        break
-            else:
-                dead.add(at)
-                path.pop()
-                at, q, lens = back.pop()
-        return path
-
-    def ids(self, text: str) -> bytes:
-        """Ids of a text as little-endian unsigned 32-bit integers. White-space runs and the words after them are split first:
-        the pre-split never looks past them."""
-        if not self.added:
-            return b"".join(map(self.runs.__getitem__, self.chunks(text)))
-        return b"".join(self.special[x] if k % 2 else b"".join(map(self.runs.__getitem__, self.chunks(x))) for k, x in enumerate(self.added.split(text)))
-
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: list[np.ndarray]) -> list[str]:
         """The labels of the arcs, as UTF-8 (what isn't is replaced)."""
-        return b"".join(map(self.labels.__getitem__, ids)).decode("utf-8", "replace")
+        every = np.concatenate([np.zeros(0, np.int64), *ids]).astype(np.int64)
+        sizes = self.sizes[every]
+        ends = np.cumsum(sizes)
+        data = self.labels[np.repeat(self.starts[every] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
+        cuts = np.concatenate([[0], ends])[np.cumsum([0, *map(len, ids)])].tolist()
+        return [data[a:b].decode("utf-8", "replace") for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
 def load(path: str) -> tuple[dict, list[tuple[str, int]]]:
@@ -188,8 +336,8 @@ def tokens(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(shared.value)
         for b in slices(batches, 128):
-            ids = [np.frombuffer(encoder.ids(x or ""), "<u4") for x in b.column(1).to_pylist()]
-            text = [encoder.decode(x.tolist()) for x in ids]
+            ids = [np.frombuffer(x, "<u4") for x in encoder.encode([x or "" for x in b.column(1).to_pylist()])]
+            text = encoder.decode(ids)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32())), pa.array(text, pa.string())], names=["id", "ids", "decoded"])
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -205,12 +353,9 @@ def digests(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str
         encoder = _encoder(shared.value)
         sha = lambda x: hashlib.sha256(x).hexdigest()
         for b in slices(batches):
-            rows = []
-            for x in b.column(1).to_pylist():
-                ids = encoder.ids(x or "")
-                rows.append((len(ids) // 4, sha(ids), sha(encoder.decode(np.frombuffer(ids, "<u4").tolist()).encode())))
-            n, a, d = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            ids = encoder.encode([x or "" for x in b.column(1).to_pylist()])
+            text = encoder.decode([np.frombuffer(x, "<u4") for x in ids])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(map(sha, ids), pa.string()), pa.array([sha(x.encode()) for x in text], pa.string())], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -19,14 +19,16 @@ def library():
 
 
 def ids(encoder, text):
-    return np.frombuffer(encoder.ids(text), "<u4").tolist()
+    return np.frombuffer(encoder.encode([text])[0], "<u4").tolist()
 
 
 def test_small_automaton_accepts_exactly_the_correct_tokenizations():
     """Every token sequence over a small vocabulary: accepted if and only if merging its text gives it."""
     merges = [(b"a", b"a"), (b"a", b"b"), (b"aa", b"b"), (b"b", b"aa"), (b"aa", b"aa")]
-    vocab = {t: i for i, t in enumerate([b"a", b"b", *(x + y for x, y in merges)])}
-    auto = bpe.compile_automaton(vocab, merges)
+    used = [b"a", b"b", *(x + y for x, y in merges)]
+    vocab = {t: i for i, t in enumerate([*used, *(bytes([c]) for c in range(256) if c not in b"ab")])}
+    tables = bpe.compile_automaton(vocab, merges)
+    walker = bpe.Walker(tables)
 
     def merged(text):
         parts = [bytes([c]) for c in text]
@@ -38,17 +40,17 @@ def test_small_automaton_accepts_exactly_the_correct_tokenizations():
             parts[i : i + 2] = [b"".join(merges[r])]
 
     def accepts(seq):
-        state = 0
+        row = 0
         for t in seq:
-            if not bpe.arc(auto, state, vocab[t], {}):
+            if not walker.has_arcs(np.array([row]), np.array([vocab[t]]))[0]:
                 return False
-            state = auto["target"][vocab[t]]
+            row = tables["row"][vocab[t]]
         return True
 
     def sequences(n):
         if n == 0:
             yield []
-        for t in vocab:
+        for t in used:
             if len(t) <= n:
                 for rest in sequences(n - len(t)):
                     yield [t, *rest]
@@ -56,6 +58,9 @@ def test_small_automaton_accepts_exactly_the_correct_tokenizations():
     for n in range(1, 7):
         for seq in sequences(n):
             assert accepts(seq) == (merged(b"".join(seq)) == seq), seq
+            word = b"".join(seq)
+            want = np.array([vocab[t] for t in merged(word)], "<u4").tobytes()
+            assert walker.words([word]) == [want] == [walker._alone(word)]
 
 
 def test_random_strings(encoder, library):
@@ -92,5 +97,13 @@ def test_edges(odd, library):
 def test_full_tables_are_swapped(encoder, monkeypatch):
     monkeypatch.setattr(bpe, "REMEMBERED", 8)
     text = " ".join(f"w{i} again" for i in range(50))
-    first = encoder.ids(text)
-    assert encoder.ids(text) == first
+    first = encoder.encode([text])
+    assert encoder.encode([text]) == first
+
+
+def test_long_words(encoder, library):
+    """Words that go alone, and many of different lengths at once."""
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdeinrstßж") for _ in range(n)) for n in (1, 2, 255, 256, 257, 5000)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(words)] == [library.encode(w, add_special_tokens=False).ids for w in words]
+    assert encoder.encode([]) == [] and encoder.decode([]) == []
