@@ -2,29 +2,38 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Temporary folders of sessions whose ``spark.checkpoint.dir`` is unset, by application.
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``; a temporary one only where it is unset and the master is local."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        app = spark.sparkContext.applicationId
+        if app not in _own:
+            _own[app] = tempfile.mkdtemp(prefix="tessera-")
+            atexit.register(shutil.rmtree, _own[app], ignore_errors=True)
+        base = _own[app]
     return base.rstrip("/")
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
+def materialize(df: DataFrame, tag: str, codec: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: the lineage ends at the files,
     so a lost executor costs no more than the stage that was running."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**({"compression": codec} if codec else {})).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
