@@ -1,8 +1,9 @@
 """Stupid-backoff language-model scores of documents under the n-gram counts of all other documents.
 
-Count tables are partitioned by hash and joined to the n-grams of the documents in blocks: a block of documents asks for
-each of its distinct n-grams once, whatever their number there. So a frequent n-gram costs one row a block and hot ones
-need no salt; nothing is sampled, cut off or broadcast.
+Documents are gathered in blocks, which count their own n-grams. The blocks' n-grams are dealt by ranges of a hash, exploded,
+counted and joined back to their counts; what other blocks have of them returns to the block, whose
+documents sum their scores. A frequent n-gram costs one row a block, so hot ones need no salt; nothing is sampled, cut
+off or broadcast.
 """
 
 from __future__ import annotations
@@ -12,19 +13,24 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from tessera.llm.text import slices
 from tessera.storage import materialize
 
 #: Backoff factor of the method (fixed value).
 ALPHA = 0.4
-#: Bytes of text in a block of documents, and bytes of text whose n-grams go to one bucket of the count tables.
-BLOCK_BYTES, BUCKET_BYTES = 8 << 20, 16 << 20
+#: Longest n-gram.
+ORDER = 3
+#: Bytes of text in a block of documents, and bytes of text whose n-grams one partition of the count tables holds.
+BLOCK_BYTES, BUCKET_BYTES = 8 << 20, 8 << 20
+#: Most ranges of keys: with more data partitions grow, while 48 bits and the range still tell n-grams apart.
+MOST_BUCKETS = 1 << 16
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -43,26 +49,6 @@ def ngram_keys(words: np.ndarray, n: int) -> np.ndarray:
     return key
 
 
-def pack(x: np.ndarray) -> bytes:
-    """Sorted unsigned integers as compressed differences, by byte planes."""
-    return pack_small(np.diff(x, prepend=x.dtype.type(0)))
-
-
-def pack_small(d: np.ndarray) -> bytes:
-    """Mostly small unsigned integers in any order, compressed by byte planes."""
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(d.view(np.uint8).reshape(-1, d.itemsize).T).tobytes())
-
-
-def unpack(data: bytes, dtype: str) -> np.ndarray:
-    return np.cumsum(unpack_small(data, dtype), dtype=dtype)
-
-
-def unpack_small(data: bytes, dtype: str) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
-    size = np.dtype(dtype).itemsize
-    return np.ascontiguousarray(planes.reshape(size, -1).T).view(dtype).ravel()
-
-
 class Block:
     """Documents as indices into a sorted table of word hashes; n-grams never reach from one document to the next."""
 
@@ -78,7 +64,8 @@ class Block:
 
 
 def blocks_of(docs: DataFrame, *, id_col: str, text_col: str, block_bytes: int) -> DataFrame:
-    """``block, ids, sizes, words, tokens``: ids (array) and packed arrays of the documents of a block."""
+    """``block, ids, sizes, words, tokens``: of the documents of a block their ids and numbers of words, the hashes of all
+    different words, and each word's place among these."""
     kind = docs.schema[id_col].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,19 +73,17 @@ def blocks_of(docs: DataFrame, *, id_col: str, text_col: str, block_bytes: int)
 
         def emit() -> pa.RecordBatch:
             h = np.fromiter(map(xxhash.xxh64_intdigest, seen), np.uint64, len(seen))
-            words, rank = np.unique(h, return_inverse=True)
-            tokens = rank[np.concatenate(codes)] if len(seen) else np.zeros(0, np.int64)
-            row = [pa.array([uuid.uuid4().int >> 65], pa.int64()), pa.array([ids], pa.list_(b.column(0).type)), pa.array([pack_small(np.array(sizes, np.uint32))], pa.binary()), pa.array([pack(words)], pa.binary())]
-            planes = np.ascontiguousarray(tokens.astype(np.uint32).view(np.uint8).reshape(-1, 4).T).tobytes()
-            row.append(pa.array([zstandard.ZstdCompressor(level=1).compress(planes)], pa.binary()))
+            tokens = np.concatenate(codes).astype(np.int32)
+            row = [pa.array([uuid.uuid4().int >> 65], pa.int64()), pa.array([ids], pa.list_(of)), pa.array([np.array(sizes, np.int32)], pa.list_(pa.int32())), pa.array([h.view(np.int64)], pa.list_(pa.int64())), pa.array([tokens], pa.list_(pa.int32()))]
             return pa.RecordBatch.from_arrays(row, names=["block", "ids", "sizes", "words", "tokens"])
 
-        for b in batches:
+        for b in slices(batches):
+            of = b.column(0).type
             for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 words = (text or b"").split()
                 ids.append(key)
                 sizes.append(len(words))
-                codes.append(np.fromiter((seen.setdefault(w, len(seen)) for w in words), np.int64, len(words)))
+                codes.append(np.fromiter((seen.setdefault(w, len(seen)) for w in words), np.int32, len(words)))
                 held += len(text or b"")
                 if held >= block_bytes:
                     yield emit()
@@ -106,48 +91,59 @@ def blocks_of(docs: DataFrame, *, id_col: str, text_col: str, block_bytes: int)
         if ids:
             yield emit()
 
-    schema = f"block long, ids array<{kind.simpleString()}>, sizes binary, words binary, tokens binary"
+    schema = f"block long, ids array<{kind.simpleString()}>, sizes array<int>, words array<long>, tokens array<int>"
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t")).mapInArrow(run, schema)
 
 
-def open_block(sizes: bytes, words: bytes, tokens: bytes) -> Block:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(tokens), np.uint8)
-    index = np.ascontiguousarray(planes.reshape(4, -1).T).view(np.uint32).ravel()
-    return Block(unpack(words, "<u8"), index, unpack_small(sizes, "<u4").astype(np.int64))
+def open_block(row: pa.RecordBatch | pa.Table) -> Block:
+    """The block in a table of one row."""
+    sizes, words, tokens = (np.asarray(row[c][0].values) for c in ("sizes", "words", "tokens"))
+    return Block(words.view(np.uint64), tokens, sizes.astype(np.int64))
 
 
-def requests(blocks: DataFrame, order: int, buckets: int) -> DataFrame:
-    """``bucket, n, block, keys, counts``: the distinct n-grams of each block and bucket, with how often the block has them."""
+def cuts(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Where each of ``buckets`` equal ranges of keys begins among sorted keys, and their end."""
     edges = np.array([k * (1 << 64) // buckets for k in range(1, buckets)], np.uint64)
+    return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
+
+
+def block_grams(blocks: DataFrame, order: int, buckets: int) -> DataFrame:
+    """``bucket, block, n, hi, lo, c``: the different n-grams of each block by bucket in order of their keys, and how often
+    the block has them. A bucket is a range of keys; ``hi`` and ``lo`` are the lower 48 bits of the key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for r in b.to_pylist():
-                block = open_block(r["sizes"], r["words"], r["tokens"])
-                for n in range(1, order + 1):
-                    keys, counts = np.unique(block.grams(n)[1], return_counts=True)
-                    cut = np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
-                    some = np.flatnonzero(np.diff(cut))
-                    rows = [(int(k), n, r["block"], pack(keys[cut[k] : cut[k + 1]]), pack_small(counts[cut[k] : cut[k + 1]].astype(np.uint32))) for k in some]
-                    if rows:
-                        cols = zip(*rows, strict=True)
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "n", "block", "keys", "counts"])
-
-    return blocks.select("block", "sizes", "words", "tokens").mapInArrow(run, "bucket int, n int, block long, keys binary, counts binary")
-
-
-def answer(p: pd.DataFrame) -> pd.DataFrame:
-    """The count table of one bucket and n, joined to what the blocks ask: how often other blocks have their keys, in the order of the keys."""
-    keys = [unpack(k, "<u8") for k in p["keys"]]
-    every, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-    own = np.concatenate([unpack_small(c, "<u4") for c in p["counts"]]).astype(np.uint64)
-    others = np.bincount(inverse, own).astype(np.uint64)[inverse] - own
-    ends = np.cumsum([len(k) for k in keys])
-    found = np.split(others, ends[:-1])
-    return pd.DataFrame({"block": p["block"].to_numpy(), "n": p["n"].to_numpy(), "bucket": p["bucket"].to_numpy(), "totals": [pack_small(x) for x in found]})
-
-
-def score_block(block: Block, ids: list, totals: dict[int, np.ndarray], words: int, order: int, alpha: float) -> tuple:
+        for b in slices(batches, 1):
+            block = open_block(b)
+            for n in range(1, order + 1):
+                keys, counts = np.unique(block.grams(n)[1], return_counts=True)
+                cut = cuts(keys, buckets)
+                some = np.flatnonzero(np.diff(cut))
+                ends = pa.array([*cut[some], len(keys)], pa.int32())
+                lists = (pa.ListArray.from_arrays(ends, pa.array(x)) for x in ((keys >> np.uint64(16)).astype(np.uint32).view(np.int32), keys.astype(np.uint16).view(np.int16), counts.astype(np.int32)))
+                out = pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(np.repeat(b.column(0).to_numpy(), len(some))), pa.array(np.full(len(some), n, np.int8)), *lists], names=["bucket", "block", "n", "hi", "lo", "c"])
+                yield from slices([out])
+
+    return blocks.select("block", "sizes", "words", "tokens").mapInArrow(run, "bucket int, block long, n byte, hi array<int>, lo array<short>, c array<int>")
+
+
+def counts_elsewhere(grams: DataFrame, parts: int) -> DataFrame:
+    """``block, n, bucket, at, others``: of a block's n-grams that other blocks have too, their places in the bucket and how
+    often the other blocks have them.
+
+    N-grams are dealt to partitions by bucket while they are packed by block; each partition explodes its own, counts them
+    and puts the count beside each row. Count table and join are one window over the n-gram, as an equi-join on it
+    would shuffle the exploded rows once more. A frequent n-gram has one row a block there, whatever the number of
+    its occurrences, and a window's rows can spill.
+    """
+    rows = grams.repartition(parts, "bucket").select("bucket", "block", "n", F.posexplode(F.arrays_zip("hi", "lo", "c")).alias("at", "g"))
+    key = F.shiftleft(F.col("g.hi").cast("long"), 16).bitwiseOR(F.col("g.lo").cast("long").bitwiseAND(F.lit(0xFFFF)))
+    rows = rows.select("bucket", "block", "n", "at", key.alias("key"), F.col("g.c").alias("c"))
+    same = Window.partitionBy("key", "bucket", "n")
+    found = rows.withColumns({"total": F.sum("c").over(same), "blocks": F.count("*").over(same)}).where("blocks > 1")
+    return found.groupBy("bucket", "block", "n").agg(F.collect_list("at").alias("at"), F.collect_list(F.col("total") - F.col("c")).alias("others"))
+
+
+def score_block(block: Block, totals: dict[int, np.ndarray], words: int, order: int, alpha: float) -> tuple:
     """Sums of log10 scores of a block's documents, under counts less their own; ``totals`` are the counts in other blocks."""
     doc = np.repeat(np.arange(len(block.sizes)), block.sizes)
     rest: list[np.ndarray] = []
@@ -177,42 +173,38 @@ def score_block(block: Block, ids: list, totals: dict[int, np.ndarray], words: i
     run = np.concatenate([[0.0], np.cumsum(score)])
     sums = run[block.ends] - run[block.ends - block.sizes]
     backed = np.concatenate([[0], np.cumsum(level > 0)])
-    return ids, block.sizes, sums, backed[block.ends] - backed[block.ends - block.sizes]
+    return block.sizes, sums, backed[block.ends] - backed[block.ends - block.sizes]
 
 
-def stupid_backoff(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", order: int = 2, alpha: float = ALPHA, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def stupid_backoff(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, alpha: float = ALPHA, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """One row a document: ``id, n_words, log10_score`` (sum over words), ``backed_off`` (words scored below the full order).
 
     A word's score is the count of the longest n-gram that ends at it and occurs in another document, divided by the count
     of that n-gram without the word, times ``alpha`` for each order that was given up; counts are those of all documents
     less the document's own. Words that no other document has get the share of one word of the others. At the start of a
     document orders that reach before it are skipped without a factor. Null and blank texts have score 0. Repeated rows
-    are documents of their own; an empty table gives an empty result; other columns are ignored. N-grams are compared
-    by 64-bit hashes.
+    are documents of their own; an empty table gives an empty result; other columns are ignored; a text of any length is
+    scored whole (a block holds at least one document). N-grams are compared by 48 bits of hash within a bucket.
     """
-    blocks = materialize(blocks_of(docs, id_col=id_col, text_col=text_col, block_bytes=block_bytes), "blocks")
-    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    buckets = max(1, -(-size // bucket_bytes))
-    asked = requests(blocks, order, buckets)
-    found = materialize(asked.groupBy("n", "bucket").applyInPandas(answer, "block long, n int, bucket int, totals binary"), "totals")
-    words = _words(blocks)
+    spark = docs.sparkSession
+    blocks = materialize(blocks_of(docs, id_col=id_col, text_col=text_col, block_bytes=block_bytes), "blocks", codec="zstd")
+    size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // bucket_bytes))
+    buckets = min(4 * parts, MOST_BUCKETS)
+    found = counts_elsewhere(block_grams(blocks, order, buckets), parts)
+    words = blocks.select(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
     kind = docs.schema[id_col].dataType.simpleString()
 
-    def score(b: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        r = b.iloc[0]
-        t = t.sort_values(["n", "bucket"])
-        totals = {int(n): np.concatenate([unpack_small(x, "<u8") for x in g["totals"]]) for n, g in t.groupby("n")}
-        ids, n, sums, backed = score_block(open_block(r["sizes"], r["words"], r["tokens"]), list(r["ids"]), totals, words, order, alpha)
-        return pd.DataFrame({"id": ids, "n_words": n, "log10_score": np.round(sums, 9) + 0.0, "backed_off": backed})
-
-    return blocks.groupBy("block").cogroup(found.groupBy("block")).applyInPandas(score, f"id {kind}, n_words long, log10_score double, backed_off long")
-
-
-def _words(blocks: DataFrame) -> int:
-    """Words of all documents."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([sum(int(unpack_small(x, "<u4").sum()) for x in b.column(0).to_pylist())], pa.int64())], names=["n"])
-
-    return blocks.select("sizes").mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
+    def score(b: pa.Table, answers: pa.Table) -> pa.Table:
+        block, totals = open_block(b), {}
+        for n in range(1, order + 1):
+            keys = np.unique(block.grams(n)[1])
+            start, totals[n] = cuts(keys, buckets), np.zeros(len(keys), np.int64)
+            mine = answers.filter(pc.equal(answers["n"], n))
+            for bucket, at, others in zip(mine["bucket"].to_pylist(), mine["at"], mine["others"], strict=True):
+                totals[n][start[bucket] + np.asarray(at.values)] = np.asarray(others.values)
+        n, sums, backed = score_block(block, totals, words, order, alpha)
+        ids = b["ids"][0].values
+        return pa.table([ids, pa.array(n, pa.int64()), pa.array(np.round(sums, 9) + 0.0), pa.array(backed, pa.int64())], names=["id", "n_words", "log10_score", "backed_off"])
+
+    return blocks.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(score, f"id {kind}, n_words long, log10_score double, backed_off long")

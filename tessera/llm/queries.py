@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from tessera.llm import bpe, chat, langid, lmscore, mixing, neardup_vectors, quality, sharding, simhash, warc
 
 N_SHARDS = 8
-#: Longest n-gram of the language-model scores.
-ORDER = 3
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,7 +26,8 @@ def op1_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lmscore.stupid_backoff(_table(spark, sf_dir, "documents"), order=ORDER).withColumnRenamed("id", "doc_id")
+    out = lmscore.stupid_backoff(_table(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "n_words", F.round("log10_score", 4).alias("log10_score"), "backed_off")
 
 
 def op3_transcript_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,4 +121,31 @@ SELECT e.vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, e.vec_
 FROM embeddings e JOIN comp ON e.vec_id = node LEFT JOIN deg ON e.vec_id = s
 """
 
-ORACLE = {"op4_spherical_kmeans_neardup": VECTORS_SQL, "op9_hash_threshold_mix": MIX_SQL}
+#: N-grams as strings; a document's own counts are taken off those of all rows.
+BACKOFF_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+p AS (SELECT r, unnest(w) AS w1, generate_subscripts(w, 1) AS i FROM d),
+g AS (
+  SELECT r, i, w1, lag(w1) OVER o || ' ' || w1 AS w2, lag(w1, 2) OVER o || ' ' || lag(w1) OVER o || ' ' || w1 AS w3
+  FROM p WINDOW o AS (PARTITION BY r ORDER BY i)),
+c AS (
+  SELECT r, i, count(*) OVER (PARTITION BY w1) - count(*) OVER (PARTITION BY r, w1) AS r1,
+         count(*) OVER (PARTITION BY w2) - count(*) OVER (PARTITION BY r, w2) AS r2,
+         count(*) OVER (PARTITION BY w3) - count(*) OVER (PARTITION BY r, w3) AS r3
+  FROM g),
+x AS (SELECT *, lag(r1) OVER o AS before1, lag(r2) OVER o AS before2 FROM c WINDOW o AS (PARTITION BY r ORDER BY i)),
+n AS (SELECT sum(len(w)) AS total FROM d),
+z AS (
+  SELECT x.r, i, greatest(1, total - len(d.w)) AS others, r1, r2, r3, before1, before2,
+         CASE WHEN i > 2 AND r3 > 0 THEN 0 WHEN i > 1 AND r2 > 0 THEN least(i, 3) - 2 WHEN r1 > 0 THEN least(i, 3) - 1 ELSE least(i, 3) END AS level
+  FROM x JOIN d ON d.r = x.r CROSS JOIN n),
+s AS (
+  SELECT r, sum(level * log10(0.4) + CASE WHEN i > 2 AND r3 > 0 THEN log10(r3 / greatest(before2, r3))
+         WHEN i > 1 AND r2 > 0 THEN log10(r2 / greatest(before1, r2)) WHEN r1 > 0 THEN log10(r1 / others) ELSE -log10(others) END) AS score,
+         count(*) FILTER (WHERE level > 0) AS backed
+  FROM z GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, round(coalesce(score, 0), 4) + 0.0 AS log10_score, CAST(coalesce(backed, 0) AS BIGINT) AS backed_off
+FROM d LEFT JOIN s ON d.r = s.r
+"""
+
+ORACLE = {"op2_stupid_backoff": BACKOFF_SQL, "op4_spherical_kmeans_neardup": VECTORS_SQL, "op9_hash_threshold_mix": MIX_SQL}

@@ -4,6 +4,7 @@ from collections import Counter
 import pytest
 
 from tessera.llm import lmscore, queries
+from tests import oracle
 
 
 def brute(docs, order, alpha):
@@ -44,6 +45,19 @@ def test_matches_brute_force(spark, sf, order):
         assert got[k][0] == n and got[k][2] == b and abs(got[k][1] - s) < 1e-4
 
 
+def test_query_equals_its_sql(spark, sf):
+    df = queries.op2_stupid_backoff(spark, sf)
+    oracle.same(df.collect(), df.columns, oracle.connect(sf).sql(queries.BACKOFF_SQL))
+
+
+def test_very_long_text(spark):
+    """A text of many blocks' size, against another that shares its middle."""
+    long = " ".join(f"w{i * i % 997}" for i in range(60_000))
+    docs = [(1, long), (2, long[1000:3000]), (3, "w0 w1 w4")]
+    got = {r[0]: (r[1], r[3]) for r in lmscore.stupid_backoff(spark.createDataFrame(docs, "doc_id long, text string"), block_bytes=10_000).collect()}
+    assert got == {k: (n, b) for k, (n, _, b) in brute(docs, 3, lmscore.ALPHA).items()}
+
+
 def test_edges(spark):
     rows = [(1, None, "x"), (2, "", "x"), (3, "a b a b a", "x"), (3, "a b a b a", "x"), (None, " \n", None), (5, "only here", "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_words string")
@@ -58,5 +72,6 @@ def test_query_scores_by_trigrams(spark, tmp_path):
     """Words whose bigram is known and whose trigram is not are backed off, which a bigram model can't tell."""
     rows = [(1, "a b c d"), (2, "x b c e"), (3, "a b c d"), (4, "y c d z"), (5, None)]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r.doc_id: (r.n_words, round(r.log10_score, 6), r.backed_off) for r in queries.op2_stupid_backoff(spark, str(tmp_path)).collect()}
-    assert got == brute(rows, 3, lmscore.ALPHA) and got != brute(rows, 2, lmscore.ALPHA)
+    got = {r.doc_id: (r.n_words, r.log10_score, r.backed_off) for r in queries.op2_stupid_backoff(spark, str(tmp_path)).collect()}
+    want, lower = ({k: (n, round(s, 4), b) for k, (n, s, b) in brute(rows, order, lmscore.ALPHA).items()} for order in (3, 2))
+    assert got == want and got != lower
