@@ -28,12 +28,21 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def materialize(df: DataFrame, tag: str, codec: str | None = None) -> DataFrame:
+def materialize(df: DataFrame, tag: str, codec: str | None = None, buckets: tuple[int, str] | None = None) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: the lineage ends at the files,
-    so a lost executor costs no more than the stage that was running."""
+    so a lost executor costs no more than the stage that was running.
+
+    With ``buckets`` (how many, and a column) the table is bucketed: a join or cogroup on the column doesn't shuffle it.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.options(**({"compression": codec} if codec else {})).parquet(path)
+    name = f"{tag}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}"
+    write = df.write.options(**({"compression": codec} if codec else {}))
+    if buckets:
+        table = name.replace("-", "_")
+        write.format("parquet").bucketBy(*buckets).option("path", path).saveAsTable(table)
+        return spark.table(table)
+    write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
