@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -28,9 +28,11 @@ ALPHA = 0.4
 #: Longest n-gram.
 ORDER = 3
 #: Bytes of text in a block of documents, and bytes of text whose n-grams one partition of the count tables holds.
-BLOCK_BYTES, BUCKET_BYTES = 8 << 20, 8 << 20
+BLOCK_BYTES, BUCKET_BYTES = 8 << 20, 2 << 20
 #: Most ranges of keys: with more data partitions grow, while 48 bits and the range still tell n-grams apart.
 MOST_BUCKETS = 1 << 16
+#: Most keys in a row of packed n-grams.
+PIECE = 1 << 15
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -64,8 +66,8 @@ class Block:
 
 
 def blocks_of(docs: DataFrame, *, id_col: str, text_col: str, block_bytes: int) -> DataFrame:
-    """``block, ids, sizes, words, tokens``: of the documents of a block their ids and numbers of words, the hashes of all
-    different words, and each word's place among these."""
+    """``block, ids, sizes, words, low, high``: of the documents of a block their ids and numbers of words, the hashes of all
+    different words, frequent ones first, and each word's place among these (lowest byte, and the rest)."""
     kind = docs.schema[id_col].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,9 +75,14 @@ def blocks_of(docs: DataFrame, *, id_col: str, text_col: str, block_bytes: int)
 
         def emit() -> pa.RecordBatch:
             h = np.fromiter(map(xxhash.xxh64_intdigest, seen), np.uint64, len(seen))
-            tokens = np.concatenate(codes).astype(np.int32)
-            row = [pa.array([uuid.uuid4().int >> 65], pa.int64()), pa.array([ids], pa.list_(of)), pa.array([np.array(sizes, np.int32)], pa.list_(pa.int32())), pa.array([h.view(np.int64)], pa.list_(pa.int64())), pa.array([tokens], pa.list_(pa.int32()))]
-            return pa.RecordBatch.from_arrays(row, names=["block", "ids", "sizes", "words", "tokens"])
+            tokens = np.concatenate(codes)
+            order = np.argsort(-np.bincount(tokens, minlength=len(h)), kind="stable")
+            place = np.empty(len(h), np.int32)
+            place[order] = np.arange(len(h))
+            tokens = place[tokens]
+            lists = {"sizes": np.array(sizes, np.int32), "words": h[order].view(np.int64), "low": tokens.astype(np.uint8).view(np.int8), "high": tokens >> 8}
+            row = [pa.array([uuid.uuid4().int >> 65], pa.int64()), pa.array([ids], pa.list_(of)), *(pa.array([x]) for x in lists.values())]
+            return pa.RecordBatch.from_arrays(row, names=["block", "ids", *lists])
 
         for b in slices(batches):
             of = b.column(0).type
@@ -91,56 +98,65 @@ def blocks_of(docs: DataFrame, *, id_col: str, text_col: str, block_bytes: int)
         if ids:
             yield emit()
 
-    schema = f"block long, ids array<{kind.simpleString()}>, sizes array<int>, words array<long>, tokens array<int>"
+    schema = f"block long, ids array<{kind.simpleString()}>, sizes array<int>, words array<long>, low array<byte>, high array<int>"
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t")).mapInArrow(run, schema)
 
 
 def open_block(row: pa.RecordBatch | pa.Table) -> Block:
     """The block in a table of one row."""
-    sizes, words, tokens = (np.asarray(row[c][0].values) for c in ("sizes", "words", "tokens"))
-    return Block(words.view(np.uint64), tokens, sizes.astype(np.int64))
+    sizes, words, low, high = (np.asarray(row[c][0].values) for c in ("sizes", "words", "low", "high"))
+    return Block(words.view(np.uint64), high.astype(np.int64) << 8 | low.view(np.uint8), sizes.astype(np.int64))
 
 
-def cuts(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """Where each of ``buckets`` equal ranges of keys begins among sorted keys, and their end."""
+def pieces(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys in pieces of one bucket (of ``buckets`` equal ranges of keys) and at most ``PIECE`` keys: the bucket and the
+    beginning of each piece."""
     edges = np.array([k * (1 << 64) // buckets for k in range(1, buckets)], np.uint64)
-    return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
+    cut = np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
+    parts = -(-np.diff(cut) // PIECE)
+    bucket = np.repeat(np.arange(buckets), parts)
+    nth = np.arange(len(bucket)) - np.repeat(np.cumsum(parts) - parts, parts)
+    return bucket, cut[bucket] + PIECE * nth
 
 
 def block_grams(blocks: DataFrame, order: int, buckets: int) -> DataFrame:
-    """``bucket, block, n, hi, lo, c``: the different n-grams of each block by bucket in order of their keys, and how often
-    the block has them. A bucket is a range of keys; ``hi`` and ``lo`` are the lower 48 bits of the key."""
+    """``bucket, block, n, piece, top, mid, low, c``: the different n-grams of each block in pieces (see ``pieces``), the lower
+    48 bits of their keys (8, 32 and 8), and how often the block has them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 1):
             block = open_block(b)
             for n in range(1, order + 1):
                 keys, counts = np.unique(block.grams(n)[1], return_counts=True)
-                cut = cuts(keys, buckets)
-                some = np.flatnonzero(np.diff(cut))
-                ends = pa.array([*cut[some], len(keys)], pa.int32())
-                lists = (pa.ListArray.from_arrays(ends, pa.array(x)) for x in ((keys >> np.uint64(16)).astype(np.uint32).view(np.int32), keys.astype(np.uint16).view(np.int16), counts.astype(np.int32)))
-                out = pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(np.repeat(b.column(0).to_numpy(), len(some))), pa.array(np.full(len(some), n, np.int8)), *lists], names=["bucket", "block", "n", "hi", "lo", "c"])
-                yield from slices([out])
+                bucket, start = pieces(keys, buckets)
+                ends = pa.array([*start, len(keys)], pa.int32())
+                lists = ((keys >> np.uint64(40)).astype(np.uint8).view(np.int8), (keys >> np.uint64(8)).astype(np.uint32).view(np.int32), keys.astype(np.uint8).view(np.int8), counts.astype(np.int32))
+                cols = [pa.array(bucket.astype(np.int32)), pa.array(np.full(len(bucket), b.column(0)[0].as_py())), pa.array(np.full(len(bucket), n, np.int8)), pa.array(np.arange(len(bucket), dtype=np.int32))]
+                yield from slices([pa.RecordBatch.from_arrays([*cols, *(pa.ListArray.from_arrays(ends, pa.array(x)) for x in lists)], names=["bucket", "block", "n", "piece", "top", "mid", "low", "c"])])
 
-    return blocks.select("block", "sizes", "words", "tokens").mapInArrow(run, "bucket int, block long, n byte, hi array<int>, lo array<short>, c array<int>")
+    return blocks.drop("ids").mapInArrow(run, "bucket int, block long, n byte, piece int, top array<byte>, mid array<int>, low array<byte>, c array<int>")
 
 
 def counts_elsewhere(grams: DataFrame, parts: int) -> DataFrame:
-    """``block, n, bucket, at, others``: of a block's n-grams that other blocks have too, their places in the bucket and how
-    often the other blocks have them.
+    """``block, n, piece, at, low, high``: of a block's n-grams that other blocks have too, their places in the piece and how
+    often the other blocks have them (lowest seven bits, and the rest).
 
     N-grams are dealt to partitions by bucket while they are packed by block; each partition explodes its own, counts them
     and puts the count beside each row. Count table and join are one window over the n-gram, as an equi-join on it
     would shuffle the exploded rows once more. A frequent n-gram has one row a block there, whatever the number of
     its occurrences, and a window's rows can spill.
     """
-    rows = grams.repartition(parts, "bucket").select("bucket", "block", "n", F.posexplode(F.arrays_zip("hi", "lo", "c")).alias("at", "g"))
-    key = F.shiftleft(F.col("g.hi").cast("long"), 16).bitwiseOR(F.col("g.lo").cast("long").bitwiseAND(F.lit(0xFFFF)))
-    rows = rows.select("bucket", "block", "n", "at", key.alias("key"), F.col("g.c").alias("c"))
+    rows = grams.repartition(parts, "bucket").select("bucket", "block", "n", "piece", F.posexplode(F.arrays_zip("top", "mid", "low", "c")).alias("at", "g"))
+
+    def part(name: str, bits: int) -> Column:
+        return F.col(f"g.{name}").cast("long").bitwiseAND(F.lit((1 << bits) - 1))
+
+    key = F.shiftleft(part("top", 8), 40).bitwiseOR(F.shiftleft(part("mid", 32), 8)).bitwiseOR(part("low", 8))
+    rows = rows.select("bucket", "block", "n", "piece", F.col("at").cast("short").alias("at"), key.alias("key"), F.col("g.c").alias("c"))
     same = Window.partitionBy("key", "bucket", "n")
-    found = rows.withColumns({"total": F.sum("c").over(same), "blocks": F.count("*").over(same)}).where("blocks > 1")
-    return found.groupBy("bucket", "block", "n").agg(F.collect_list("at").alias("at"), F.collect_list(F.col("total") - F.col("c")).alias("others"))
+    found = rows.withColumns({"others": F.sum("c").over(same) - F.col("c"), "blocks": F.count("*").over(same)}).where("blocks > 1")
+    low, high = F.col("others").bitwiseAND(F.lit(127)).cast("byte"), F.shiftright("others", 7)
+    return found.groupBy("bucket", "block", "n", "piece").agg(F.collect_list("at").alias("at"), F.collect_list(low).alias("low"), F.collect_list(high).alias("high")).drop("bucket")
 
 
 def score_block(block: Block, totals: dict[int, np.ndarray], words: int, order: int, alpha: float) -> tuple:
@@ -187,10 +203,10 @@ def stupid_backoff(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     scored whole (a block holds at least one document). N-grams are compared by 48 bits of hash within a bucket.
     """
     spark = docs.sparkSession
-    blocks = materialize(blocks_of(docs, id_col=id_col, text_col=text_col, block_bytes=block_bytes), "blocks", codec="zstd")
     size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // bucket_bytes))
     buckets = min(4 * parts, MOST_BUCKETS)
+    blocks = materialize(blocks_of(docs, id_col=id_col, text_col=text_col, block_bytes=block_bytes), "blocks", codec="zstd", buckets=(parts, "block"))
     found = counts_elsewhere(block_grams(blocks, order, buckets), parts)
     words = blocks.select(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
     kind = docs.schema[id_col].dataType.simpleString()
@@ -199,10 +215,11 @@ def stupid_backoff(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         block, totals = open_block(b), {}
         for n in range(1, order + 1):
             keys = np.unique(block.grams(n)[1])
-            start, totals[n] = cuts(keys, buckets), np.zeros(len(keys), np.int64)
+            start, totals[n] = pieces(keys, buckets)[1], np.zeros(len(keys), np.int64)
             mine = answers.filter(pc.equal(answers["n"], n))
-            for bucket, at, others in zip(mine["bucket"].to_pylist(), mine["at"], mine["others"], strict=True):
-                totals[n][start[bucket] + np.asarray(at.values)] = np.asarray(others.values)
+            for piece, *lists in zip(mine["piece"].to_pylist(), mine["at"], mine["low"], mine["high"], strict=True):
+                at, low, high = (np.asarray(x.values) for x in lists)
+                totals[n][start[piece] + at] = high << 7 | low
         n, sums, backed = score_block(block, totals, words, order, alpha)
         ids = b["ids"][0].values
         return pa.table([ids, pa.array(n, pa.int64()), pa.array(np.round(sums, 9) + 0.0), pa.array(backed, pa.int64())], names=["id", "n_words", "log10_score", "backed_off"])
