@@ -65,17 +65,17 @@ def lag_weight(lag: Column, date: Column, cfg: NewsConfig = DEFAULT.news) -> Col
 
 
 def monthly_exposure(events: DataFrame, regions: DataFrame, cfg: NewsConfig = DEFAULT.news) -> DataFrame:
-    """Events ``date, types, territory_ids, region_codes`` to ``territory_id, type, month, exposure``.
+    """Events ``event_id, date, types, territory_ids, region_codes`` to ``territory_id, type, month, exposure``.
 
     A mentioned territory has weight 1, each territory of a mentioned region ``region_weight``; of both, the larger
     counts (an event that names a place and its region is one event). The range join of events to months is an
     explode of few lags and an equi-join. Nothing reaches back before the publication day.
     """
-    e = events.withColumn("_e", F.monotonically_increasing_id()).withColumn("date", F.date_add("date", cfg.publication_lag_days))
-    own = e.select("_e", "date", "types", F.explode("territory_ids").alias("territory_id"), F.lit(1.0).alias("w"))
-    area = e.select("_e", "date", "types", F.explode("region_codes").alias("region_code")).join(F.broadcast(regions.select("territory_id", "region_code")), "region_code")
-    rows = own.unionByName(area.select("_e", "date", "types", "territory_id", F.lit(cfg.region_weight).alias("w")))
-    rows = rows.groupBy("_e", "date", "types", "territory_id").agg(F.max("w").alias("w"))
+    e = events.withColumn("date", F.date_add("date", cfg.publication_lag_days))
+    own = e.select("event_id", "date", "types", F.explode("territory_ids").alias("territory_id"), F.lit(1.0).alias("w"))
+    area = e.select("event_id", "date", "types", F.explode("region_codes").alias("region_code")).join(regions.select("territory_id", "region_code"), "region_code")
+    rows = own.unionByName(area.select("event_id", "date", "types", "territory_id", F.lit(cfg.region_weight).alias("w")))
+    rows = rows.groupBy("event_id", "date", "types", "territory_id").agg(F.max("w").alias("w"))
     rows = rows.withColumn("type", F.explode("types")).withColumn("lag", F.explode(F.sequence(F.lit(0), F.lit(cfg.max_lag))))
     month = F.add_months(F.trunc("date", "MM"), F.col("lag"))
     return rows.groupBy("territory_id", "type", month.alias("month")).agg(F.sum(F.col("w") * lag_weight(F.col("lag"), F.col("date"), cfg)).alias("exposure"))
@@ -95,7 +95,7 @@ def near_alarms(alarms: DataFrame, events: DataFrame, regions: DataFrame) -> Dat
     a = alarms.withColumn("_m", F.explode(F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda k: F.add_months("month", k))))
     e = events.withColumn("_m", F.trunc("date", "MM"))
     own = e.select("event_id", "date", "_m", F.explode("territory_ids").alias("territory_id")).withColumn("rank_limit", F.lit(2))
-    area = e.select("event_id", "date", "_m", F.explode("region_codes").alias("region_code")).join(F.broadcast(regions.select("territory_id", "region_code")), "region_code")
+    area = e.select("event_id", "date", "_m", F.explode("region_codes").alias("region_code")).join(regions.select("territory_id", "region_code"), "region_code")
     every = own.unionByName(area.select("event_id", "date", "_m", "territory_id").withColumn("rank_limit", F.lit(1)))
     rows = a.join(every, ["territory_id", "_m"])
     r = F.row_number().over(Window.partitionBy("territory_id", "category", "month", "rank_limit").orderBy("date", "event_id"))
@@ -111,9 +111,9 @@ def correction(rows: DataFrame) -> DataFrame:
 def event_study(z: DataFrame, treated: DataFrame, regions: DataFrame) -> DataFrame:
     """Rows ``territory_id, t, z`` as named (treated that month), in a region with a named one, or the rest: count and median by month."""
     reg = regions.select("territory_id", "region_code")
-    rows = z.join(F.broadcast(reg), "territory_id")
+    rows = z.join(reg, "territory_id")
     named = treated.select("territory_id", "t").distinct().withColumn("_n", F.lit(True))
-    areas = treated.select("territory_id", "t").distinct().join(F.broadcast(reg), "territory_id").select("region_code", "t").distinct().withColumn("_a", F.lit(True))
+    areas = treated.select("territory_id", "t").distinct().join(reg, "territory_id").select("region_code", "t").distinct().withColumn("_a", F.lit(True))
     rows = rows.join(named, ["territory_id", "t"], "left").join(areas, ["region_code", "t"], "left")
     group = F.when(F.col("_n"), "named").when(F.col("_a"), "same_region").otherwise("rest")
     return rows.groupBy("t", group.alias("grp")).agg(F.count("z").alias("n"), median("z").alias("median_z"))

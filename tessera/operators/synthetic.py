@@ -26,7 +26,7 @@ def profile(shape: Column, t: Column, onset: Column) -> Column:
     return F.when(shape == "step", on).when(shape == "dip", F.when((t >= onset) & (t < onset + 2), 1.0).otherwise(0.0)).when(shape == "spike", (t == onset).cast("double")).otherwise(ramp)
 
 
-def shocks(territories: DataFrame, scen: DataFrame, near: DataFrame | None = None, frac: float = 0.2, cfg: DetectConfig = DEFAULT.detect, n_categories: int = 6) -> DataFrame:
+def shocks(territories: DataFrame, scen: DataFrame, near: DataFrame | None = None, frac: float = 0.1, cfg: DetectConfig = DEFAULT.detect, n_categories: int = 6) -> DataFrame:
     """``scenario, territory_id, cat_idx, onset, delta``: one row for each shocked series.
 
     A share of territories are centres (smallest draws). A centre shocks one of its sub-categories, all of its series, or all

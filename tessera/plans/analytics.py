@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.config import DEFAULT
 from tessera.functions import r6, stats
 from tessera.operators import ensemble, features, metrics, offline, plugins
 from tessera.operators import panel as pn
@@ -71,7 +74,7 @@ def forecast_link(spark: SparkSession, sf: str) -> DataFrame:
     """After an alarm at the origin or the month before it, the local forecast moves by w towards the current value."""
     a = real_alarms(spark, sf).where("alarm").select(*KEYS, F.explode(F.array(F.col("t"), F.col("t") + 1)).alias("o")).distinct().withColumn("near_alarm", F.lit(True))
     now = decomposed(spark, sf).where("is_full").select(*KEYS, F.col("t").alias("o"), "d")
-    f = forecasts(spark, sf, ("mean3",)).join(now, [*KEYS, "o"]).join(F.broadcast(a), [*KEYS, "o"], "left")
+    f = forecasts(spark, sf, ("mean3",)).join(now, [*KEYS, "o"]).join(a, [*KEYS, "o"], "left")
     f = f.withColumn("w", F.explode(F.array(*map(F.lit, (0.0, 0.25, 0.5, 0.75, 1.0)))))
     moved = F.col("f") + F.when(F.col("near_alarm"), F.col("w") * (F.col("d") - F.col("f"))).otherwise(F.lit(0.0))
     rows = metrics.usable(f.withColumn("yhat", F.exp(F.col("nhat") + moved)))
@@ -122,25 +125,61 @@ def offline_changepoints(spark: SparkSession, sf: str) -> DataFrame:
     return out.select(*KEYS, "method", F.size("points").alias("n_points"), F.array_join(F.col("points").cast("array<string>"), ",").alias("points"))
 
 
-def _loss(spark: SparkSession, sf: str) -> DataFrame:
-    f = forecasts(spark, sf, ("level_season", "naive")).where("split = 'test' and h in (1, 3, 6)")
-    return materialize(metrics.monthly_loss(f, "level_season", "naive"), "loss")
+_U = lambda kind, key: f"CAST(('0x' || substr(md5('{kind}|' || b || '|' || {key}), 1, 8)) AS BIGINT) / 4294967296.0"
 
 
-@query()
+def _poisson_sql(u: str) -> str:
+    cuts, at, p = [], 0.0, math.exp(-1)
+    for k in range(8):
+        at += p
+        cuts.append(at)
+        p /= k + 1
+    return " + ".join(f"CAST({u} >= {c!r} AS INTEGER)" for c in cuts)
+
+
+#: P(|T| > |s|) for n - 1 degrees of freedom, as in ``stats.student_two_sided``.
+_DM_P = """1 - CASE WHEN (n - 1) % 2 = 1 THEN (atan(abs(s) / sqrt(n - 1)) + CASE WHEN n > 2 THEN list_sum(list_transform(range(0, (n - 4) // 2 + 1), lambda j:
+    sn * sqrt(c2) * pow(c2, j) * coalesce(list_product(list_transform(range(1, j + 1), lambda k: 2 * k / (2 * k + 1.0))), 1.0))) ELSE 0 END) * 2 / pi()
+  ELSE list_sum(list_transform(range(0, (n - 3) // 2 + 1), lambda j: sn * pow(c2, j) * coalesce(list_product(list_transform(range(1, j + 1), lambda k: (2 * k - 1) / (2.0 * k))), 1.0))) END"""
+_SIGN_P = "least(1.0, 2 * list_sum(list_transform(range(0, least(k, n - k) + 1), lambda i: factorial(CAST(n AS INTEGER))::DOUBLE / factorial(CAST(i AS INTEGER)) / factorial(CAST(n - i AS INTEGER)))) / pow(2.0, n))"
+
+
+@query(
+    sql.FORECASTS + f""", pair AS (SELECT h, territory_id, category, o, t, max(abs(y - exp(lf))) FILTER (WHERE model = 'level_season') AS ea, max(abs(y - exp(lf))) FILTER (WHERE model = 'naive') AS eb
+  FROM fc WHERE y IS NOT NULL AND lf IS NOT NULL AND split = 'test' AND h IN (1, 3, 6, 12) GROUP BY ALL),
+loss AS (SELECT h, territory_id, t, avg(ea - eb) AS diff FROM pair WHERE ea IS NOT NULL AND eb IS NOT NULL GROUP BY ALL),
+mon AS (SELECT h, t, avg(diff) AS m FROM loss GROUP BY ALL),
+ser AS (SELECT h, list(m ORDER BY t) AS x, avg(m) AS mean, count(*) AS n, count(*) FILTER (WHERE m < 0) AS k FROM mon GROUP BY h),
+dev AS (SELECT *, list_transform(x, lambda v: v - mean) AS e, greatest(1, least(h, n - 1)) AS lags FROM ser),
+va AS (SELECT *, CASE WHEN n >= 3 THEN list_sum(list_transform(range(0, CAST(lags AS BIGINT)), lambda k: CASE WHEN k = 0 THEN 1.0 ELSE 2 * (1 - k / lags::DOUBLE) END
+  * list_avg(list_transform(range(1, n - k + 1), lambda i: e[i] * e[i + k])))) / n END AS v FROM dev),
+dm AS (SELECT *, CASE WHEN v > 0 THEN mean / sqrt(v) * sqrt(greatest((n + 1 - 2 * lags + lags * (lags - 1) / n::DOUBLE) / n, 1e-9)) END AS s FROM va),
+dp AS (SELECT *, abs(s) / sqrt(n - 1 + s * s) AS sn, (n - 1) / (n - 1 + s * s) AS c2 FROM dm),
+si AS (SELECT h, n, s, {_DM_P} AS p, {_SIGN_P} AS sign_p FROM dp),
+ho AS (SELECT *, row_number() OVER (ORDER BY sign_p, h) AS r, (count(*) OVER () - row_number() OVER (ORDER BY sign_p, h) + 1) * sign_p AS sc FROM si),
+bs AS (SELECT CAST(b AS INTEGER) AS b FROM range({stats.DRAWS}) r(b)),
+wt AS (SELECT territory_id, b, {_poisson_sql(_U('territory', 'territory_id'))} AS wt FROM (SELECT DISTINCT territory_id FROM loss) CROSS JOIN bs),
+wm AS (SELECT t, b, {_poisson_sql(_U('month', 't'))} AS wm FROM (SELECT DISTINCT t FROM loss) CROSS JOIN bs),
+me AS (SELECT h, b, sum(wt * wm * diff) / nullif(sum(wt * wm), 0) AS m2, sum(wt * diff) / nullif(sum(wt), 0) AS m1 FROM loss JOIN wt USING (territory_id) JOIN wm USING (t, b) GROUP BY h, b),
+ci AS (SELECT h, quantile_cont(m2, 0.025) AS ci_low, quantile_cont(m2, 0.975) AS ci_high, quantile_cont(m1, 0.025) AS ci1_low, quantile_cont(m1, 0.975) AS ci1_high FROM me GROUP BY h)
+SELECT h, CAST(n AS INTEGER) AS n_months, round(s, 6) + 0.0 AS dm_stat, round(p, 6) + 0.0 AS dm_p, round(sign_p, 6) AS sign_p, round(least(1.0, max(sc) OVER (ORDER BY r)), 6) AS p_holm,
+  round(ci_low, 4) + 0.0 AS ci_low, round(ci_high, 4) + 0.0 AS ci_high, round(ci1_low, 4) + 0.0 AS ci1_low, round(ci1_high, 4) + 0.0 AS ci1_high,
+  (SELECT round(avg(diff), 4) + 0.0 FROM loss l WHERE l.h = ho.h) AS diff, (SELECT round(avg((diff < 0)::INT), 6) FROM loss l WHERE l.h = ho.h) AS share_better
+FROM ho JOIN ci USING (h)"""
+)
 def significance(spark: SparkSession, sf: str) -> DataFrame:
-    """Level and season against naive: intervals by two-way bootstrap, Diebold-Mariano and sign tests over target months."""
-    loss = _loss(spark, sf)
-    months = loss.groupBy("h", "t").agg(F.avg("diff").alias("m")).orderBy("h", "t").collect()
-    by: dict[int, list[float]] = {}
-    for r in months:
-        by.setdefault(r.h, []).append(r.m)
-    rows = [(h, len(v), *map(float, stats.dm_hln(v, h)), stats.sign_test(sum(x < 0 for x in v), len(v))) for h, v in by.items()]
-    tests = spark.createDataFrame(rows, "h int, n_months int, dm_stat double, dm_p double, sign_p double")
-    return stats.holm(tests, "sign_p").join(stats.bootstrap(loss, ["h"]), "h")
+    """Level and season against naive: bootstrap intervals, Diebold-Mariano and sign tests over target months, Holm's correction."""
+    f = forecasts(spark, sf, ("level_season", "naive")).where(F.col("split") == "test").where(F.col("h").isin(*DEFAULT.grid.horizons))
+    loss = materialize(metrics.monthly_loss(f, "level_season", "naive"), "loss")
+    months = loss.groupBy("h", "t").agg(F.avg("diff").alias("m"))
+    signs = months.groupBy("h").agg(stats.sign_test(F.count(F.when(F.col("m") < 0, 1)), F.count("*")).alias("sign_p"))
+    tests = stats.diebold_mariano(months, ["h"], "t", "m", "h").withColumnRenamed("n_periods", "n_months").join(stats.holm(signs, "sign_p"), "h")
+    out = tests.join(stats.bootstrap(loss, ["h"]), "h")
+    fine, coarse = ("dm_stat", "dm_p", "sign_p", "p_holm", "share_better"), ("ci_low", "ci_high", "ci1_low", "ci1_high", "diff")
+    return out.select("h", "n_months", *[r6(F.col(c)).alias(c) for c in fine], *[(F.round(c, 4) + 0.0).alias(c) for c in coarse])
 
 
-_GRP = "WITH s AS (SELECT l_shipdate >= DATE '1998-01-01' AS late, round(l_extendedprice / l_quantity, 2) AS v, l_returnflag AS k FROM lineitem WHERE l_orderkey % 20 = 1)"
+_GRP = "WITH s AS (SELECT l_shipdate >= DATE '1998-01-01' AS late, l_extendedprice / l_quantity AS v, l_returnflag AS k FROM lineitem)"
 
 
 @query(
@@ -151,8 +190,8 @@ SELECT k, round(rs - n1 * (n1 + 1) / 2, 4) AS U, round((rs - n1 * (n1 + 1) / 2 -
 FROM a JOIN ti USING (k) WHERE n1 > 0 AND n2 > 0"""
 )
 def mann_whitney(spark: SparkSession, sf: str) -> DataFrame:
-    line = tb.table(spark, sf, "lineitem").where("l_orderkey % 20 = 1")
-    rows = line.select((F.col("l_shipdate") >= "1998-01-01").alias("late"), F.round(F.col("l_extendedprice") / F.col("l_quantity"), 2).alias("v"), F.col("l_returnflag").alias("k"))
+    line = tb.table(spark, sf, "lineitem")
+    rows = line.select((F.col("l_shipdate") >= "1998-01-01").alias("late"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("v"), F.col("l_returnflag").alias("k"))
     return stats.mann_whitney(rows, ["k"], "late", "v").withColumns({"U": F.round("U", 4), "z": r6(F.col("z"))})
 
 

@@ -93,11 +93,30 @@ def _glr(v: str, part: str) -> str:
     return f"greatest(0.0, {', '.join(terms)})"
 
 
+_lse = lambda v: f"(list_max({v}) + ln(list_sum(list_transform({v}, lambda q: exp(q - list_max({v}))))))"
+_fit = lambda mean, k: f"(-pow(x[t + 2] - {mean}, 2) / (2 * (1 + 1 / {k})) - ln(2 * pi() * (1 + 1 / {k})) / 2)"
+
+
+def bocpd_sql(src: str, keys: str, hazard: str = "0.02") -> str:
+    """CTE ``bo`` (keys, t, score) over ``src`` (keys, t, x and what ``hazard`` reads): a recursion over months whose state is
+    the list of log weights of the months in which the regime may have begun."""
+    begin = "greatest(i - 2, 0)"
+    k = f"(0.05 + t + 1 - {begin})"
+    goes_on = f"list_transform(range(1, len(w) + 1), lambda i: w[i] + ln(1 - hz[t + 2]) + {_fit(f'((s[t + 2] - s[{begin} + 1]) / {k})', k)})"
+    fresh = f"{_lse('w')} + ln(hz[t + 2]) + {_fit('0', '0.05')}"
+    return f""",
+ser AS (SELECT {keys}, list(coalesce(x, 0.0) ORDER BY t) AS x, list(CAST({hazard} AS DOUBLE) ORDER BY t) AS hz FROM {src} GROUP BY {keys}),
+pre AS (SELECT *, list_transform(range(0, len(x) + 1), lambda i: coalesce(list_sum(x[1:i]), 0.0)) AS s FROM ser),
+rec AS (SELECT {keys}, x, hz, s, CAST(-1 AS BIGINT) AS t, [CAST(0 AS DOUBLE)] AS w FROM pre
+  UNION ALL SELECT {keys}, x, hz, s, t + 1, list_transform(w2, lambda q: q - {_lse('w2')}) FROM (SELECT *, list_append({goes_on}, {fresh}) AS w2 FROM rec WHERE t + 1 < len(x))),
+bo AS (SELECT {keys}, CAST(t AS INTEGER) AS t, CASE WHEN len(w) < 3 THEN CAST('inf' AS DOUBLE) ELSE {_lse('w[len(w) - 1:]')} - {_lse('w[1:len(w) - 2]')} END AS score FROM rec WHERE t >= 0)"""
+
+
 _P = "PARTITION BY territory_id, category"
 SCORES = {
     "zscore": (STREAMS, "abs(z)"),
     "cusum_w": (STREAMS, _cusum_w("c", _P)),
-    "glr": (STREAMS, _glr("c", _P)),
+    "glr": (STREAMS, _glr("x", _P)),
 }
 
 
@@ -128,7 +147,8 @@ _detector(
     STREAMS + """ SELECT a.territory_id, a.category, a.t, round(abs(sum(0.4 * pow(0.6, a.t - b.t) * coalesce(b.z, 0))) / sqrt(0.4 / 1.6), 6) + 0.0 AS score
 FROM st a JOIN st b ON a.territory_id = b.territory_id AND a.category = b.category AND b.t <= a.t GROUP BY a.territory_id, a.category, a.t""",
 )
-_detector("bocpd", None)
+RECURSIVE = STREAMS.replace("WITH ", "WITH RECURSIVE ", 1)
+_detector("bocpd", RECURSIVE + bocpd_sql("st", "territory_id, category") + " SELECT territory_id, category, t, round(score, 6) + 0.0 AS score FROM bo")
 _detector(
     "stouffer",
     STREAMS + f""", s AS (SELECT territory_id, t, sum(coalesce(c, 0)) FILTER (WHERE cat_idx > 0) / sqrt(5.0) AS s FROM st GROUP BY territory_id, t),
@@ -198,7 +218,7 @@ ter AS (SELECT DISTINCT territory_id FROM src),
 cand AS (SELECT s.*, r.territory_id AS centre, row_number() OVER (PARTITION BY scenario ORDER BY {_draw("'centre'", "s.scenario", "r.territory_id")}, r.territory_id) AS rank,
   count(*) OVER (PARTITION BY scenario) AS n FROM scen s CROSS JOIN ter r),
 cen AS (SELECT scenario, scope, rank, centre, CAST(13 + {_draw("'onset'", "scenario", "centre")} % 9 AS INTEGER) AS onset,
-  ln(1 + magnitude) * (2 * ({_draw("'sign'", "scenario", "centre")} % 2) - 1) AS delta FROM cand WHERE rank <= greatest(1, floor(n * 0.2))),
+  ln(1 + magnitude) * (2 * ({_draw("'sign'", "scenario", "centre")} % 2) - 1) AS delta FROM cand WHERE rank <= greatest(1, floor(n * 0.1))),
 crows AS (SELECT c.*, CAST(k AS INTEGER) AS cat_idx FROM cen c CROSS JOIN range(6) x(k) WHERE scope <> 'series' OR k = 1 + {_draw("'category'", "scenario", "centre")} % 5),
 allr AS (SELECT scenario, rank, centre AS territory_id, cat_idx, onset, delta FROM crows
   UNION ALL SELECT c.scenario, c.rank, n.dst, c.cat_idx, c.onset, c.delta FROM crows c JOIN near n ON n.src = c.centre WHERE scope = 'cluster' AND n.dst IN (SELECT territory_id FROM ter)),
@@ -223,10 +243,25 @@ def inject_shocks(spark: SparkSession, sf: str) -> DataFrame:
 
 SKEYS = ["scenario", *KEYS]
 _SP = "PARTITION BY scenario, territory_id, category"
-_GRID_SCORES = f""", sc AS (
+_SW = f"{_SP} ORDER BY t"
+_ST = "PARTITION BY scenario, territory_id"
+_GRID_SCORES = f""", cu AS (SELECT *, sum(coalesce(z, 0) - 0.5) OVER ({_SW}) AS up, sum(-coalesce(z, 0) - 0.5) OVER ({_SW}) AS dn, avg(coalesce(z, 0)) OVER ({_SW}) AS m FROM st),
+ph AS (SELECT *, sum(coalesce(z, 0) - m - 0.25) OVER ({_SW}) AS u, sum(coalesce(z, 0) - m + 0.25) OVER ({_SW}) AS v FROM cu),
+ew AS (SELECT a.scenario, a.territory_id, a.category, a.t, abs(sum(0.4 * pow(0.6, a.t - b.t) * coalesce(b.z, 0))) / sqrt(0.4 / 1.6) AS score
+  FROM st a JOIN st b ON a.scenario = b.scenario AND a.territory_id = b.territory_id AND a.category = b.category AND b.t <= a.t GROUP BY ALL),
+sf AS (SELECT scenario, territory_id, t, sum(coalesce(c, 0)) FILTER (WHERE cat_idx > 0) / sqrt(5.0) AS s FROM st GROUP BY ALL),
+sq AS (SELECT scenario, territory_id, t, {_cusum_w("s", _ST)} AS score FROM sf),
+nb AS (SELECT n.src AS territory_id, s.scenario, s.category, s.t, avg(s.c) AS m, count(*) AS k FROM near n JOIN st s ON s.territory_id = n.dst GROUP BY ALL),
+mx AS (SELECT s.*, (0.5 * c + 0.5 * m) / sqrt(0.25 + 0.25 / greatest(coalesce(k, 0), 1)) AS mix FROM st s LEFT JOIN nb USING (scenario, territory_id, category, t)),
+sc AS (
   SELECT *, 'zscore' AS detector, abs(z) AS score FROM st UNION ALL
   SELECT *, 'cusum_w', {_cusum_w("c", _SP)} FROM st UNION ALL
-  SELECT *, 'glr', {_glr("c", _SP)} FROM st),
+  SELECT *, 'glr', {_glr("x", _SP)} FROM st UNION ALL
+  SELECT * EXCLUDE (up, dn, m), 'cusum', greatest(up - least(0, min(up) OVER ({_SW})), dn - least(0, min(dn) OVER ({_SW}))) FROM cu UNION ALL
+  SELECT * EXCLUDE (up, dn, m, u, v), 'page_hinkley', greatest(u - least(0, min(u) OVER ({_SW})), greatest(0, max(v) OVER ({_SW})) - v) FROM ph UNION ALL
+  SELECT st.*, 'ewma', ew.score FROM st JOIN ew USING (scenario, territory_id, category, t) UNION ALL
+  SELECT st.*, 'stouffer', sq.score FROM st JOIN sq USING (scenario, territory_id, t) UNION ALL
+  SELECT * EXCLUDE (mix), 'spatial', {_cusum_w("mix", _SP)} FROM mx),
 fr AS (SELECT unnest([{", ".join(map(str, FARS))}]) AS far),
 th AS (SELECT scenario, detector, CAST(unnest([{", ".join(map(str, FARS))}]) AS DOUBLE) AS far, unnest(quantile_cont(score, [{", ".join(str(1 - f) for f in FARS)}])) AS threshold FROM sc
   WHERE NOT shocked AND t BETWEEN 12 AND 23 AND score IS NOT NULL GROUP BY scenario, detector),
@@ -237,11 +272,24 @@ ev AS (SELECT scenario, detector, far, avg((hits > 0)::INT) FILTER (WHERE shocke
   avg(first) AS delay, sum(hits) / greatest(sum(alarms), 1)::DOUBLE AS precision, 100.0 * sum(alarms) FILTER (WHERE NOT shocked) / greatest(sum(months) FILTER (WHERE NOT shocked), 1) AS far_per100 FROM per GROUP BY ALL)"""
 
 
-def grid_scores(rows: DataFrame, names=("zscore", "cusum_w", "glr")) -> DataFrame:
+GRID = ("zscore", "cusum_w", "glr", "cusum", "page_hinkley", "ewma", "stouffer", "spatial")
+
+
+def grid_scores(rows: DataFrame, around: DataFrame, names=GRID) -> DataFrame:
     """One row for each scenario, series, month and detector."""
     st = materialize(dt.streams(rows, SKEYS), "streams")
-    keep = [*SKEYS, "scope", "shape", "magnitude", "t", "onset", "shocked"]
-    return reduce(DataFrame.unionByName, [dt.DETECTORS[n](st, dt.STREAM[n], SKEYS).select(*keep, F.lit(n).alias("detector"), "score") for n in names])
+    keep = [*SKEYS, "t", "onset", "shocked"]
+
+    def scored(n: str) -> DataFrame:
+        out = dt.spatial(st, "c", SKEYS, around) if n == "spatial" else dt.DETECTORS[n](st, dt.STREAM[n], SKEYS)
+        return out.select(*keep, F.lit(n).alias("detector"), "score")
+
+    return reduce(DataFrame.unionByName, map(scored, names))
+
+
+def full_grid(spark: SparkSession, sf: str, names=GRID) -> DataFrame:
+    """All 108 scenarios: three scopes, three shapes, four sizes and three seeds."""
+    return evaluated(grid_scores(injected(spark, sf, sy.SCOPES, sy.SHAPES, sy.MAGNITUDES, 3), near(spark, sf), names))
 
 
 def evaluated(rows: DataFrame, fars=FARS) -> DataFrame:
@@ -254,18 +302,18 @@ def evaluated(rows: DataFrame, fars=FARS) -> DataFrame:
 
 _R = ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in ("recall", "recall_at_onset", "delay", "precision", "far_per100"))
 _F1 = "round(2 * precision * recall / greatest(precision + recall, 1e-9), 6) + 0.0 AS F1"
-_GRID = scenario_sql(sy.SCOPES, sy.SHAPES, (0.05, 0.2), 2) + streams_sql("inj", "scenario, territory_id, category", "scenario") + _GRID_SCORES
+_GRID = scenario_sql(sy.SCOPES, sy.SHAPES, sy.MAGNITUDES, 3) + streams_sql("inj", "scenario, territory_id, category", "scenario") + _GRID_SCORES
 
 
 @query(_GRID + f" SELECT scenario, detector, far, {_R}, {_F1} FROM ev")
 def alarm_scores(spark: SparkSession, sf: str) -> DataFrame:
-    out = evaluated(grid_scores(injected(spark, sf, sy.SCOPES, sy.SHAPES, (0.05, 0.2), 2)))
+    out = full_grid(spark, sf)
     return out.withColumns({c: r6(F.col(c)) for c in ("recall", "recall_at_onset", "delay", "precision", "far_per100", "F1")})
 
 
 @query(_GRID + " SELECT detector, split_part(scenario, '|', 1) AS scope, round(avg(recall), 6) AS recall, round(avg(precision), 6) AS precision, count(*) AS n_scenarios FROM ev WHERE far = 0.03 GROUP BY ALL")
 def grid_summary(spark: SparkSession, sf: str) -> DataFrame:
-    out = evaluated(grid_scores(injected(spark, sf, sy.SCOPES, sy.SHAPES, (0.05, 0.2), 2))).where("far = 0.03")
+    out = full_grid(spark, sf).where("far = 0.03")
     scope = F.element_at(F.split("scenario", r"\|"), 1)
     return out.groupBy("detector", scope.alias("scope")).agg(F.round(F.avg("recall"), 6).alias("recall"), F.round(F.avg("precision"), 6).alias("precision"), F.count("*").alias("n_scenarios"))
 
@@ -274,7 +322,7 @@ def grid_summary(spark: SparkSession, sf: str) -> DataFrame:
 UNION ALL SELECT 'random', CAST(far AS DOUBLE), round(1 - pow(1 - far, 3), 6) FROM fr""")
 def far_curve(spark: SparkSession, sf: str) -> DataFrame:
     """Recall by false-alarm rate, with what random alarms would reach."""
-    out = evaluated(grid_scores(injected(spark, sf, sy.SCOPES, sy.SHAPES, (0.05, 0.2), 2)))
+    out = full_grid(spark, sf)
     got = out.groupBy("detector", "far").agg(F.round(F.avg("recall"), 6).alias("recall"))
     rates = spark.range(1).select(F.explode(F.array(*map(F.lit, FARS))).alias("far"))
     return got.unionByName(rates.select(F.lit("random").alias("detector"), "far", F.round(1 - F.pow(1 - F.col("far"), F.lit(DEFAULT.detect.tolerance + 1)), 6).alias("recall")))
@@ -286,15 +334,19 @@ _OUT = scenario_sql(("series",), ("spike", "step"), (0.2,), 4) + streams_sql("in
 @query(_OUT + " SELECT detector, split_part(scenario, '|', 2) AS kind, round(avg(recall), 6) AS recall, count(*) AS n FROM ev WHERE far = 0.03 GROUP BY ALL")
 def outlier_vs_shift(spark: SparkSession, sf: str) -> DataFrame:
     """How often a single outlier is taken for a shift of the same size."""
-    out = evaluated(grid_scores(injected(spark, sf, ("series",), ("spike", "step"), (0.2,), 4))).where("far = 0.03")
+    out = evaluated(grid_scores(injected(spark, sf, ("series",), ("spike", "step"), (0.2,), 4), near(spark, sf))).where("far = 0.03")
     return out.groupBy("detector", F.element_at(F.split("scenario", r"\|"), 2).alias("kind")).agg(F.round(F.avg("recall"), 6).alias("recall"), F.count("*").alias("n"))
 
 
-@query()
+_BOCPD_GRID = _GRID.replace("WITH ", "WITH RECURSIVE ", 1).replace(_GRID_SCORES[: _GRID_SCORES.index("fr AS (")], bocpd_sql("st", "scenario, territory_id, category") + """,
+sc AS (SELECT st.*, 'bocpd' AS detector, score FROM st JOIN bo USING (scenario, territory_id, category, t)),
+""")
+
+
+@query(_BOCPD_GRID + f" SELECT scenario, detector, far, {_R}, {_F1} FROM ev")
 def bocpd_grid(spark: SparkSession, sf: str) -> DataFrame:
     """The scenario grid for the Bayesian detector."""
-    out = evaluated(grid_scores(injected(spark, sf, ("series", "mo"), ("step",), (0.2,), 2), ("bocpd",)))
-    return out.withColumns({c: r6(F.col(c)) for c in ("recall", "recall_at_onset", "delay", "precision", "far_per100", "F1")})
+    return full_grid(spark, sf, ("bocpd",)).withColumns({c: r6(F.col(c)) for c in ("recall", "recall_at_onset", "delay", "precision", "far_per100", "F1")})
 
 
 def real_alarms(spark: SparkSession, sf: str, far: float = 0.05) -> DataFrame:

@@ -10,7 +10,7 @@ from tessera.functions import r6
 from tessera.operators import detect as dt
 from tessera.operators import news as nw
 from tessera.plans import sql
-from tessera.plans.detection import KEYS, REAL, STREAMS, real_alarms, the_streams
+from tessera.plans.detection import KEYS, REAL, RECURSIVE, STREAMS, bocpd_sql, real_alarms, the_streams
 from tessera.plans.forecasting import decomposed, forecasts, the_panel
 from tessera.sources import tables as tb
 
@@ -71,13 +71,17 @@ def hazard_multiplier(spark: SparkSession, sf: str) -> DataFrame:
     return out.groupBy("territory_id", "t").agg(r6(F.max("mult")).alias("mult"))
 
 
-@query()
+@query(
+    RECURSIVE + "," + _HAZ[_HAZ.index(EVENTS) :] + ", sm AS (SELECT st.*, mult FROM st JOIN hm USING (territory_id, category, t))"
+    + bocpd_sql("sm", "territory_id, category", "greatest(1e-4, least(0.9, 0.02 * mult))")
+    + " SELECT territory_id, category, t, round(mult, 6) AS mult, round(score, 6) + 0.0 AS score FROM bo JOIN sm USING (territory_id, category, t)"
+)
 def bocpd_news(spark: SparkSession, sf: str) -> DataFrame:
     """Bayesian change points whose hazard follows the news."""
     months = the_panel(spark, sf).select(*KEYS, "t", "month")
     rows = the_streams(spark, sf).join(months, [*KEYS, "t"])
     rows = nw.hazard_multiplier(rows, nw.monthly_exposure(events(spark, sf), tb.regions(spark, sf)))
-    return dt.bocpd(rows, "c", KEYS, mult="mult").select(*KEYS, "t", r6(F.col("mult")).alias("mult"), r6(F.col("score")).alias("score"))
+    return dt.bocpd(rows, "x", KEYS, mult="mult").select(*KEYS, "t", r6(F.col("mult")).alias("mult"), r6(F.col("score")).alias("score"))
 
 
 def _rule_sql(kind: str) -> str:
@@ -188,7 +192,7 @@ def exposure_correction(spark: SparkSession, sf: str) -> DataFrame:
     months = F.round(F.months_between("month", F.lit(DEFAULT.panel.start).cast("date"))).cast("int")
     x = nw.monthly_exposure(events(spark, sf), tb.regions(spark, sf)).groupBy("territory_id", months.alias("t")).agg(F.sum("exposure").alias("x"))
     f = forecasts(spark, sf, ("level_season",)).where("h = 1 and y is not null and lf is not null")
-    rows = f.join(F.broadcast(x), ["territory_id", "t"], "left").select("split", F.coalesce("x", F.lit(0.0)).alias("x"), (F.log("y") - F.col("lf")).alias("e"))
+    rows = f.join(x, ["territory_id", "t"], "left").select("split", F.coalesce("x", F.lit(0.0)).alias("x"), (F.log("y") - F.col("lf")).alias("e"))
     b = nw.correction(rows.where("split = 'val'"))
     out = rows.where("split = 'test'").crossJoin(F.broadcast(b))
     return out.agg(r6(F.max("beta")).alias("beta"), r6(F.avg(F.abs("e"))).alias("mae_without"), r6(F.avg(F.abs(F.col("e") - F.col("beta") * F.col("x")))).alias("mae_with"), r6(F.avg((F.col("x") > 0).cast("int"))).alias("share_exposed"))
@@ -207,14 +211,14 @@ ctl AS (SELECT o.territory_id, o.t, avg(z.dd) AS v FROM own o JOIN nation a ON a
   JOIN dz z ON z.territory_id = b.n_nationkey AND z.t = o.t WHERE NOT EXISTS (SELECT 1 FROM tr x WHERE x.territory_id = b.n_nationkey AND x.t = o.t) GROUP BY o.territory_id, o.t)
 SELECT o.territory_id, o.t, round(o.v - c.v, 6) + 0.0 AS effect FROM own o JOIN ctl c USING (territory_id, t)""")
 def pooled_study(spark: SparkSession, sf: str) -> DataFrame:
-    """Change of named territories less that of untreated territories of the same region and month."""
+    """Change of named territories less that of untreated territories of the same region and month: a treated territory is not
+    among these, so one mean a region and month serves all."""
     from pyspark.sql.window import Window
 
     t = F.round(F.months_between(F.trunc("date", "MM"), F.lit(DEFAULT.panel.start).cast("date"))).cast("int")
     treated = events(spark, sf).where(F.array_contains("types", "emergency")).select(F.explode("territory_ids").alias("territory_id"), t.alias("t")).distinct()
     d = decomposed(spark, sf).where("is_full").withColumn("dd", F.col("d") - F.lag("d").over(Window.partitionBy(*KEYS).orderBy("t"))).select("territory_id", "t", "dd")
     reg = tb.regions(spark, sf).select("territory_id", "region_code")
-    own = treated.join(d, ["territory_id", "t"]).groupBy("territory_id", "t").agg(F.avg("dd").alias("v")).join(F.broadcast(reg), "territory_id")
-    free = d.join(treated, ["territory_id", "t"], "left_anti").join(F.broadcast(reg), "territory_id").select(F.col("territory_id").alias("control"), "t", "region_code", "dd")
-    ctl = own.join(free, ["region_code", "t"]).where("control <> territory_id").groupBy("territory_id", "t").agg(F.avg("dd").alias("c"))
-    return own.join(ctl, ["territory_id", "t"]).select("territory_id", "t", r6(F.col("v") - F.col("c")).alias("effect"))
+    own = treated.join(d, ["territory_id", "t"]).groupBy("territory_id", "t").agg(F.avg("dd").alias("v")).join(reg, "territory_id")
+    free = d.join(treated, ["territory_id", "t"], "left_anti").join(reg, "territory_id")
+    return own.join(free.groupBy("region_code", "t").agg(F.avg("dd").alias("c")), ["region_code", "t"]).select("territory_id", "t", r6(F.col("v") - F.col("c")).alias("effect"))

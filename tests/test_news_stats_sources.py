@@ -12,7 +12,7 @@ from tessera.sources import envelope, portal
 from tessera.sources import tables as tb
 from tessera.streaming import online
 
-EVENTS = "date date, types array<string>, territory_ids array<int>, region_codes array<int>"
+EVENTS = "event_id int, date date, types array<string>, territory_ids array<int>, region_codes array<int>"
 
 
 @pytest.fixture(scope="module")
@@ -21,7 +21,7 @@ def regions(spark):
 
 
 def exposure(spark, regions, *events):
-    df = spark.createDataFrame([(dt.date.fromisoformat(d), t, ids, reg) for d, t, ids, reg in events], EVENTS)
+    df = spark.createDataFrame([(i, dt.date.fromisoformat(d), t, ids, reg) for i, (d, t, ids, reg) in enumerate(events)], EVENTS)
     return {(r.territory_id, r.type, str(r.month)[:7]): r.exposure for r in nw.monthly_exposure(df, regions).collect()}
 
 
@@ -41,11 +41,11 @@ def test_a_place_and_its_region_are_one_event(spark, regions):
 
 
 def test_hazard_multiplier_is_capped(spark, regions):
-    df = spark.createDataFrame([(dt.date(2024, 3, 1), ["emergency"], [10], [])] * 3, EVENTS)
+    df = spark.createDataFrame([(i, dt.date(2024, 3, 1), ["emergency"], [10], []) for i in range(3)], EVENTS)
     panel = spark.createDataFrame([(10, dt.date(2024, m, 1)) for m in (2, 3, 4)] + [(20, dt.date(2024, 4, 1))], "territory_id int, month date")
     got = {(r.territory_id, r.month.month): r.mult for r in nw.hazard_multiplier(panel, nw.monthly_exposure(df, regions)).collect()}
     assert got == {(10, 2): 1.0, (10, 3): 9.0, (10, 4): 9.0, (20, 4): 1.0}
-    other = spark.createDataFrame([(dt.date(2024, 3, 1), ["economy"], [10], [])], EVENTS)
+    other = spark.createDataFrame([(1, dt.date(2024, 3, 1), ["economy"], [10], [])], EVENTS)
     assert {r.mult for r in nw.hazard_multiplier(panel, nw.monthly_exposure(other, regions)).collect()} == {1.0}
 
 
@@ -58,13 +58,38 @@ def test_types_and_homonyms(spark):
     assert out == {(2, 1, 5)}
 
 
-def test_tests_against_known_values():
+def test_tests_against_known_values(spark):
     assert stats.student_sf(2.0, 10) == pytest.approx(0.036694, abs=1e-6)
-    assert stats.sign_test(6, 6) == pytest.approx(0.03125) and stats.sign_test(3, 6) == 1.0
     assert stats.fisher_greater(8, 2, 1, 5) == pytest.approx(0.0243, abs=1e-3)
+    signs = spark.createDataFrame([(6, 6), (3, 6), (0, 0), (0, 6), (9, 40)], "k long, n long")
+    got = [r.p for r in signs.select(stats.sign_test(F.col("k"), F.col("n")).alias("p")).collect()]
+    want = [2 * sum(math.comb(40, i) for i in range(10)) / 2**40]
+    assert got == [pytest.approx(0.03125), 1.0, None, pytest.approx(0.03125), pytest.approx(want[0])]
+    tails = spark.createDataFrame([(t, df) for t in (0.0, 0.7, -2.5, 9.0) for df in range(1, 13)], "t double, df int")
+    for r in tails.withColumn("p", stats.student_two_sided(F.col("t"), F.col("df"))).collect():
+        assert r.p == pytest.approx(2 * stats.student_sf(abs(r.t), r.df), abs=1e-9), r
+
+
+def test_diebold_mariano(spark):
+    """Against the formula written out; null for short or constant losses."""
     rng = np.random.default_rng(0)
-    assert stats.dm_hln(rng.normal(0, 1, 60), 1)[1] > 0.01 and stats.dm_hln(rng.normal(1, 1, 60), 1)[1] < 0.001
-    assert math.isnan(stats.dm_hln(np.zeros(2), 1)[0]) and math.isnan(stats.dm_hln(np.zeros(9), 1)[0])
+    series = {1: (rng.normal(0, 1, 60), 1), 2: (rng.normal(1, 1, 60), 1), 3: (rng.normal(0.3, 1, 12), 3), 4: (rng.normal(0, 1, 4), 12), 5: (np.zeros(2), 1), 6: (np.zeros(9), 1)}
+    rows = [(k, t, float(v), h) for k, (x, h) in series.items() for t, v in enumerate(x)]
+    got = {r.k: r for r in stats.diebold_mariano(spark.createDataFrame(rows, "k int, t int, d double, h int"), ["k"], "t", "d", "h").collect()}
+    for k, (x, h) in series.items():
+        n = len(x)
+        if n < 3 or not x.any():
+            assert got[k].dm_stat is None and got[k].dm_p is None
+            continue
+        m = min(h, n - 1)
+        gamma = [sum((x[i] - x.mean()) * (x[i + j] - x.mean()) for i in range(n - j)) / (n - j) for j in range(m)]
+        var = (gamma[0] + sum(2 * (m - j) / m * gamma[j] for j in range(1, m))) / n
+        if var <= 0:
+            assert got[k].dm_stat is None
+            continue
+        stat = x.mean() / var**0.5 * max((n + 1 - 2 * m + m * (m - 1) / n) / n, 1e-9) ** 0.5
+        assert got[k].dm_stat == pytest.approx(stat) and got[k].dm_p == pytest.approx(2 * stats.student_sf(abs(stat), n - 1), abs=1e-9)
+    assert got[1].dm_p > 0.01 and got[2].dm_p < 0.001
 
 
 def test_rank_tests(spark):
