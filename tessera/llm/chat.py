@@ -19,8 +19,8 @@ STATES = 2 * len(ROLES)
 #: Speaker markers at the start of a line, by the role that they commonly mark.
 MARKERS = {"system": r"system|instructions?", "user": r"user|human|question|q|customer|me", "assistant": r"assistant|ai|bot|answer|a|agent|model"}
 PREFIX = r"(?i)^\s*(?:[#>*\-]{1,4}\s*)?(?:<\|?|\[)?\s*(?:%s)\s*(?:\|?>|\]|:)[*\s]*:?\s*"
-#: Input positions in one block of a conversation. Blocks are decoded apart and joined exactly.
-BLOCK = 64
+#: Most lines in one block of a conversation (a power of two). Blocks are decoded apart and joined exactly.
+BLOCK = 4096
 #: How many values each feature of a line has: marker, length, end, place.
 SIZES = (4, 8, 3, 3)
 
@@ -37,22 +37,31 @@ def features(line: Column, first: Column) -> list[Column]:
 
 
 def lines_of(messages: DataFrame, *, conv_col: str = "conv_id", order_col: str = "turn", text_col: str = "text", role_col: str | None = None) -> DataFrame:
-    """Messages of raw transcripts to lines: ``conv, pos, at, line, f0..f3`` and, with roles, ``state``.
+    """Messages of raw transcripts to lines: ``conv, pos, tie, at, seq, block, line, f0..f3`` and, with roles, ``state``.
 
     ``at`` numbers the lines of a message. A null conversation id makes its message a conversation of its own; null
-    positions come first; messages with the same position are ordered by their text; a null text is an empty line.
+    positions come first; messages with the same position are ordered by a hash of their text, and one that is repeated
+    comes as often, whole each time; a null text is an empty line; an empty table gives none; columns of other names are
+    ignored, whatever they are called.
+
+    ``seq`` follows the order of lines in a conversation: lines are dealt to ranges of (conversation, position, message,
+    line), so one conversation of any size and of any positions is spread over tasks. A block is what lies between two
+    multiples of ``BLOCK`` there, so it is bounded too. The table is written, as these numbers must not change.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    conv = F.coalesce(F.col(conv_col).cast("string"), F.concat(F.lit("null:"), F.xxhash64(text, F.col(order_col)).cast("string")))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     pos = F.coalesce(F.col(order_col).cast("long"), F.lit(-1).cast("long"))
     known = [F.lower(F.col(role_col)).alias("role")] if role_col else []
-    rows = messages.select(F.col(conv_col).alias("conv_id"), conv.alias("conv"), pos.alias("pos"), F.xxhash64(text).alias("tie"), *known, F.posexplode(F.split(text, "\n")).alias("at", "line"))
+    rows = messages.select(F.col(conv_col).alias("conv_id"), pos.alias("pos"), text.alias("text"), *known).withColumn("message", F.monotonically_increasing_id())
+    conv = F.coalesce(F.col("conv_id").cast("string"), F.concat(F.lit("null:"), F.col("message").cast("string")))
+    rows = rows.select("conv_id", conv.alias("conv"), "pos", F.xxhash64("text").alias("tie"), "message", *known_col(role_col), F.posexplode(F.split("text", "\n")).alias("at", "line"))
     f = features(F.col("line"), F.when((F.col("pos") <= 0) & (F.col("at") == 0), 0).when(F.trim("line") == "", 1).otherwise(2))
-    out = rows.select("conv_id", "conv", "pos", "tie", "at", "line", *known_col(role_col), *[c.alias(f"f{i}") for i, c in enumerate(f)])
+    out = rows.select("conv_id", "conv", "pos", "tie", "message", "at", "line", *known_col(role_col), *[c.alias(f"f{i}") for i, c in enumerate(f)])
     if role_col:
         role = F.array_position(F.array(*map(F.lit, ROLES)), F.col("role")).cast("int") - 1
         out = out.withColumn("state", F.when(role >= 0, 2 * role + (F.col("at") > 0).cast("int"))).drop("role")
-    return out.withColumn("block", F.floor(F.col("pos") / BLOCK))
+    order = ("conv", "pos", "tie", "message", "at")
+    out = out.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("seq", F.monotonically_increasing_id())
+    return materialize(out.drop("message").withColumn("block", F.shiftright("seq", BLOCK.bit_length() - 1)), "lines")
 
 
 def known_col(role_col: str | None) -> list[str]:
@@ -68,9 +77,9 @@ def fit(lines: DataFrame) -> dict[str, np.ndarray]:
         for e, v in zip(emit, values, strict=True):
             e[s, v] += n
     move, start = np.ones((STATES, STATES)), np.ones(STATES)
-    w = Window.partitionBy("conv", "block").orderBy("pos", "tie", "at")
-    before = known.select("state", F.lag("state").over(w).alias("before"), F.col("block").alias("block"))
-    for b, s, n in before.where("block = 0 or before is not null").groupBy("before", "state").count().collect():
+    w = Window.partitionBy("conv", "block").orderBy("seq")
+    before = known.select("state", "f3", F.lag("state").over(w).alias("before"))
+    for b, s, n in before.where("f3 = 0 or before is not null").groupBy("before", "state").count().collect():
         if b is None:
             start[s] += n
         else:
@@ -134,7 +143,8 @@ def decode(lines: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
 
     Conversations of one block are decoded at once. Longer ones, however long, are decoded exactly without meeting in one
     task: each block is reduced to its transfer matrix, the best entry and exit states of all blocks follow from
-    these small matrices, and blocks are then decoded between their fixed states.
+    these small matrices, and blocks are then decoded between their fixed states. A conversation's matrices meet in one
+    task: 300 bytes for ``BLOCK`` lines, so a thousand million lines take 80 MB.
     """
     held = lines.sparkSession.sparkContext.broadcast(model)
     cols = [f"f{i}" for i in range(len(SIZES))]
@@ -143,7 +153,7 @@ def decode(lines: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
     many = materialize(blocks.groupBy("conv").count().where("count > 1").select("conv"), "long")
     found = None
     if not many.isEmpty():
-        dealt = lines.join(many, "conv", "left_semi").repartition(*keys).sortWithinPartitions(*keys, "pos", "tie", "at")
+        dealt = lines.join(many, "conv", "left_semi").repartition(*keys).sortWithinPartitions(*keys, "seq")
 
         def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             m = held.value
@@ -172,7 +182,7 @@ def decode(lines: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
         found = dealt.mapInArrow(reduce, "conv string, block long, m array<double>").groupBy("conv").applyInPandas(chain, "conv string, block long, entry int, last int")
         found = materialize(found, "states")
     rows = lines.join(found, keys, "left") if found is not None else lines.withColumns({"entry": F.lit(None).cast("int"), "last": F.lit(None).cast("int")})
-    dealt = rows.repartition(*keys).sortWithinPartitions(*keys, "pos", "tie", "at")
+    dealt = rows.repartition(*keys).sortWithinPartitions(*keys, "seq")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, out, n = held.value, [], 0
@@ -203,7 +213,7 @@ def render(decoded: DataFrame) -> DataFrame:
     Running numbers are counted within blocks and offset by what earlier blocks hold.
     """
     begins = (F.col("found") % 2 == 0).cast("long")
-    inner = F.sum(begins).over(Window.partitionBy("conv", "block").orderBy("pos", "tie", "at").rowsBetween(Window.unboundedPreceding, 0))
+    inner = F.sum(begins).over(Window.partitionBy("conv", "block").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
     sizes = decoded.groupBy("conv", "block").agg(F.sum(begins).alias("n"))
     starts = sizes.select("conv", "block", (F.sum("n").over(Window.partitionBy("conv").orderBy("block")) - F.col("n")).alias("first"))
     rows = decoded.withColumn("inner", inner).join(starts, ["conv", "block"]).withColumn("turn_no", F.col("first") + F.col("inner") - 1)
@@ -211,7 +221,7 @@ def render(decoded: DataFrame) -> DataFrame:
     for k, role in enumerate(ROLES, 1):
         line = F.when((F.col("f0") == k), F.regexp_replace(F.col("line"), PREFIX % MARKERS[role], "")).otherwise(line)
     rows = rows.withColumn("clean", F.when(F.col("found") % 2 == 0, line).otherwise(F.col("line")))
-    turns = rows.groupBy("conv", "turn_no").agg(F.first("conv_id").alias("conv_id"), F.min("found").alias("state"), F.array_sort(F.collect_list(F.struct("pos", "tie", "at", "clean"))).alias("l"))
+    turns = rows.groupBy("conv", "turn_no").agg(F.first("conv_id").alias("conv_id"), F.min("found").alias("state"), F.array_sort(F.collect_list(F.struct("seq", "clean"))).alias("l"))
     role = F.element_at(F.array(*map(F.lit, ROLES)), (F.floor(F.col("state") / 2) + 1).cast("int"))
     text = F.concat_ws("\n", F.col("l.clean"))
     return turns.select("conv_id", "turn_no", role.alias("role"), text.alias("text"), F.concat(F.lit("<|"), role, F.lit("|>\n"), F.trim(text), F.lit("\n<|end|>\n")).alias("rendered"))

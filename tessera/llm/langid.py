@@ -9,19 +9,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tessera.llm.text import slices, where_arrow
 
 UNKNOWN = "und"
 #: Longest context in bytes. A text is coded as if this many line feeds came before it.
 ORDER = 4
-#: Training documents a language (expected, drawn by a hash of the id), and most (context, byte) pairs a language.
-SAMPLE_DOCS, MOST_PAIRS = 2_000, 200_000
+#: Training documents a language (expected, drawn by a hash of the id), and languages that are learned: the most frequent.
+SAMPLE_DOCS, MOST_LANGS = 2_000, 256
 #: Code lengths are kept in units of 2**-20 bits: sums are exact in any order.
 UNIT = float(1 << 20)
-#: Bytes coded at once; slots of the table of costs that a task fills as it meets (context, byte) pairs.
-WINDOW, SLOTS = 1 << 18, 1 << 20
+#: Bytes coded at once; numbers in the table of costs that a task fills as it meets (context, byte) pairs.
+WINDOW, COSTS = 1 << 18, 1 << 22
 #: A text fits no learned language above so many times the code length a byte that all but a hundredth of the labelled
 #: training documents keep to, less so many bits of any text: short ones vary.
 TIMES, SLACK_BITS = 2.0, 64.0
@@ -44,11 +43,11 @@ def _grams(data: bytes, order: int) -> np.ndarray:
     return out
 
 
-def pair_counts(docs: DataFrame, *, id_col: str, text_col: str, lang_col: str, order: int, sample_docs: int, most: int) -> DataFrame:
-    """``(lang, gram, n)`` of the drawn training documents: (context, byte) pairs with their counts, at most ``most`` a language."""
+def pair_counts(docs: DataFrame, *, id_col: str, text_col: str, lang_col: str, order: int, sample_docs: int, langs: int) -> DataFrame:
+    """``(lang, gram, n)`` of the drawn training documents: all (context, byte) pairs with their counts."""
     rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
     rows = rows.where("lang is not null and t is not null and id is not null").where(remainder(F.col("id")) != 0)
-    held = rows.groupBy("lang").count().withColumn("rate", F.least(F.lit(1.0), F.lit(float(sample_docs)) / F.col("count")))
+    held = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(langs).withColumn("rate", F.least(F.lit(1.0), F.lit(float(sample_docs)) / F.col("count")))
     draw = (F.xxhash64(F.lit("ppm"), F.col("id").cast("string")).bitwiseAND(F.lit((1 << 53) - 1)) / float(1 << 53)).alias("u")
     drawn = rows.join(F.broadcast(held.select("lang", "rate")), "lang").where(draw < F.col("rate")).select("lang", "t")
 
@@ -62,9 +61,7 @@ def pair_counts(docs: DataFrame, *, id_col: str, text_col: str, lang_col: str, o
                 g, n = np.unique(np.concatenate(parts), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g), pa.string()), pa.array(g.view(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
 
-    sums = drawn.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
-    return sums.withColumn("r", rank).where(F.col("r") <= most).drop("r")
+    return drawn.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 def context_tree(grams: np.ndarray, counts: np.ndarray, order: int) -> list[dict[str, np.ndarray]]:
@@ -117,11 +114,12 @@ class Coder:
 
     def __init__(self, trees: list[list[dict[str, np.ndarray]]], order: int):
         self.trees, self.order = trees, order
-        self.keys = np.full(SLOTS, np.uint64(1 << 63))
-        self.costs = np.zeros((SLOTS, len(trees)), np.int64)
+        self.bits = max(10, (COSTS // len(trees)).bit_length() - 1)
+        self.keys = np.full(1 << self.bits, np.uint64(1 << 63))
+        self.costs = np.zeros((1 << self.bits, len(trees)), np.int64)
 
     def _costs(self, grams: np.ndarray) -> np.ndarray:
-        slot = ((grams * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.int64)
+        slot = ((grams * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
         out = self.costs[slot]
         other = np.flatnonzero(self.keys[slot] != grams)
         if len(other):
@@ -188,17 +186,18 @@ class Model:
         return predict
 
 
-def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = ORDER, sample_docs: int = SAMPLE_DOCS, most: int = MOST_PAIRS) -> Model:
+def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = ORDER, sample_docs: int = SAMPLE_DOCS, langs: int = MOST_LANGS) -> Model:
     """Learn from text and language of documents whose crc32(id as text) mod 5 is not 0.
 
-    The sample is bounded by ``sample_docs`` documents a language; its counts, at most ``most`` a language, come to the driver.
+    The sample is bounded by ``sample_docs`` documents (expected) of each of the ``langs`` most frequent languages; all its pairs
+    come to the driver.
     """
-    counts = pair_counts(docs, id_col=id_col, text_col=text_col, lang_col=lang_col, order=order, sample_docs=sample_docs, most=most)
+    counts = pair_counts(docs, id_col=id_col, text_col=text_col, lang_col=lang_col, order=order, sample_docs=sample_docs, langs=langs)
     got = counts.groupBy("lang").agg(F.collect_list("gram").alias("gram"), F.collect_list("n").alias("n")).toArrow()
-    langs = got["lang"].to_pylist()
-    trees = [context_tree(got["gram"][i].values.to_numpy().view(np.uint64), got["n"][i].values.to_numpy(), order) for i in range(len(langs))]
-    ranked = sorted(range(len(langs)), key=langs.__getitem__)
-    return Model([langs[i] for i in ranked], [trees[i] for i in ranked], order)
+    found = got["lang"].to_pylist()
+    trees = [context_tree(got["gram"][i].values.to_numpy().view(np.uint64), got["n"][i].values.to_numpy(), order) for i in range(len(found))]
+    ranked = sorted(range(len(found)), key=found.__getitem__)
+    return Model([found[i] for i in ranked], [trees[i] for i in ranked], order)
 
 
 def _shared(docs: DataFrame, model: Model):

@@ -15,8 +15,9 @@ from tessera.llm.components import connected_components
 from tessera.storage import materialize
 
 THRESHOLD = 0.93
-#: Vectors a cell aims at, and the most cells in all (the bound of what is broadcast: 2 * MOST_CELLS centroids).
-CELL, MOST_CELLS = 2_048, 2_048
+#: Vectors a cell aims at, and how many cells in all make cells larger than that (a bound of the centroids that are broadcast).
+#: A label of ``FEW`` vectors or more has two cells at least. Large cells are compared in blocks, so their size bounds nothing.
+CELL, MOST_CELLS, FEW = 2_048, 2_048, 16
 #: Vectors of a label that its centroids are fitted on at most (expected, drawn by hash), and rounds of k-means.
 SAMPLE, ROUNDS = 8_192, 8
 #: Vectors on either side of one product.
@@ -45,9 +46,14 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = ROUNDS) -> np.ndarray:
     return c
 
 
+def kind_of(vectors: DataFrame, vec_col: str) -> str:
+    """Single precision is kept as it is; any other type of component is compared as double."""
+    return "float" if vectors.schema[vec_col].dataType.elementType.simpleString() == "float" else "double"
+
+
 def nodes_of(vectors: DataFrame, id_col: str, vec_col: str, label_col: str) -> tuple[DataFrame, DataFrame]:
     """All rows as ``(id, label, dim, vec)`` with vec null where it can't be linked, and distinct vectors with their count and smallest id."""
-    v = F.col(vec_col).cast("array<float>")
+    v = F.col(vec_col).cast(f"array<{kind_of(vectors, vec_col)}>")
     odd = F.exists(v, lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf"))) | ~F.exists(v, lambda e: e != 0)
     usable = F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & F.coalesce(~odd, F.lit(False))
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), F.when(usable, F.size(v)).alias("dim"), F.when(usable, v).alias("vec"))
@@ -56,11 +62,11 @@ def nodes_of(vectors: DataFrame, id_col: str, vec_col: str, label_col: str) -> t
 
 
 def centroids(nodes: DataFrame) -> dict[tuple, np.ndarray]:
-    """Of each label that needs more than one cell; labels with fewer vectors than a cell holds are one cell."""
+    """Of each label with ``FEW`` vectors or more; the others are one cell."""
     held = nodes.groupBy("label", "dim").agg(F.count("*").alias("n"))
     total = held.agg(F.sum("n")).first()[0] or 0
     size = max(CELL, math.ceil(total / MOST_CELLS))
-    large = held.where(F.col("n") > size).select("label", "dim", F.ceil(F.col("n") / size).cast("int").alias("k"), F.least(F.lit(1.0), F.lit(float(SAMPLE)) / F.col("n")).alias("rate"))
+    large = held.where(F.col("n") >= FEW).select("label", "dim", F.greatest(F.lit(2), F.ceil(F.col("n") / size).cast("int")).alias("k"), F.least(F.lit(1.0), F.lit(float(SAMPLE)) / F.col("n")).alias("rate"))
     draw = F.xxhash64(F.lit("cells"), "node").bitwiseAND(F.lit((1 << 53) - 1)) / float(1 << 53)
     sample = nodes.join(F.broadcast(large), ["label", "dim"]).where(draw < F.col("rate")).select("label", "dim", "k", "node", "vec")
 
@@ -85,6 +91,7 @@ def placed(nodes: DataFrame, cells: dict[tuple, np.ndarray], threshold: float) -
     held, chord = nodes.sparkSession.sparkContext.broadcast(cells), math.sqrt(2 - 2 * threshold) + 1e-9
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gaps: dict[tuple, np.ndarray] = {}
         for b in batches:
             key = list(zip(b.column("label").to_pylist(), b.column("dim").to_pylist(), strict=True))
             at, cell = [np.arange(len(key))], [np.zeros(len(key), np.int64)]
@@ -97,8 +104,9 @@ def placed(nodes: DataFrame, cells: dict[tuple, np.ndarray], threshold: float) -
                 c = held.value[k]
                 dot = unit(vecs.take(pa.array(rows)).flatten().to_numpy().reshape(len(rows), -1)) @ c.T
                 home = dot.argmax(axis=1)
-                gap = np.linalg.norm(c[:, None] - c[None], axis=2)
-                near = (dot.max(axis=1)[:, None] - dot <= chord * gap[home]) & (np.arange(len(c)) > home[:, None])
+                if k not in gaps:
+                    gaps[k] = np.sqrt(np.maximum(0.0, 2 - 2 * (c @ c.T))) + 1e-7
+                near = (dot.max(axis=1)[:, None] - dot <= chord * gaps[k][home]) & (np.arange(len(c)) > home[:, None])
                 cell[0][rows] = home
                 i, g = np.nonzero(near)
                 at.append(np.array(rows)[i])
@@ -110,7 +118,7 @@ def placed(nodes: DataFrame, cells: dict[tuple, np.ndarray], threshold: float) -
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(cell[s : s + 4096].astype(np.int32)), pa.array(home[s : s + 4096])], names=[*part.schema.names, "cell", "home"])
 
     kind = nodes.schema["label"].dataType.simpleString()
-    return nodes.select("label", "dim", "vec", "node", "weight").mapInArrow(run, f"label {kind}, dim int, vec array<float>, node long, weight long, cell int, home boolean")
+    return nodes.select("label", "dim", "vec", "node", "weight").mapInArrow(run, f"label {kind}, dim int, vec {nodes.schema['vec'].dataType.simpleString()}, node long, weight long, cell int, home boolean")
 
 
 def compare(a: pd.DataFrame, b: pd.DataFrame | None, threshold: float) -> pd.DataFrame:

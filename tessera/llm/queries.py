@@ -55,7 +55,7 @@ def op6_ppm_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = warc.derive(warc.responses(_table(spark, sf_dir, "pages")))
-    return out.select(F.col("id").alias("page_id"), "record_type", "record_id", "refers_to", "target_uri", "block_digest", "payload_digest", "source_digest", F.octet_length("block").cast("long").alias("n_bytes"), F.sha2("block", 256).alias("block_sha256"))
+    return out.select(F.col("id").alias("page_id"), "record_type", "record_id", "refers_to", "target_uri", "block_digest", "payload_digest", "source_digest", "source_header", F.octet_length("block").cast("long").alias("n_bytes"), F.sha2("block", 256).alias("block_sha256"))
 
 
 def op8_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,8 +13,9 @@ from pyspark.sql.window import Window
 from tessera.llm.text import free_name
 from tessera.storage import materialize
 
-#: Rows that one local permutation aims at, and the most source partitions and cells a shard (the bound of what is collected).
-ROWS, MOST = 16_384, 4096
+#: Rows that one local permutation aims at. Beyond ``MOST`` source partitions (whose counts are what is collected) and as many
+#: cells a shard, permutations grow instead; their sorts can spill.
+ROWS, MOST = 16_384, 65_536
 
 
 def hypergeometric(rng: random.Random, good: int, bad: int, draws: int) -> int:
@@ -60,11 +61,12 @@ def communication_matrix(counts: list[int], sizes: list[int], seed: int) -> list
 def shard(df: DataFrame, n_shards: int, *, seed: int = 17, rows: int = ROWS) -> DataFrame:
     """``df`` with ``shard`` (0 to ``n_shards - 1``, sizes at most one apart) and ``slot`` (gapless from 0 in each shard).
 
-    Rows are dealt to source partitions by a hash of all their columns. The counts matrix is drawn on the driver from
+    Rows are dealt to source partitions by a hash of all their columns, at least one partition a core. The counts matrix is drawn on the driver from
     the partitions' counts (at most ``MOST`` of them); each partition permutes its rows by a second hash and gives
     its first rows to shard 0, the next to shard 1 and so on; each shard permutes again by a third hash, in cells
     whose offsets come from their counts, so no shard has to fit in one task. Everything is a function of seed and
-    rows: a rerun or a recomputed task gives the same answer. Rows equal in every column are interchangeable. Nulls
+    rows: a rerun or a recomputed task gives the same answer. Rows equal in every column are interchangeable (and share a
+    source partition: give a table that may repeat one row very often a column of ids). Texts of any length are moved whole; nulls
     are hashed like other values, an empty table stays empty, and columns named shard or slot are replaced.
     """
     if n_shards < 1:
@@ -77,8 +79,8 @@ def shard(df: DataFrame, n_shards: int, *, seed: int = 17, rows: int = ROWS) ->
         return F.xxhash64(F.lit(seed), F.lit(k), *[F.col(f"`{c}`") for c in own])
 
     total = df.count()
-    parts = min(MOST, max(1, -(-total // rows)))
-    cells = min(MOST, max(1, -(-total // (rows * n_shards))))
+    parts = max(2, spark.sparkContext.defaultParallelism, min(MOST, -(-total // rows)))
+    cells = max(1, min(MOST, -(-total // (rows * n_shards))))
     dealt = df.select(*[F.col(f"`{c}`") for c in own], F.pmod(key(1), F.lit(parts)).cast("int").alias(part), key(2).alias(order), key(3).alias(again))
     counts = {r[0]: r[1] for r in dealt.groupBy(part).count().collect()}
     sizes = [total // n_shards + (s < total % n_shards) for s in range(n_shards)]
