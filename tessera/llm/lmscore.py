@@ -14,9 +14,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -28,7 +27,7 @@ ALPHA = 0.4
 #: Longest n-gram.
 ORDER = 3
 #: Bytes of text in a block of documents, and bytes of text whose n-grams one partition of the count tables holds.
-BLOCK_BYTES, BUCKET_BYTES = 8 << 20, 2 << 20
+BLOCK_BYTES, BUCKET_BYTES = 16 << 20, 4 << 20
 #: Most ranges of keys: with more data partitions grow, while 48 bits and the range still tell n-grams apart.
 MOST_BUCKETS = 1 << 16
 #: Most keys in a row of packed n-grams.
@@ -119,26 +118,37 @@ def pieces(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return bucket, cut[bucket] + PIECE * nth
 
 
-def block_grams(blocks: DataFrame, order: int, buckets: int) -> DataFrame:
-    """``bucket, block, n, piece, top, mid, low, c``: the different n-grams of each block in pieces (see ``pieces``), the lower
+def block_keys(block: Block, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """The different n-grams of a block, of all orders, sorted by key, and how often the block has them."""
+    return np.unique(np.concatenate([block.grams(n)[1] for n in range(1, order + 1)]), return_counts=True)
+
+
+def bucket_names(spark: SparkSession, buckets: int, parts: int) -> np.ndarray:
+    """Names of buckets that ``repartition(parts, bucket)`` deals evenly: the smallest numbers that hash to each partition."""
+    ids = spark.range(32 * parts).select(F.col("id").cast("int").alias("id"))
+    held = ids.groupBy(F.pmod(F.hash("id"), F.lit(parts)).alias("p")).agg(F.min("id").alias("id")).orderBy("p").limit(buckets)
+    names = [r.id for r in held.select("id").collect()]
+    return np.array(names + list(range(32 * parts, 32 * parts + buckets - len(names))), np.int32)
+
+
+def block_grams(blocks: DataFrame, order: int, names: np.ndarray) -> DataFrame:
+    """``bucket, block, piece, top, mid, low, c``: the different n-grams of each block in pieces (see ``pieces``), the lower
     48 bits of their keys (8, 32 and 8), and how often the block has them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 1):
-            block = open_block(b)
-            for n in range(1, order + 1):
-                keys, counts = np.unique(block.grams(n)[1], return_counts=True)
-                bucket, start = pieces(keys, buckets)
-                ends = pa.array([*start, len(keys)], pa.int32())
-                lists = ((keys >> np.uint64(40)).astype(np.uint8).view(np.int8), (keys >> np.uint64(8)).astype(np.uint32).view(np.int32), keys.astype(np.uint8).view(np.int8), counts.astype(np.int32))
-                cols = [pa.array(bucket.astype(np.int32)), pa.array(np.full(len(bucket), b.column(0)[0].as_py())), pa.array(np.full(len(bucket), n, np.int8)), pa.array(np.arange(len(bucket), dtype=np.int32))]
-                yield from slices([pa.RecordBatch.from_arrays([*cols, *(pa.ListArray.from_arrays(ends, pa.array(x)) for x in lists)], names=["bucket", "block", "n", "piece", "top", "mid", "low", "c"])])
+            keys, counts = block_keys(open_block(b), order)
+            bucket, start = pieces(keys, len(names))
+            ends = pa.array([*start, len(keys)], pa.int32())
+            lists = ((keys >> np.uint64(40)).astype(np.uint8).view(np.int8), (keys >> np.uint64(8)).astype(np.uint32).view(np.int32), keys.astype(np.uint8).view(np.int8), counts.astype(np.int32))
+            cols = [pa.array(names[bucket]), pa.array(np.full(len(bucket), b.column(0)[0].as_py(), np.int64)), pa.array(np.arange(len(bucket), dtype=np.int32))]
+            yield from slices([pa.RecordBatch.from_arrays([*cols, *(pa.ListArray.from_arrays(ends, pa.array(x)) for x in lists)], names=["bucket", "block", "piece", "top", "mid", "low", "c"])])
 
-    return blocks.drop("ids").mapInArrow(run, "bucket int, block long, n byte, piece int, top array<byte>, mid array<int>, low array<byte>, c array<int>")
+    return blocks.drop("ids").mapInArrow(run, "bucket int, block long, piece int, top array<byte>, mid array<int>, low array<byte>, c array<int>")
 
 
 def counts_elsewhere(grams: DataFrame, parts: int) -> DataFrame:
-    """``block, n, piece, at, low, high``: of a block's n-grams that other blocks have too, their places in the piece and how
+    """``block, piece, at, low, high``: of a block's n-grams that other blocks have too, their places in the piece and how
     often the other blocks have them (lowest seven bits, and the rest).
 
     N-grams are dealt to partitions by bucket while they are packed by block; each partition explodes its own, counts them
@@ -146,17 +156,17 @@ def counts_elsewhere(grams: DataFrame, parts: int) -> DataFrame:
     would shuffle the exploded rows once more. A frequent n-gram has one row a block there, whatever the number of
     its occurrences, and a window's rows can spill.
     """
-    rows = grams.repartition(parts, "bucket").select("bucket", "block", "n", "piece", F.posexplode(F.arrays_zip("top", "mid", "low", "c")).alias("at", "g"))
+    rows = grams.repartition(parts, "bucket").select("bucket", "block", "piece", F.posexplode(F.arrays_zip("top", "mid", "low", "c")).alias("at", "g"))
 
     def part(name: str, bits: int) -> Column:
         return F.col(f"g.{name}").cast("long").bitwiseAND(F.lit((1 << bits) - 1))
 
     key = F.shiftleft(part("top", 8), 40).bitwiseOR(F.shiftleft(part("mid", 32), 8)).bitwiseOR(part("low", 8))
-    rows = rows.select("bucket", "block", "n", "piece", F.col("at").cast("short").alias("at"), key.alias("key"), F.col("g.c").alias("c"))
-    same = Window.partitionBy("key", "bucket", "n")
+    rows = rows.select("bucket", "block", "piece", F.col("at").cast("short").alias("at"), key.alias("key"), F.col("g.c").alias("c"))
+    same = Window.partitionBy("key", "bucket")
     found = rows.withColumns({"others": F.sum("c").over(same) - F.col("c"), "blocks": F.count("*").over(same)}).where("blocks > 1")
     low, high = F.col("others").bitwiseAND(F.lit(127)).cast("byte"), F.shiftright("others", 7)
-    return found.groupBy("bucket", "block", "n", "piece").agg(F.collect_list("at").alias("at"), F.collect_list(low).alias("low"), F.collect_list(high).alias("high")).drop("bucket")
+    return found.groupBy("bucket", "block", "piece").agg(F.collect_list("at").alias("at"), F.collect_list(low).alias("low"), F.collect_list(high).alias("high")).drop("bucket")
 
 
 def score_block(block: Block, totals: dict[int, np.ndarray], words: int, order: int, alpha: float) -> tuple:
@@ -205,21 +215,20 @@ def stupid_backoff(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // bucket_bytes))
-    buckets = min(4 * parts, MOST_BUCKETS)
+    buckets = min(parts, MOST_BUCKETS)
     blocks = materialize(blocks_of(docs, id_col=id_col, text_col=text_col, block_bytes=block_bytes), "blocks", codec="zstd", buckets=(parts, "block"))
-    found = counts_elsewhere(block_grams(blocks, order, buckets), parts)
+    found = counts_elsewhere(block_grams(blocks, order, bucket_names(spark, buckets, parts)), parts)
     words = blocks.select(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
     kind = docs.schema[id_col].dataType.simpleString()
 
     def score(b: pa.Table, answers: pa.Table) -> pa.Table:
-        block, totals = open_block(b), {}
-        for n in range(1, order + 1):
-            keys = np.unique(block.grams(n)[1])
-            start, totals[n] = pieces(keys, buckets)[1], np.zeros(len(keys), np.int64)
-            mine = answers.filter(pc.equal(answers["n"], n))
-            for piece, *lists in zip(mine["piece"].to_pylist(), mine["at"], mine["low"], mine["high"], strict=True):
-                at, low, high = (np.asarray(x.values) for x in lists)
-                totals[n][start[piece] + at] = high << 7 | low
+        block = open_block(b)
+        keys, _ = block_keys(block, order)
+        others, start = np.zeros(len(keys), np.int64), pieces(keys, buckets)[1]
+        for piece, *lists in zip(answers["piece"].to_pylist(), answers["at"], answers["low"], answers["high"], strict=True):
+            at, low, high = (np.asarray(x.values) for x in lists)
+            others[start[piece] + at] = high << 7 | low
+        totals = {n: others[np.searchsorted(keys, np.unique(block.grams(n)[1]))] for n in range(1, order + 1)}
         n, sums, backed = score_block(block, totals, words, order, alpha)
         ids = b["ids"][0].values
         return pa.table([ids, pa.array(n, pa.int64()), pa.array(np.round(sums, 9) + 0.0), pa.array(backed, pa.int64())], names=["id", "n_words", "log10_score", "backed_off"])
