@@ -27,7 +27,7 @@ ALPHA = 0.4
 #: Longest n-gram.
 ORDER = 3
 #: Bytes of text in a block of documents, and bytes of text whose n-grams one partition of the count tables holds.
-BLOCK_BYTES, BUCKET_BYTES = 16 << 20, 4 << 20
+BLOCK_BYTES, BUCKET_BYTES = 8 << 20, 4 << 20
 #: Most ranges of keys: with more data partitions grow, while 48 bits and the range still tell n-grams apart.
 MOST_BUCKETS = 1 << 16
 #: Most keys in a row of packed n-grams.
