@@ -1,5 +1,6 @@
 import datetime as dt
 import math
+import tempfile
 
 import numpy as np
 import pytest
@@ -159,3 +160,23 @@ def test_streaming_state_equals_the_definition(spark, sf):
     events = spark.read.parquet(f"{sf}/events.parquet").orderBy("user_id", "ts", "event_id").toPandas()
     for user, g in events.groupby("user_id"):
         assert got[user] == pytest.approx(online.reference(g["value"].fillna(50.0).to_numpy(), 50.0, 25.0), abs=1e-9)
+
+
+def test_fallback_folder_without_setting():
+    """A local session without spark.checkpoint.dir, in a process of its own."""
+    import os
+    import subprocess
+    import sys
+
+    code = """
+from pyspark.sql import SparkSession
+from tessera.storage import materialize, shared_dir
+s = SparkSession.builder.master('local[1]').config('spark.ui.enabled', 'false').getOrCreate()
+assert s.conf.get('spark.checkpoint.dir', None) is None
+a, b = materialize(s.range(3), 'a'), materialize(s.range(4), 'b')
+print('rows', a.count() + b.count(), shared_dir(s) == shared_dir(s))
+"""
+    with tempfile.TemporaryDirectory() as conf:
+        env = {**os.environ, "SPARK_CONF_DIR": conf, "PYTHONPATH": os.path.dirname(os.path.dirname(os.path.abspath(__file__)))}
+        out = subprocess.run([sys.executable, "-c", code], env=env, capture_output=True, text=True, timeout=300)
+    assert "rows 7 True" in out.stdout, out.stderr[-2000:]
