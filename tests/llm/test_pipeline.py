@@ -4,7 +4,7 @@ import corpus_pipeline
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tessera.llm import bpe, langid, mixing, quality, queries, simhash
+from tessera.llm import bpe, langid, mixing, neartext, quality, queries
 
 SF = "/root/testdata/sf0.01"
 
@@ -17,7 +17,7 @@ def test_stages_equal_their_operators_and_the_whole(spark):
     left = docs.where(F.col("doc_id").isin(list(known)))
     good = {r.id for r in quality.judge(left, labels).where("kept").collect()}
     left = docs.where(F.col("doc_id").isin(list(good)))
-    one = {r.id for r in simhash.near_duplicates(left).where("id = component").collect()}
+    one = {r.id for r in neartext.near_copies(left).where("id = component").collect()}
     left = docs.where(F.col("doc_id").isin(list(one)))
     copies = {r.id: r.taken // r.size for r in mixing.mix(left).collect() if r.taken}
     out = corpus_pipeline.run(spark, SF).collect()
