@@ -21,7 +21,7 @@ PRE_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: Characters with the White_Space property, as a class's inside (fixed values).
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Pieces whose ids a task remembers, and the longest such piece in characters. Others are encoded anew each time.
-REMEMBERED, REMEMBERED_CHARS = 250_000, 64
+REMEMBERED, REMEMBERED_CHARS = 60_000, 64
 #: Longest word in bytes that is walked in step with others; longer ones go alone.
 IN_STEP = 256
 
@@ -148,6 +148,25 @@ def _trie(tokens: dict[bytes, int], size: int) -> dict[str, np.ndarray]:
     return {"parent": np.array(parent, np.int32), "byte": np.array(byte, np.int32), "fail": fail, "depth": depth, "longest": longest, "shorter": shorter, "length": length}
 
 
+def _pages(trie: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Where each byte leads from each node of the trie: 16 pages a node, of 16 bytes each. A node shares the pages of its
+    failure link but for those that hold its own children, so the table is some numbers a node, not 256."""
+    fail, parent, byte, depth = trie["fail"], trie["parent"], trie["byte"], trie["depth"]
+    page, pages, made = np.zeros((len(fail), 16), np.int32), [np.zeros((1, 16), np.int32)], 1
+    cuts = np.searchsorted(depth, np.arange(depth.max() + 2))
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        if a:
+            page[a:b] = page[fail[a:b]]
+        kids = np.flatnonzero((parent >= a) & (parent < b) & (depth > 0))
+        new, at = np.unique(parent[kids] << 4 | byte[kids] >> 4, return_inverse=True)
+        own = np.concatenate(pages)[page.reshape(-1)[new]]
+        own[at, byte[kids] & 15] = kids
+        page.reshape(-1)[new] = made + np.arange(len(new))
+        pages.append(own)
+        made += len(new)
+    return page.reshape(-1), np.concatenate(pages).reshape(-1)
+
+
 class Walker:
     """Spells words by the automaton's arcs.
 
@@ -157,15 +176,8 @@ class Walker:
 
     def __init__(self, tables: dict):
         self.t = tables
-        self.next = np.zeros((len(tables["fail"]), 256), np.int32)
-        cuts = np.searchsorted(tables["depth"], np.arange(tables["depth"].max() + 2))
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            if a:
-                self.next[a:b] = self.next[tables["fail"][a:b]]
-            kids = np.flatnonzero((tables["parent"] >= a) & (tables["parent"] < b) & (tables["depth"] > 0))
-            self.next[tables["parent"][kids], tables["byte"][kids]] = kids
-        self.view = memoryview(self.next.reshape(-1))
-        self.lists = {k: tables[k].tolist() for k in ("longest", "shorter", "length", "row", "number", "lacks", "upto")}
+        self.page, self.next = _pages(tables)
+        self.views = {k: memoryview(x) for k, x in (("page", self.page), ("next", self.next), *((k, tables[k]) for k in ("longest", "shorter", "length", "row", "number", "lacks", "upto")))}
         self.known: dict[int, bool] = {}
 
     def has_arcs(self, row: np.ndarray, token: np.ndarray) -> np.ndarray:
@@ -195,7 +207,8 @@ class Walker:
         node = np.zeros(n, np.int32)
         for end in range(1, sizes[0] + 1):
             m = int(np.searchsorted(-sizes, -end, "right"))
-            node = self.next[node[:m], data[starts[:m] + end - 1]]
+            byte = data[starts[:m] + end - 1]
+            node = self.next[self.page[node[:m] << 4 | byte >> 4] << 4 | byte & 15]
             who, token = np.arange(m), t["longest"][node]
             while len(who):
                 ok = self.has_arcs(rows[end - t["length"][token], who], token)
@@ -213,10 +226,10 @@ class Walker:
         return [ids[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
 
     def _alone(self, word: bytes) -> bytes:
-        longest, shorter, length, row, number, lacks, upto = self.lists.values()
-        view, known, node, last, rows = self.view, self.known, 0, [0], [0]
+        page, step, longest, shorter, length, row, number, lacks, upto = self.views.values()
+        known, node, last, rows = self.known, 0, [0], [0]
         for end, byte in enumerate(word, 1):
-            node = view[node << 8 | byte]
+            node = step[page[node << 4 | byte >> 4] << 4 | byte & 15]
             token = longest[node]
             while True:
                 key = rows[end - length[token]] << 32 | token
