@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, chat, langid, lmscore, mixing, neardup_vectors, quality, sharding, simhash, warc
+from tessera.llm import bpe, chat, divergence, langid, lmscore, mixing, neardup_vectors, packing, quality, sharding, simhash, warc
 
 N_SHARDS = 8
 
@@ -72,7 +72,20 @@ def op10_isolation_forest_quality(spark: SparkSession, sf_dir: str) -> DataFrame
     return out.withColumnRenamed("id", "doc_id").withColumnRenamed("score", "anomaly_score")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_neardup, op2_stupid_backoff, op3_transcript_hmm, op4_spherical_kmeans_neardup, op5_hypergeometric_shards, op6_ppm_language_id, op7_warc_derivatives, op8_bpe_automaton, op9_hash_threshold_mix, op10_isolation_forest_quality)}
+def op11_radix_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
+def op13_vector_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = packing.pack(_table(spark, sf_dir, "documents"), byte_bpe_path())
+    return out.select(F.col("id").alias("doc_id"), "piece", "start", "length", F.col("crc").alias("ids_crc32"), F.col("sequence").alias("sequence_id"), "offset")
+
+
+_OPERATORS = (
+    op1_simhash_neardup, op2_stupid_backoff, op3_transcript_hmm, op4_spherical_kmeans_neardup, op5_hypergeometric_shards, op6_ppm_language_id, op7_warc_derivatives,
+    op8_bpe_automaton, op9_hash_threshold_mix, op10_isolation_forest_quality, op11_radix_divergence, op13_vector_best_fit,
+)
+QUERIES = {f.__name__: f for f in _OPERATORS}
 
 #: Targets by the water level of sources ordered by cap / weight; thresholds by a running sum in hash order.
 MIX_SQL = """
@@ -148,4 +161,37 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, round(coalesce(score, 0), 4) +
 FROM d LEFT JOIN s ON d.r = s.r
 """
 
-ORACLE = {"op2_stupid_backoff": BACKOFF_SQL, "op4_spherical_kmeans_neardup": VECTORS_SQL, "op9_hash_threshold_mix": MIX_SQL}
+#: Rates of every kept term in every group; pairs and terms are compared in full.
+DIVERGENCE_SQL = """
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w
+  FROM documents),
+t AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+kept AS (SELECT lang, term, count(*)::HUGEINT AS n FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= 10),
+lt AS (SELECT lang, sum(n)::HUGEINT AS total, count(*)::HUGEINT AS v FROM kept GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT t.lang, t.source, t.term, count(*)::HUGEINT AS n FROM t JOIN kept k ON t.lang = k.lang AND t.term = k.term GROUP BY ALL),
+gt AS (SELECT lang, source, sum(n)::HUGEINT AS total FROM c GROUP BY lang, source),
+x AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+         1 + ((coalesce(c.n, 0) + 2)::HUGEINT * 1000000000) // (coalesce(gt.total, 0) + 2 * lt.v)::HUGEINT AS p,
+         1 + ((k.n + 2)::HUGEINT * 1000000000) // (lt.total + 2 * lt.v)::HUGEINT AS q
+  FROM g JOIN kept k ON g.lang = k.lang JOIN lt ON lt.lang = g.lang
+  LEFT JOIN gt ON gt.lang = g.lang AND gt.source = g.source
+  LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+f AS (
+  SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value
+  FROM x a JOIN x b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q)) // (p + q) AS value FROM x WHERE n > 0 AND p > q),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item COLLATE "binary") AS k
+  FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(k AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR k <= 10
+"""
+
+ORACLE = {"op2_stupid_backoff": BACKOFF_SQL, "op4_spherical_kmeans_neardup": VECTORS_SQL, "op9_hash_threshold_mix": MIX_SQL, "op11_radix_divergence": DIVERGENCE_SQL}
