@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, chat, divergence, langid, lmscore, mixing, neardup_vectors, packing, quality, sharding, simhash, warc
+from tessera.llm import bpe, chat, divergence, langid, lmscore, mixing, neardup_vectors, packing, prefixtrie, quality, sharding, simhash, warc
 
 N_SHARDS = 8
 
@@ -76,6 +76,11 @@ def op11_radix_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(_table(spark, sf_dir, "documents"))
 
 
+def op12_prefix_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = prefixtrie.trie(_table(spark, sf_dir, "conversations"))
+    return out.select(F.col("conv").alias("conv_id"), "depth", F.col("parent").alias("parent_conv_id"), "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
 def op13_vector_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = packing.pack(_table(spark, sf_dir, "documents"), byte_bpe_path())
     return out.select(F.col("id").alias("doc_id"), "piece", "start", "length", F.col("crc").alias("ids_crc32"), F.col("sequence").alias("sequence_id"), "offset")
@@ -83,7 +88,7 @@ def op13_vector_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _OPERATORS = (
     op1_simhash_neardup, op2_stupid_backoff, op3_transcript_hmm, op4_spherical_kmeans_neardup, op5_hypergeometric_shards, op6_ppm_language_id, op7_warc_derivatives,
-    op8_bpe_automaton, op9_hash_threshold_mix, op10_isolation_forest_quality, op11_radix_divergence, op13_vector_best_fit,
+    op8_bpe_automaton, op9_hash_threshold_mix, op10_isolation_forest_quality, op11_radix_divergence, op12_prefix_fingerprints, op13_vector_best_fit,
 )
 QUERIES = {f.__name__: f for f in _OPERATORS}
 
@@ -194,4 +199,32 @@ ranked AS (
 SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(k AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR k <= 10
 """
 
-ORACLE = {"op2_stupid_backoff": BACKOFF_SQL, "op4_spherical_kmeans_neardup": VECTORS_SQL, "op9_hash_threshold_mix": MIX_SQL, "op11_radix_divergence": DIVERGENCE_SQL}
+#: CRC-32 bit by bit; nodes by whole prefixes as lists, subtrees by prefixes of prefixes.
+_CRC_STEP = "list_reduce(list_prepend(x, [0, 0, 0, 0, 0, 0, 0, 0]), lambda y, z: xor(y >> 1, 3988292384 * (y & 1)))"
+TRIE_SQL = f"""
+WITH t AS (
+  SELECT CAST(conv_id AS BIGINT) AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i,
+         struct_pack(r := coalesce(role, ''), b := coalesce(text, '')) AS x
+  FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT c, list(x ORDER BY i) AS w FROM t GROUP BY c),
+crc AS (
+  SELECT c, w, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(c AS VARCHAR), ''), lambda s: ascii(s)::BIGINT)),
+         lambda a, s: {_CRC_STEP.replace("(x,", "(xor(a, s),")})) % 6 AS h
+  FROM own),
+built AS (SELECT a.c, CASE WHEN a.c = a.c - a.c % 100 THEN a.w ELSE list_concat(coalesce(r.w[1:a.h], []), a.w[a.h + 1:]) END AS w FROM crc a LEFT JOIN own r ON r.c = a.c - a.c % 100),
+prefix AS (SELECT c, CAST(d AS BIGINT) AS depth, w[1:d] AS p, d = len(w) AS ends FROM (SELECT *, unnest(range(len(w) + 1)) AS d FROM built)),
+node AS (
+  SELECT p, depth, min(c) AS conv_id, count(*) AS n_convs,
+         sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE ends), '')) AS ends_sha256
+  FROM prefix GROUP BY p, depth),
+tree AS (
+  SELECT n.*, m.conv_id AS parent_conv_id, CASE WHEN n.depth > 0 THEN (n.n_convs - 1) * length(n.p[n.depth].b) ELSE 0 END AS saved,
+         (SELECT count(*) FROM node k WHERE k.depth = n.depth + 1 AND k.p[1:n.depth] = n.p) AS n_children
+  FROM node n LEFT JOIN node m ON m.depth = n.depth - 1 AND n.p[1:n.depth - 1] = m.p)
+SELECT u.conv_id, u.depth, u.parent_conv_id, u.n_convs, u.n_children, count(*) FILTER (WHERE v.n_children = 0) AS n_leaves,
+       CAST(sum(v.saved) AS BIGINT) AS saved_tokens, u.ends_sha256
+FROM tree u JOIN tree v ON v.depth >= u.depth AND v.p[1:u.depth] = u.p
+GROUP BY ALL
+"""
+
+ORACLE = {"op2_stupid_backoff": BACKOFF_SQL, "op4_spherical_kmeans_neardup": VECTORS_SQL, "op9_hash_threshold_mix": MIX_SQL, "op11_radix_divergence": DIVERGENCE_SQL, "op12_prefix_fingerprints": TRIE_SQL}
