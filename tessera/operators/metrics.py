@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.functions import median
+from tessera.operators.quantiles import quantile
 
 
 def usable(rows: DataFrame) -> DataFrame:
@@ -36,14 +36,15 @@ def metrics(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def extra_metrics(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``MdAPE, bias, WAPE, n_months`` by keys. ``rows`` is read twice."""
     rows = usable(rows)
     err = F.col("yhat") - F.col("y")
+    middle = quantile(rows, keys, F.abs(err) / F.col("y"), 0.5, "MdAPE")
     return rows.groupBy(*keys).agg(
-        median(F.abs(err) / F.col("y")).alias("MdAPE"),
         (F.sum(err) / F.sum("y")).alias("bias"),
         (F.sum(F.abs(err)) / F.sum("y")).alias("WAPE"),
         F.countDistinct("t").alias("n_months"),
-    )
+    ).join(middle, keys)
 
 
 def ranked(scores: DataFrame, keys: list[str], by: str) -> DataFrame:
@@ -69,7 +70,7 @@ def interval_scores(rows: DataFrame, lo: str, mid: str, hi: str, y: str = "y", l
     ``level`` quantile of |y - mid| / half width on validation targets."""
     half = (F.col(hi) - F.col(lo)) / 2
     s = F.abs(F.col(y) - F.col(mid)) / F.greatest(half, F.lit(1e-9))
-    q = rows.where("split = 'val'").groupBy("h").agg(F.percentile(s, F.lit(level)).alias("q"))
+    q = quantile(rows.where("split = 'val'"), ["h"], s, level, "q")
     hit: Column = F.col(y).between(F.col(lo), F.col(hi)).cast("double")
     test = rows.where("split = 'test'").join(F.broadcast(q), "h")
     return test.groupBy("h").agg(F.first("q").alias("q"), F.avg(hit).alias("raw_coverage"), F.avg((s <= F.col("q")).cast("double")).alias("conformal_coverage"), F.count("*").alias("n"))

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.config import DEFAULT, NewsConfig
-from tessera.functions import median
+from tessera.operators.quantiles import quantile
+from tessera.storage import materialize
 
 #: Sentence ends, as a lookbehind split.
 SENTENCE = r"(?<=[.!?;])\s+"
@@ -116,4 +117,5 @@ def event_study(z: DataFrame, treated: DataFrame, regions: DataFrame) -> DataFra
     areas = treated.select("territory_id", "t").distinct().join(reg, "territory_id").select("region_code", "t").distinct().withColumn("_a", F.lit(True))
     rows = rows.join(named, ["territory_id", "t"], "left").join(areas, ["region_code", "t"], "left")
     group = F.when(F.col("_n"), "named").when(F.col("_a"), "same_region").otherwise("rest")
-    return rows.groupBy("t", group.alias("grp")).agg(F.count("z").alias("n"), median("z").alias("median_z"))
+    rows = materialize(rows.select("t", group.alias("grp"), "z"), "groups")
+    return quantile(rows, ["t", "grp"], "z", 0.5, "median_z").join(rows.groupBy("t", "grp").agg(F.count("z").alias("n")), ["t", "grp"])

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.config import DEFAULT, GridConfig, PanelConfig
-from tessera.functions import median, missing
+from tessera.functions import missing
+from tessera.operators.quantiles import quantile
 
 SERIES = ("territory_id", "category")
 
@@ -46,7 +47,7 @@ def full(p: DataFrame) -> DataFrame:
 def national(p: DataFrame, require_full: bool = True) -> DataFrame:
     """``category, cat_idx, t, n``: the median of log values over (full) territories. One row a category and month."""
     rows = p.where("is_full") if require_full else p
-    return rows.groupBy("category", "cat_idx", "t").agg(median("ly").alias("n"))
+    return quantile(rows, ["category", "cat_idx", "t"], "ly", 0.5, "n")
 
 
 def decompose(p: DataFrame, require_full: bool = True) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.config import DEFAULT, DetectConfig
-from tessera.functions import draw
+from tessera.functions import bernoulli, draw
 
 SHAPES, SCOPES, MAGNITUDES = ("step", "dip", "ramp"), ("series", "mo", "cluster"), (0.03, 0.05, 0.10, 0.20)
 
@@ -55,3 +55,11 @@ def inject(d: DataFrame, scen: DataFrame, shocked: DataFrame) -> DataFrame:
     rows = d.crossJoin(F.broadcast(scen)).join(shocked, ["scenario", "territory_id", "cat_idx"], "left")
     add = F.coalesce(profile(F.col("shape"), F.col("t"), F.col("onset")) * F.col("delta"), F.lit(0.0))
     return rows.withColumns({"d": F.col("d") + add, "shocked": F.col("onset").isNotNull()}).drop("delta")
+
+
+def simulated_news(rows: DataFrame, recall: float = 0.6, false_rate: float = 0.03, mult: float = 8.0) -> DataFrame:
+    """Rows of ``inject`` with ``mult``, what the news multiplies the hazard by: ``mult`` in the month in which a reported shock begins
+    (a share ``recall`` of shocked series) and in a share ``false_rate`` of all months, else 1."""
+    series = (F.col("scenario"), F.col("territory_id"), F.col("cat_idx"))
+    told = F.coalesce(F.col("t") == F.col("onset"), F.lit(False)) & bernoulli(recall, F.lit("news"), *series)
+    return rows.withColumn("mult", F.when(told | bernoulli(false_rate, F.lit("rumour"), *series, F.col("t")), mult).otherwise(1.0))

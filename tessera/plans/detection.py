@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -97,19 +95,19 @@ _lse = lambda v: f"(list_max({v}) + ln(list_sum(list_transform({v}, lambda q: ex
 _fit = lambda mean, k: f"(-pow(x[t + 2] - {mean}, 2) / (2 * (1 + 1 / {k})) - ln(2 * pi() * (1 + 1 / {k})) / 2)"
 
 
-def bocpd_sql(src: str, keys: str, hazard: str = "0.02") -> str:
-    """CTE ``bo`` (keys, t, score) over ``src`` (keys, t, x and what ``hazard`` reads): a recursion over months whose state is
+def bocpd_sql(src: str, keys: str, hazard: str = "0.02", name: str = "bo") -> str:
+    """CTE ``name`` (keys, t, score) over ``src`` (keys, t, x and what ``hazard`` reads): a recursion over months whose state is
     the list of log weights of the months in which the regime may have begun."""
     begin = "greatest(i - 2, 0)"
     k = f"(0.05 + t + 1 - {begin})"
     goes_on = f"list_transform(range(1, len(w) + 1), lambda i: w[i] + ln(1 - hz[t + 2]) + {_fit(f'((s[t + 2] - s[{begin} + 1]) / {k})', k)})"
     fresh = f"{_lse('w')} + ln(hz[t + 2]) + {_fit('0', '0.05')}"
     return f""",
-ser AS (SELECT {keys}, list(coalesce(x, 0.0) ORDER BY t) AS x, list(CAST({hazard} AS DOUBLE) ORDER BY t) AS hz FROM {src} GROUP BY {keys}),
-pre AS (SELECT *, list_transform(range(0, len(x) + 1), lambda i: coalesce(list_sum(x[1:i]), 0.0)) AS s FROM ser),
-rec AS (SELECT {keys}, x, hz, s, CAST(-1 AS BIGINT) AS t, [CAST(0 AS DOUBLE)] AS w FROM pre
-  UNION ALL SELECT {keys}, x, hz, s, t + 1, list_transform(w2, lambda q: q - {_lse('w2')}) FROM (SELECT *, list_append({goes_on}, {fresh}) AS w2 FROM rec WHERE t + 1 < len(x))),
-bo AS (SELECT {keys}, CAST(t AS INTEGER) AS t, CASE WHEN len(w) < 3 THEN CAST('inf' AS DOUBLE) ELSE {_lse('w[len(w) - 1:]')} - {_lse('w[1:len(w) - 2]')} END AS score FROM rec WHERE t >= 0)"""
+{name}1 AS (SELECT {keys}, list(coalesce(x, 0.0) ORDER BY t) AS x, list(CAST({hazard} AS DOUBLE) ORDER BY t) AS hz FROM {src} GROUP BY {keys}),
+{name}2 AS (SELECT *, list_transform(range(0, len(x) + 1), lambda i: coalesce(list_sum(x[1:i]), 0.0)) AS s FROM {name}1),
+{name}3 AS (SELECT {keys}, x, hz, s, CAST(-1 AS BIGINT) AS t, [CAST(0 AS DOUBLE)] AS w FROM {name}2
+  UNION ALL SELECT {keys}, x, hz, s, t + 1, list_transform(w2, lambda q: q - {_lse('w2')}) FROM (SELECT *, list_append({goes_on}, {fresh}) AS w2 FROM {name}3 WHERE t + 1 < len(x))),
+{name} AS (SELECT {keys}, CAST(t AS INTEGER) AS t, CASE WHEN len(w) < 3 THEN CAST('inf' AS DOUBLE) ELSE {_lse('w[len(w) - 1:]')} - {_lse('w[1:len(w) - 2]')} END AS score FROM {name}3 WHERE t >= 0)"""
 
 
 _P = "PARTITION BY territory_id, category"
@@ -225,7 +223,9 @@ allr AS (SELECT scenario, rank, centre AS territory_id, cat_idx, onset, delta FR
 shk AS (SELECT scenario, territory_id, cat_idx, arg_min(onset, rank) AS onset, arg_min(delta, rank) AS delta FROM allr GROUP BY ALL),
 inj AS (SELECT s.scenario, s.scope, s.shape, s.magnitude, d.territory_id, d.category, d.cat_idx, d.t, k.onset, k.onset IS NOT NULL AS shocked,
   d.d + coalesce(k.delta * CASE s.shape WHEN 'step' THEN (d.t >= k.onset)::INT WHEN 'dip' THEN (d.t >= k.onset AND d.t < k.onset + 2)::INT
-    WHEN 'spike' THEN (d.t = k.onset)::INT ELSE least(1.0, greatest(0.0, (d.t - k.onset + 1) / 3.0)) END, 0) AS d
+    WHEN 'spike' THEN (d.t = k.onset)::INT ELSE least(1.0, greatest(0.0, (d.t - k.onset + 1) / 3.0)) END, 0) AS d,
+  CASE WHEN coalesce(d.t = k.onset, false) AND {_draw("'news'", "s.scenario", "d.territory_id", "d.cat_idx")} % 10000 < 6000
+    OR {_draw("'rumour'", "s.scenario", "d.territory_id", "d.cat_idx", "d.t")} % 10000 < 300 THEN 8.0 ELSE 1.0 END AS mult
   FROM src d CROSS JOIN scen s LEFT JOIN shk k ON k.scenario = s.scenario AND k.territory_id = d.territory_id AND k.cat_idx = d.cat_idx)"""
     )
 
@@ -233,7 +233,7 @@ inj AS (SELECT s.scenario, s.scope, s.shape, s.magnitude, d.territory_id, d.cate
 def injected(spark: SparkSession, sf: str, scopes, shapes, mags, seeds: int) -> DataFrame:
     d = materialize(deviations(spark, sf), "deviations")
     scen = sy.scenarios(spark, scopes, shapes, mags, seeds)
-    return sy.inject(d, scen, sy.shocks(d.select("territory_id").distinct(), scen, near(spark, sf)))
+    return sy.simulated_news(sy.inject(d, scen, sy.shocks(d.select("territory_id").distinct(), scen, near(spark, sf))))
 
 
 @query(scenario_sql(sy.SCOPES, sy.SHAPES, (0.1,), 1) + " SELECT scenario, territory_id, category, t, coalesce(onset, -1) AS onset, shocked, round(d, 6) + 0.0 AS d FROM inj")
@@ -245,7 +245,9 @@ SKEYS = ["scenario", *KEYS]
 _SP = "PARTITION BY scenario, territory_id, category"
 _SW = f"{_SP} ORDER BY t"
 _ST = "PARTITION BY scenario, territory_id"
-_GRID_SCORES = f""", cu AS (SELECT *, sum(coalesce(z, 0) - 0.5) OVER ({_SW}) AS up, sum(-coalesce(z, 0) - 0.5) OVER ({_SW}) AS dn, avg(coalesce(z, 0)) OVER ({_SW}) AS m FROM st),
+_PLACE = "scenario, territory_id, category, t, onset, shocked"
+_HAZARD = "greatest(1e-4, least(0.9, 0.02 * mult))"
+_GRID_SCORES = bocpd_sql("st", "scenario, territory_id, category") + bocpd_sql("st", "scenario, territory_id, category", _HAZARD, "bn") + f""", cu AS (SELECT *, sum(coalesce(z, 0) - 0.5) OVER ({_SW}) AS up, sum(-coalesce(z, 0) - 0.5) OVER ({_SW}) AS dn, avg(coalesce(z, 0)) OVER ({_SW}) AS m FROM st),
 ph AS (SELECT *, sum(coalesce(z, 0) - m - 0.25) OVER ({_SW}) AS u, sum(coalesce(z, 0) - m + 0.25) OVER ({_SW}) AS v FROM cu),
 ew AS (SELECT a.scenario, a.territory_id, a.category, a.t, abs(sum(0.4 * pow(0.6, a.t - b.t) * coalesce(b.z, 0))) / sqrt(0.4 / 1.6) AS score
   FROM st a JOIN st b ON a.scenario = b.scenario AND a.territory_id = b.territory_id AND a.category = b.category AND b.t <= a.t GROUP BY ALL),
@@ -253,15 +255,22 @@ sf AS (SELECT scenario, territory_id, t, sum(coalesce(c, 0)) FILTER (WHERE cat_i
 sq AS (SELECT scenario, territory_id, t, {_cusum_w("s", _ST)} AS score FROM sf),
 nb AS (SELECT n.src AS territory_id, s.scenario, s.category, s.t, avg(s.c) AS m, count(*) AS k FROM near n JOIN st s ON s.territory_id = n.dst GROUP BY ALL),
 mx AS (SELECT s.*, (0.5 * c + 0.5 * m) / sqrt(0.25 + 0.25 / greatest(coalesce(k, 0), 1)) AS mix FROM st s LEFT JOIN nb USING (scenario, territory_id, category, t)),
-sc AS (
-  SELECT *, 'zscore' AS detector, abs(z) AS score FROM st UNION ALL
-  SELECT *, 'cusum_w', {_cusum_w("c", _SP)} FROM st UNION ALL
-  SELECT *, 'glr', {_glr("x", _SP)} FROM st UNION ALL
-  SELECT * EXCLUDE (up, dn, m), 'cusum', greatest(up - least(0, min(up) OVER ({_SW})), dn - least(0, min(dn) OVER ({_SW}))) FROM cu UNION ALL
-  SELECT * EXCLUDE (up, dn, m, u, v), 'page_hinkley', greatest(u - least(0, min(u) OVER ({_SW})), greatest(0, max(v) OVER ({_SW})) - v) FROM ph UNION ALL
-  SELECT st.*, 'ewma', ew.score FROM st JOIN ew USING (scenario, territory_id, category, t) UNION ALL
-  SELECT st.*, 'stouffer', sq.score FROM st JOIN sq USING (scenario, territory_id, t) UNION ALL
-  SELECT * EXCLUDE (mix), 'spatial', {_cusum_w("mix", _SP)} FROM mx),
+ss AS (
+  SELECT {_PLACE}, 'zscore' AS detector, abs(z) AS score FROM st UNION ALL
+  SELECT {_PLACE}, 'cusum_w', {_cusum_w("c", _SP)} FROM st UNION ALL
+  SELECT {_PLACE}, 'glr', {_glr("x", _SP)} FROM st UNION ALL
+  SELECT {_PLACE}, 'cusum', greatest(up - least(0, min(up) OVER ({_SW})), dn - least(0, min(dn) OVER ({_SW}))) FROM cu UNION ALL
+  SELECT {_PLACE}, 'page_hinkley', greatest(u - least(0, min(u) OVER ({_SW})), greatest(0, max(v) OVER ({_SW})) - v) FROM ph UNION ALL
+  SELECT {_PLACE}, 'ewma', ew.score FROM st JOIN ew USING (scenario, territory_id, category, t) UNION ALL
+  SELECT {_PLACE}, 'stouffer', sq.score FROM st JOIN sq USING (scenario, territory_id, t) UNION ALL
+  SELECT {_PLACE}, 'spatial', {_cusum_w("mix", _SP)} FROM mx UNION ALL
+  SELECT {_PLACE}, 'bocpd', bo.score FROM st JOIN bo USING (scenario, territory_id, category, t) UNION ALL
+  SELECT {_PLACE}, 'bocpd_news', bn.score FROM st JOIN bn USING (scenario, territory_id, category, t)),
+er AS (SELECT *, count(*) OVER (PARTITION BY scenario, detector ORDER BY round(score, 9) RANGE UNBOUNDED PRECEDING) / (count(*) OVER (PARTITION BY scenario, detector))::DOUBLE AS rank
+  FROM ss WHERE t BETWEEN 12 AND 23 AND detector IN ('bocpd', 'stouffer', 'cusum_w', 'spatial') AND isfinite(score)),
+sc AS (SELECT * FROM ss UNION ALL
+  SELECT {_PLACE}, 'bocpd_or_stouffer', max(rank) FROM er WHERE detector IN ('bocpd', 'stouffer') GROUP BY ALL HAVING count(*) = 2 UNION ALL
+  SELECT {_PLACE}, 'window_or_stouffer_or_spatial', max(rank) FROM er WHERE detector <> 'bocpd' GROUP BY ALL HAVING count(*) = 3),
 fr AS (SELECT unnest([{", ".join(map(str, FARS))}]) AS far),
 th AS (SELECT scenario, detector, CAST(unnest([{", ".join(map(str, FARS))}]) AS DOUBLE) AS far, unnest(quantile_cont(score, [{", ".join(str(1 - f) for f in FARS)}])) AS threshold FROM sc
   WHERE NOT shocked AND t BETWEEN 12 AND 23 AND score IS NOT NULL GROUP BY scenario, detector),
@@ -272,24 +281,14 @@ ev AS (SELECT scenario, detector, far, avg((hits > 0)::INT) FILTER (WHERE shocke
   avg(first) AS delay, sum(hits) / greatest(sum(alarms), 1)::DOUBLE AS precision, 100.0 * sum(alarms) FILTER (WHERE NOT shocked) / greatest(sum(months) FILTER (WHERE NOT shocked), 1) AS far_per100 FROM per GROUP BY ALL)"""
 
 
-GRID = ("zscore", "cusum_w", "glr", "cusum", "page_hinkley", "ewma", "stouffer", "spatial")
-
-
-def grid_scores(rows: DataFrame, around: DataFrame, names=GRID) -> DataFrame:
-    """One row for each scenario, series, month and detector."""
-    st = materialize(dt.streams(rows, SKEYS), "streams")
-    keep = [*SKEYS, "t", "onset", "shocked"]
-
-    def scored(n: str) -> DataFrame:
-        out = dt.spatial(st, "c", SKEYS, around) if n == "spatial" else dt.DETECTORS[n](st, dt.STREAM[n], SKEYS)
-        return out.select(*keep, F.lit(n).alias("detector"), "score")
+def grid_scores(rows: DataFrame, around: DataFrame) -> DataFrame:
+    """One row for each scenario, series, monitored month and detector: ten single ones and two combinations."""
+    return dt.all_scores(dt.streams(rows, SKEYS), SKEYS, around, "mult")
 
-    return reduce(DataFrame.unionByName, map(scored, names))
 
-
-def full_grid(spark: SparkSession, sf: str, names=GRID) -> DataFrame:
-    """All 108 scenarios: three scopes, three shapes, four sizes and three seeds."""
-    return evaluated(grid_scores(injected(spark, sf, sy.SCOPES, sy.SHAPES, sy.MAGNITUDES, 3), near(spark, sf), names))
+def full_grid(spark: SparkSession, sf: str) -> DataFrame:
+    """All 108 scenarios: three scopes, three shapes, four sizes and three seeds; twelve detectors, three false-alarm rates."""
+    return materialize(evaluated(grid_scores(injected(spark, sf, sy.SCOPES, sy.SHAPES, sy.MAGNITUDES, 3), near(spark, sf))), "grid")
 
 
 def evaluated(rows: DataFrame, fars=FARS) -> DataFrame:
@@ -302,7 +301,7 @@ def evaluated(rows: DataFrame, fars=FARS) -> DataFrame:
 
 _R = ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in ("recall", "recall_at_onset", "delay", "precision", "far_per100"))
 _F1 = "round(2 * precision * recall / greatest(precision + recall, 1e-9), 6) + 0.0 AS F1"
-_GRID = scenario_sql(sy.SCOPES, sy.SHAPES, sy.MAGNITUDES, 3) + streams_sql("inj", "scenario, territory_id, category", "scenario") + _GRID_SCORES
+_GRID = scenario_sql(sy.SCOPES, sy.SHAPES, sy.MAGNITUDES, 3).replace("WITH ", "WITH RECURSIVE ", 1) + streams_sql("inj", "scenario, territory_id, category", "scenario") + _GRID_SCORES
 
 
 @query(_GRID + f" SELECT scenario, detector, far, {_R}, {_F1} FROM ev")
@@ -328,7 +327,7 @@ def far_curve(spark: SparkSession, sf: str) -> DataFrame:
     return got.unionByName(rates.select(F.lit("random").alias("detector"), "far", F.round(1 - F.pow(1 - F.col("far"), F.lit(DEFAULT.detect.tolerance + 1)), 6).alias("recall")))
 
 
-_OUT = scenario_sql(("series",), ("spike", "step"), (0.2,), 4) + streams_sql("inj", "scenario, territory_id, category", "scenario") + _GRID_SCORES
+_OUT = scenario_sql(("series",), ("spike", "step"), (0.2,), 4).replace("WITH ", "WITH RECURSIVE ", 1) + streams_sql("inj", "scenario, territory_id, category", "scenario") + _GRID_SCORES
 
 
 @query(_OUT + " SELECT detector, split_part(scenario, '|', 2) AS kind, round(avg(recall), 6) AS recall, count(*) AS n FROM ev WHERE far = 0.03 GROUP BY ALL")
@@ -338,21 +337,34 @@ def outlier_vs_shift(spark: SparkSession, sf: str) -> DataFrame:
     return out.groupBy("detector", F.element_at(F.split("scenario", r"\|"), 2).alias("kind")).agg(F.round(F.avg("recall"), 6).alias("recall"), F.count("*").alias("n"))
 
 
-_BOCPD_GRID = _GRID.replace("WITH ", "WITH RECURSIVE ", 1).replace(_GRID_SCORES[: _GRID_SCORES.index("fr AS (")], bocpd_sql("st", "scenario, territory_id, category") + """,
-sc AS (SELECT st.*, 'bocpd' AS detector, score FROM st JOIN bo USING (scenario, territory_id, category, t)),
-""")
-
-
-@query(_BOCPD_GRID + f" SELECT scenario, detector, far, {_R}, {_F1} FROM ev")
+@query(_GRID + f" SELECT scenario, detector, far, {_R}, {_F1} FROM ev WHERE detector = 'bocpd'")
 def bocpd_grid(spark: SparkSession, sf: str) -> DataFrame:
     """The scenario grid for the Bayesian detector."""
-    return full_grid(spark, sf, ("bocpd",)).withColumns({c: r6(F.col(c)) for c in ("recall", "recall_at_onset", "delay", "precision", "far_per100", "F1")})
+    return full_grid(spark, sf).where("detector = 'bocpd'").withColumns({c: r6(F.col(c)) for c in ("recall", "recall_at_onset", "delay", "precision", "far_per100", "F1")})
+
+
+#: Summaries of the grid: what is grouped by besides the detector, and which rows count.
+_SUMMARIES = {"scope": (1, 0.03), "shape": (2, 0.03), "magnitude": (3, 0.03)}
+
+
+@query(
+    _GRID + " " + " UNION ALL ".join(f"SELECT '{k}' AS dimension, split_part(scenario, '|', {i}) AS level, detector, far, round(avg(recall), 6) AS recall, round(avg(recall_at_onset), 6) AS recall_at_onset, round(avg(delay), 6) AS delay, round(avg(precision), 6) AS precision, round(avg(2 * precision * recall / greatest(precision + recall, 1e-9)), 6) AS F1, count(*) AS n FROM ev WHERE far = 0.03 GROUP BY ALL" for k, (i, _) in _SUMMARIES.items())
+    + " UNION ALL SELECT 'far', CAST(far AS VARCHAR), detector, far, round(avg(recall), 6), round(avg(recall_at_onset), 6), round(avg(delay), 6), round(avg(precision), 6), round(avg(2 * precision * recall / greatest(precision + recall, 1e-9)), 6), count(*) FROM ev GROUP BY ALL"
+)
+def grid_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Means of all figures by detector and scope, shape, size or false-alarm rate, from one pass over the grid."""
+    out = full_grid(spark, sf)
+    part = lambda i: F.element_at(F.split("scenario", r"\|"), i)
+    at = F.array(*[F.when(F.col("far") == far, F.struct(F.lit(k).alias("dimension"), part(i).alias("level"))) for k, (i, far) in _SUMMARIES.items()], F.struct(F.lit("far").alias("dimension"), F.col("far").cast("string").alias("level")))
+    rows = out.withColumn("e", F.explode(at)).where("e IS NOT NULL")
+    means = [F.round(F.avg(c), 6).alias(c) for c in ("recall", "recall_at_onset", "delay", "precision", "F1")]
+    return rows.groupBy("e.dimension", "e.level", "detector", "far").agg(*means, F.count("*").alias("n"))
 
 
 def real_alarms(spark: SparkSession, sf: str, far: float = 0.05) -> DataFrame:
     """Alarms of the windowed CUSUM on the series as they are, at the threshold that a share ``far`` of monitored scores exceeds."""
     s = the_streams(spark, sf)
-    s = s.withColumns({"score": dt.cusum_w(s, "c", KEYS), "shocked": F.lit(False)})
+    s = materialize(s.withColumns({"score": dt.cusum_w(s, "c", KEYS), "shocked": F.lit(False)}), "scores")
     th = dt.thresholds(s, [], (far,))
     return s.crossJoin(F.broadcast(th)).withColumn("alarm", F.round("score", 9) > F.round("threshold", 9)).where(F.col("t").between(*DEFAULT.detect.monitor))
 

@@ -12,6 +12,7 @@ from tessera.functions import median, r6
 from tessera.operators import forecast as fc
 from tessera.operators import metrics as mt
 from tessera.operators import panel as pn
+from tessera.operators.quantiles import quantile
 from tessera.plans import sql
 from tessera.sources import tables as tb
 from tessera.storage import materialize
@@ -90,7 +91,7 @@ def decompose(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("WITH " + sql.PANEL + " SELECT category, t, round(median(ly), 6) + 0.0 AS n FROM panel GROUP BY category, t")
 def national_median_available(spark: SparkSession, sf: str) -> DataFrame:
-    return pn.national(the_panel(spark, sf), require_full=False).select("category", "t", r6(F.col("n")).alias("n"))
+    return pn.national(stored_panel(spark, sf), require_full=False).select("category", "t", r6(F.col("n")).alias("n"))
 
 
 def _model(name: str):
@@ -103,7 +104,7 @@ def _model(name: str):
 
 def _national(name: str):
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        out = fc.national_forecast(pn.national(the_panel(spark, sf)), published(spark, sf), pn.grid(spark), name)
+        out = fc.national_forecast(pn.national(stored_panel(spark, sf)), published(spark, sf), pn.grid(spark), name)
         return out.select("category", "o", "h", "t", r6(F.col("nhat")).alias("nhat"))
 
     run.__name__ = f"national_{name}"
@@ -164,7 +165,7 @@ def metrics_by_category(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(sql.FORECASTS + _SCORED + " SELECT model, h, round(median(abs(yhat - y) / y), 6) + 0.0 AS MdAPE, round(sum(yhat - y) / sum(y), 6) + 0.0 AS bias, round(sum(abs(yhat - y)) / sum(y), 6) + 0.0 AS WAPE, count(DISTINCT t) AS n_months FROM every WHERE split = 'test' GROUP BY model, h")
 def extra_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    return _rounded(mt.extra_metrics(_scored(spark, sf).where("split = 'test'"), ["model", "h"]), "MdAPE", "bias", "WAPE")
+    return _rounded(mt.extra_metrics(materialize(_scored(spark, sf).where("split = 'test'"), "scored"), ["model", "h"]), "MdAPE", "bias", "WAPE")
 
 
 @query(sql.FORECASTS + _SCORED + ", m AS (SELECT model, split, h, round(avg(abs(y - yhat)), 6) AS MAE FROM every GROUP BY model, split, h) SELECT *, CAST(rank() OVER (PARTITION BY split, h ORDER BY MAE) AS INTEGER) AS rank FROM m")
@@ -185,7 +186,7 @@ _TRUE = " JOIN nat tn ON tn.category = every.category AND tn.t = every.t"
 @query(sql.FORECASTS + _SCORED + ", e AS (SELECT every.model, every.split, every.h, avg(abs(y - yhat)) AS mae, avg(abs(y - exp(tn.n + f))) AS mae_true_n FROM every" + _TRUE + " GROUP BY ALL) SELECT model, split, h, round(mae, 6) AS mae, round(mae_true_n, 6) AS mae_true_n, round(1 - mae_true_n / mae, 6) + 0.0 AS national_share FROM e")
 def error_decomposition(spark: SparkSession, sf: str) -> DataFrame:
     """Share of the error that the national component's forecast makes: the same local forecasts with its true values."""
-    true = pn.national(the_panel(spark, sf)).select("category", "t", F.col("n").alias("tn"))
+    true = pn.national(stored_panel(spark, sf)).select("category", "t", F.col("n").alias("tn"))
     rows = _scored(spark, sf).join(F.broadcast(true), ["category", "t"])
     e = rows.groupBy("model", "split", "h").agg(F.avg(F.abs(F.col("y") - F.col("yhat"))).alias("mae"), F.avg(F.abs(F.col("y") - F.exp(F.col("tn") + F.col("f")))).alias("mae_true_n"))
     return e.select("model", "split", "h", F.round("mae", 6).alias("mae"), F.round("mae_true_n", 6).alias("mae_true_n"), r6(1 - F.col("mae_true_n") / F.col("mae")).alias("national_share"))
@@ -236,7 +237,8 @@ def variance_share(spark: SparkSession, sf: str) -> DataFrame:
 @query("WITH " + sql.PANEL + ", s AS (SELECT territory_id, t, sum(y) FILTER (WHERE cat_idx > 0) / max(y) FILTER (WHERE cat_idx = 0) AS r FROM panel WHERE is_full GROUP BY territory_id, t), m AS (SELECT territory_id, median(r) AS r FROM s GROUP BY territory_id) SELECT round(median(r), 6) AS median_ratio, count(*) AS n FROM m")
 def parts_to_total(spark: SparkSession, sf: str) -> DataFrame:
     s = the_panel(spark, sf).where("is_full").groupBy("territory_id", "t").agg((F.sum(F.when(F.col("cat_idx") > 0, F.col("y"))) / F.max(F.when(F.col("cat_idx") == 0, F.col("y")))).alias("r"))
-    return s.groupBy("territory_id").agg(median("r").alias("r")).agg(F.round(median("r"), 6).alias("median_ratio"), F.count("*").alias("n"))
+    own = materialize(s.groupBy("territory_id").agg(median("r").alias("r")), "ratios")  # a territory has a ratio a month
+    return quantile(own, [], "r", 0.5, "m").crossJoin(own.agg(F.count("*").alias("n"))).select(F.round("m", 6).alias("median_ratio"), "n")
 
 
 @query("WITH " + sql.PANEL + ", g AS (SELECT category, territory_id, avg(ly) FILTER (WHERE t >= 12) - avg(ly) FILTER (WHERE t < 12) AS g FROM panel WHERE is_full GROUP BY category, territory_id) SELECT category, round(100 * (exp(avg(g)) - 1), 4) + 0.0 AS growth_pct FROM g GROUP BY category")
@@ -255,7 +257,7 @@ SELECT category, round(100 * (exp(fg) - 1), 4) + 0.0 AS forecast_growth_pct, rou
 )
 def external_check(spark: SparkSession, sf: str) -> DataFrame:
     """The year after the panel: national growth forecast at the last month against what the published series show."""
-    n = pn.national(the_panel(spark, sf)).select("category", "t", "n")
+    n = pn.national(stored_panel(spark, sf)).select("category", "t", "n")
     g = n.groupBy("category").agg((F.max(F.when(F.col("t") == 23, F.col("n"))) - F.max(F.when(F.col("t") == 11, F.col("n")))).alias("g"))
     f = n.where("t between 12 and 23").join(g, "category").select("category", (F.col("t") + 12).alias("t"), F.col("n").alias("n0"), (F.col("n") + 0.5 * F.col("g")).alias("nhat"))
     pub = published(spark, sf)
@@ -284,5 +286,5 @@ def conformal_coverage(spark: SparkSession, sf: str) -> DataFrame:
     w = Window.partitionBy(*pn.SERIES).orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
     d = decomposed(spark, sf).where("d is not null")
     q = d.select(*pn.SERIES, F.col("t").alias("o"), *[F.percentile("d", F.lit(p)).over(w).alias(c) for c, p in (("lo", 0.1), ("mid", 0.5), ("hi", 0.9))])
-    rows = q.join(F.broadcast(pn.grid(spark)), "o").join(d.select(*pn.SERIES, "t", F.col("d").alias("y")), [*pn.SERIES, "t"])
+    rows = materialize(q.join(F.broadcast(pn.grid(spark)), "o").join(d.select(*pn.SERIES, "t", F.col("d").alias("y")), [*pn.SERIES, "t"]), "intervals")
     return _rounded(mt.interval_scores(rows, "lo", "mid", "hi"), "q", "raw_coverage", "conformal_coverage")

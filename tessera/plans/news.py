@@ -9,10 +9,12 @@ from tessera.config import DEFAULT
 from tessera.functions import r6
 from tessera.operators import detect as dt
 from tessera.operators import news as nw
+from tessera.operators.quantiles import quantile
 from tessera.plans import sql
 from tessera.plans.detection import KEYS, REAL, RECURSIVE, STREAMS, bocpd_sql, real_alarms, the_streams
 from tessera.plans.forecasting import decomposed, forecasts, the_panel
 from tessera.sources import tables as tb
+from tessera.storage import materialize
 
 QUERIES, ORACLE = {}, {}
 #: Trigger words and phrases of each event type in the fixture texts.
@@ -158,12 +160,11 @@ zz AS (SELECT s.territory_id, s.t, z, coalesce(x.x, 0) AS x, quantile_cont(z, 0.
 @query(_WATCH + " SELECT t, count(*) FILTER (WHERE x > 0.5) AS n_watch, round(avg((z < cut)::INT) FILTER (WHERE x > 0.5), 6) AS precision, round(avg((z < cut)::INT), 6) AS base_rate FROM zz GROUP BY t")
 def watchlist(spark: SparkSession, sf: str) -> DataFrame:
     """Series in exposed territories: how many fall to the month's worst tenth, against all series."""
-    from pyspark.sql.window import Window
-
     months = F.round(F.months_between("month", F.lit(DEFAULT.panel.start).cast("date"))).cast("int")
     x = nw.monthly_exposure(events(spark, sf), tb.regions(spark, sf)).where("type = 'emergency'").groupBy("territory_id", months.alias("t")).agg(F.sum("exposure").alias("x"))
     rows = the_streams(spark, sf).where("t >= 12").select(*KEYS, "t", "z").join(x, ["territory_id", "t"], "left").withColumn("x", F.coalesce("x", F.lit(0.0)))
-    rows = rows.withColumn("low", (F.col("z") < F.percentile("z", F.lit(0.1)).over(Window.partitionBy("t"))).cast("int"))
+    rows = materialize(rows, "exposed")
+    rows = rows.join(quantile(rows, ["t"], "z", 0.1, "cut"), "t").withColumn("low", (F.col("z") < F.col("cut")).cast("int"))
     on = F.col("x") > 0.5
     return rows.groupBy("t").agg(F.count(F.when(on, 1)).alias("n_watch"), r6(F.avg(F.when(on, F.col("low")))).alias("precision"), r6(F.avg("low")).alias("base_rate"))
 
