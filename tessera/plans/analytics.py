@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.config import DEFAULT
 from tessera.functions import r6, stats
-from tessera.operators import ensemble, features, metrics, offline, plugins
+from tessera.operators import ensemble, features, metrics, offline, plugins, synthetic
 from tessera.operators import panel as pn
 from tessera.plans import sql
 from tessera.plans.detection import KEYS, NEAR, SRC, _cusum_w, _P, deviations, near, real_alarms, streams_sql
@@ -118,11 +118,46 @@ def plugin_quantiles(spark: SparkSession, sf: str) -> DataFrame:
     return plugins.forecast(deviations(spark, sf), "drift_quantiles", 17, 6)
 
 
+def _joined(out: DataFrame) -> DataFrame:
+    return out.withColumns({"n_points": F.size("points"), "points": F.array_join(F.col("points").cast("array<string>"), ",")})
+
+
 @query()
 def offline_changepoints(spark: SparkSession, sf: str) -> DataFrame:
     """Retrospective change points of the local deviations by five searches."""
-    out = offline.detect(deviations(spark, sf), KEYS, "d", {"pelt": 8.0, "binseg": 8.0, "bottomup": 8.0, "window": 8.0, "kernel": 1.5})
-    return out.select(*KEYS, "method", F.size("points").alias("n_points"), F.array_join(F.col("points").cast("array<string>"), ",").alias("points"))
+    d = deviations(spark, sf)
+    out = offline.detect(d, KEYS, "d", (8.0,), ("pelt", "binseg", "bottomup", "window")).unionByName(offline.detect(d, KEYS, "d", (1.5,), ("kernel",)))
+    return _joined(out).select(*KEYS, "method", "n_points", "points")
+
+
+@query(
+    SRC.replace("WITH ", "WITH RECURSIVE ", 1) + f""",
+ser AS (SELECT territory_id, category, list(coalesce(d, 0.0) ORDER BY t) AS v FROM src GROUP BY ALL),
+med AS (SELECT *, list_median(v) AS m, list_median(list_transform(range(2, len(v) + 1), lambda i: abs(v[i] - v[i - 1]))) AS s FROM ser),
+std AS (SELECT territory_id, category, list_transform(v, lambda q: (q - m) / (s * 1.4826 / sqrt(2.0) + 1e-6)) AS x FROM med),
+cum AS (SELECT territory_id, category, len(x) AS n, list_transform(range(0, len(x) + 1), lambda i: coalesce(list_sum(x[1:i]), 0.0)) AS c1,
+  list_transform(range(0, len(x) + 1), lambda i: coalesce(list_sum(list_transform(x[1:i], lambda q: q * q)), 0.0)) AS c2 FROM std),
+rec AS (SELECT cum.*, penalty, CAST(0 AS BIGINT) AS t, [-penalty] AS f, [''] AS p FROM cum CROSS JOIN (SELECT CAST(unnest([{", ".join(map(str, offline.PENALTIES))}]) AS DOUBLE) AS penalty)
+  UNION ALL SELECT territory_id, category, n, c1, c2, penalty, t + 1, list_append(f, coalesce(list_min(w), CAST('inf' AS DOUBLE))),
+    list_append(p, CASE WHEN len(w) = 0 OR list_position(w, list_min(w)) = 1 THEN '' ELSE p[list_position(w, list_min(w))] || CASE WHEN p[list_position(w, list_min(w))] = '' THEN '' ELSE ',' END || (list_position(w, list_min(w)) - 1) END)
+  FROM (SELECT *, list_transform(range(0, t), lambda k: f[k + 1] + c2[t + 2] - c2[k + 1] - pow(c1[t + 2] - c1[k + 1], 2) / (t + 1 - k) + penalty) AS w FROM rec WHERE t < n))
+SELECT territory_id, category, penalty, p[n + 1] AS points, CASE WHEN p[n + 1] = '' THEN 0 ELSE len(string_split(p[n + 1], ',')) END AS n_points FROM rec WHERE t = n"""
+)
+def offline_optimal(spark: SparkSession, sf: str) -> DataFrame:
+    """The segmentation with least cost at each of nine penalties, by dynamic programming."""
+    out = _joined(offline.detect(deviations(spark, sf), KEYS, "d", methods=("pelt",)))
+    return out.select(*KEYS, "penalty", "points", "n_points")
+
+
+@query()
+def offline_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Five searches on series half of which have a step put in, each at the penalty that gives three false points in 100 months."""
+    d = materialize(deviations(spark, sf), "deviations")
+    scen = synthetic.scenarios(spark, ("series",), ("step",), (0.1,), 1)
+    rows = materialize(synthetic.inject(d, scen, synthetic.shocks(d.select("territory_id").distinct(), scen, frac=0.5)), "shocked")
+    points = materialize(offline.detect(rows, KEYS, "d"), "points")
+    out = offline.calibrated(points, rows.groupBy(*KEYS).agg(F.max("onset").alias("onset")), KEYS, DEFAULT.detect.monitor)
+    return out.select("method", "penalty", *[r6(F.col(c)).alias(c) for c in ("recall", "precision", "F1", "false_per100")])
 
 
 _U = lambda kind, key: f"CAST(('0x' || substr(md5('{kind}|' || b || '|' || {key}), 1, 8)) AS BIGINT) / 4294967296.0"
