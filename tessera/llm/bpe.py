@@ -20,8 +20,12 @@ from tessera.llm.text import slices
 PRE_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters with the White_Space property, as a class's inside (fixed values).
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Letters, and all characters, of texts that the standard library's regular expressions pre-split alike: Latin ones, without those
+#: that Unicode counts among letters or numbers and that are neither here.
+LATIN = r"A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f"
+PLAIN = r"\x00-\x84\x86-\x9f\xa1-\xa9\xab-\xb1\xb4\xb6-\xb8\xbb\xbf-\u024f\u2010-\u2027\u2030-\u205e"
 #: Pieces whose ids a task remembers, and the longest such piece in characters. Others are encoded anew each time.
-REMEMBERED, REMEMBERED_CHARS = 60_000, 64
+REMEMBERED, REMEMBERED_CHARS = 200_000, 64
 #: Longest word in bytes that is walked in step with others; longer ones go alone.
 IN_STEP = 256
 
@@ -189,14 +193,15 @@ class Walker:
     def words(self, words: list[bytes]) -> list[bytes]:
         """Ids of each word as little-endian unsigned 32-bit integers. Short words are walked in step, byte by byte."""
         out: list[bytes] = [b""] * len(words)
-        short = sorted((i for i, w in enumerate(words) if len(w) <= IN_STEP), key=lambda i: -len(words[i]))
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        short = np.argsort(-sizes, kind="stable")
+        short = short[np.searchsorted(-sizes[short], -IN_STEP) :].tolist()
         for at in range(0, len(short), 8192):
             some = short[at : at + 8192]
             for i, x in zip(some, self._in_step([words[i] for i in some]), strict=True):
                 out[i] = x
-        for i, w in enumerate(words):
-            if len(w) > IN_STEP:
-                out[i] = self._alone(w)
+        for i in np.flatnonzero(sizes > IN_STEP).tolist():
+            out[i] = self._alone(words[i])
         return out
 
     def _in_step(self, words: list[bytes]) -> list[bytes]:
@@ -251,30 +256,36 @@ class Walker:
 
 
 class Remembered(dict):
-    """A table that is filled as pieces come. What was there before it filled up is kept as ``older``."""
+    """Ids of pieces. What is asked for in vain stands as an empty array until ``settle`` fills it, so that each piece of a
+    text is looked up once. What was there before the table filled up is kept as ``older``."""
 
     def __init__(self):
         super().__init__()
-        self.older = {}
-
-    def lacking(self, keys: set) -> list:
-        """Those of ``keys`` that are in neither table, after the others are brought into this one."""
+        self.older, self.new = {}, []
+
+    def __missing__(self, key: str) -> bytes | bytearray:
+        if (found := self.older.get(key)) is None:
+            found = bytearray()
+            self.new.append(key)
+        self[key] = found
+        return found
+
+    def settle(self, ids: list[bytes]) -> None:
+        """The ids of ``new``, in its order."""
+        for key, x in zip(self.new, ids, strict=True):
+            self[key].extend(x)
+
+    def trim(self) -> None:
+        """Called when the texts that asked are done."""
+        for key in self.new:
+            if len(key) > REMEMBERED_CHARS:
+                del self[key]
+            else:
+                self[key] = bytes(self[key])
+        self.new = []
         if len(self) > REMEMBERED:
             self.older = self.copy()
             self.clear()
-        out = []
-        for k in keys:
-            if k not in self:
-                if (x := self.older.get(k)) is None:
-                    out.append(k)
-                else:
-                    self[k] = x
-        return out
-
-    def forget_long(self, keys: list) -> None:
-        for k in keys:
-            if len(k) > REMEMBERED_CHARS:
-                self.pop(k, None)
 
 
 class Encoder:
@@ -285,6 +296,8 @@ class Encoder:
         self.special = {s: np.array([i], "<u4").tobytes() for s, i in added}
         self.split = regex.compile(PRE_SPLIT.replace(r"\s", f"[{SPACE}]").replace(f"[^[{SPACE}]", f"[^{SPACE}").replace(r"\S", f"[^{SPACE}]")).findall
         self.chunks = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+").findall
+        self.other = re.compile(f"[^{PLAIN}]").search
+        self.plain = re.compile(f" ?[{LATIN}]+|'(?:[stmd]|re|ve|ll)| ?[0-9]+| ?[^{SPACE}{LATIN}0-9]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+").findall
         self.found, self.runs = Remembered(), Remembered()
         self.added = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if added else None
         label = list(tables["label"]) + [b""] * (max([i for _, i in added], default=-1) + 1 - len(tables["label"]))
@@ -297,19 +310,20 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of texts as little-endian unsigned 32-bit integers.
 
-        White-space runs and the words after them are split first, as the pre-split never looks past them. What no table
-        holds of all texts is pre-split and walked at once.
+        Plain texts are pre-split as they are. In others white-space runs and the words after them are split first, as the
+        pre-split never looks past them. What no table holds of all texts is walked at once.
         """
-        parts = [self.added.split(x) if self.added else [x] for x in texts]
-        split = [[self.chunks(x) if k % 2 == 0 else x for k, x in enumerate(p)] for p in parts]
-        new = self.runs.lacking(set().union(*(x for p in split for x in p[::2])))
-        words = [self.split(c) for c in new]
-        lacking = self.found.lacking(set().union(*words))
-        self.found.update(zip(lacking, self.walker.words([w.encode() for w in lacking]), strict=True))
-        self.runs.update(zip(new, [b"".join(map(self.found.__getitem__, w)) for w in words], strict=True))
-        out = [b"".join([b"".join(map(self.runs.__getitem__, x)) if k % 2 == 0 else self.special[x] for k, x in enumerate(p)]) for p in split]
-        self.runs.forget_long(new)
-        self.found.forget_long(lacking)
+        found, runs = self.found.__getitem__, self.runs.__getitem__
+        asked = []
+        for text in texts:
+            parts = self.added.split(text) if self.added else [text]
+            asked.append([[self.special[x]] if k % 2 else list(map(runs, self.chunks(x)) if self.other(x) else map(found, self.plain(x))) for k, x in enumerate(parts)])
+        split = [list(map(found, self.split(x))) for x in self.runs.new]
+        self.found.settle(self.walker.words([w.encode() for w in self.found.new]))
+        self.runs.settle([b"".join(x) for x in split])
+        out = [b"".join([b"".join(x) for x in parts]) for parts in asked]
+        self.found.trim()
+        self.runs.trim()
         return out
 
     def decode(self, ids: list[np.ndarray]) -> list[str]:
