@@ -22,9 +22,9 @@ def features(d: DataFrame, near: DataFrame, regions: DataFrame, grid: DataFrame,
     v = F.col("d")
     of = lambda a, b: F.avg(v).over(w.rowsBetween(a, b))
     unit, region = Window.partitionBy("territory_id", "t"), Window.partitionBy("region", "category", "t")
-    rows = d.join(F.broadcast(regions.select("territory_id", F.col("region_code").alias("region"))), "territory_id", "left")
+    rows = d.join(regions.select("territory_id", F.col("region_code").alias("region")), "territory_id", "left")
     rows = rows.join(neighbour_mean(d, near, "d", ["category", "t"]).drop("nb_count"), [*SERIES, "t"], "left")
-    rows = rows.join(F.broadcast(near.where("rank = 1").select(F.col("src").alias("territory_id"), F.col("distance").alias("nb_dist1"))), "territory_id", "left")
+    rows = rows.join(near.where("rank = 1").select(F.col("src").alias("territory_id"), F.col("distance").alias("nb_dist1")), "territory_id", "left")
     rows = rows.withColumns({"_all": F.max(F.when(F.col("cat_idx") == 0, v)).over(unit), "_mo": F.avg(v).over(unit), "_reg": F.avg(v).over(region)})
     state = rows.select(
         *SERIES, "cat_idx", "region", "nb_dist1", F.col("t").alias("o"), F.col("ly").alias("ly0"), F.month("month").alias("origin_month"),
@@ -44,14 +44,3 @@ def features(d: DataFrame, near: DataFrame, regions: DataFrame, grid: DataFrame,
     out = out.join(target, [*SERIES, "t"], "left").withColumn("y_target", F.col("_dt") - F.col("d_l0"))
     return out.select(*SERIES, "o", "t", *FEATURES, "y_target")
 
-
-def boosted(rows: DataFrame, origin: int, min_origin: int = 2, iterations: int = 20, depth: int = 4) -> DataFrame:
-    """A global direct model for one origin: boosted trees trained on pairs whose target is known at the origin (o' + h' <= o), applied to
-    its own pairs. Missing features are 0 with the learner's own bins; ``f`` is d[o] plus the predicted change."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
-
-    filled = rows.fillna(0.0, subset=[c for c in FEATURES])
-    made = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(filled)
-    model = GBTRegressor(featuresCol="features", labelCol="y_target", lossType="absolute", maxIter=iterations, maxDepth=depth, seed=7).fit(made.where((F.col("t") <= origin) & (F.col("o") >= min_origin) & F.col("y_target").isNotNull()))
-    return model.transform(made.where(F.col("o") == origin)).select(*SERIES, "o", "h", "t", (F.col("d_l0") + F.col("prediction")).alias("f"))

@@ -7,9 +7,9 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.config import DEFAULT
+from tessera.config import DEFAULT, GridConfig
 from tessera.functions import r6, stats
-from tessera.operators import ensemble, features, metrics, offline, plugins, synthetic
+from tessera.operators import direct, ensemble, features, metrics, offline, plugins, synthetic
 from tessera.operators import panel as pn
 from tessera.plans import sql
 from tessera.plans.detection import KEYS, NEAR, SRC, _cusum_w, _P, deviations, near, real_alarms, streams_sql
@@ -102,14 +102,28 @@ def features_oh(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("territory_id", "category", "o", "h", *[r6(F.col(c)).alias(c) for c in _SHOWN])
 
 
+def _pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Features of all pairs of origin and horizon from the third month on, also those that no forecast is scored for."""
+    cfg = GridConfig(first_origin=2, last_origin=DEFAULT.panel.months - 1, val=(0, 0))
+    rows = features.features(decomposed(spark, sf).where("is_full"), near(spark, sf), tb.regions(spark, sf), pn.grid(spark, cfg))
+    return materialize(rows, "features")
+
+
+ORIGINS = range(DEFAULT.grid.first_origin, DEFAULT.grid.last_origin + 1)
+
+
 @query()
 def boosted_direct(spark: SparkSession, sf: str) -> DataFrame:
-    """Boosted trees on the features, for one origin."""
-    from tessera.config import GridConfig
+    """The direct model at every origin, for every horizon."""
+    rows = _pairs(spark, sf)
+    out = direct.forecast(rows, materialize(direct.models(rows, ORIGINS), "models")).join(F.broadcast(pn.grid(spark).select("o", "h")), ["o", "h"])
+    return out.select("territory_id", "category", "o", "h", r6(F.col("f")).alias("f"))
+
 
-    cfg = GridConfig(first_origin=2)
-    rows = features.features(decomposed(spark, sf).where("is_full"), near(spark, sf), tb.regions(spark, sf), pn.grid(spark, cfg).where("h <= 3"))
-    return features.boosted(materialize(rows, "features"), 17).select("territory_id", "category", "o", "h", r6(F.col("f")).alias("f"))
+@query()
+def feature_importance(spark: SparkSession, sf: str) -> DataFrame:
+    """Mean gain of each feature over the models of all origins."""
+    return direct.importance(direct.models(_pairs(spark, sf), ORIGINS)).withColumn("gain", F.round("gain", 3))
 
 
 @query()
