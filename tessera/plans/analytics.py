@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from tessera.config import DEFAULT, GridConfig
 from tessera.functions import r6, stats
-from tessera.operators import direct, ensemble, features, metrics, offline, plugins, synthetic
+from tessera.operators import direct, ensemble, features, forecast, metrics, offline, plugins, synthetic
 from tessera.operators import panel as pn
 from tessera.plans import sql
 from tessera.plans.detection import KEYS, NEAR, SRC, _cusum_w, _P, deviations, near, real_alarms, streams_sql
-from tessera.plans.forecasting import MODELS, decomposed, forecasts
+from tessera.plans.forecasting import MODELS, decomposed, forecasts, local_forecasts, national_average, published, stored_panel
 from tessera.sources import tables as tb
 from tessera.storage import materialize
 from tessera.streaming import online
@@ -31,14 +31,45 @@ def query(oracle: str | None = None):
     return add
 
 
-@query()
+#: Pools of the ablations: with all members, with the three simplest, and on a national forecast without the published series.
+POOLS = {"full": ("average", MODELS), "simple": ("average", ("naive", "mean3", "ses")), "own_only": ("own", MODELS)}
+
+
+def variants(spark: SparkSession, sf: str) -> DataFrame:
+    """Local forecasts on the national average and on the national forecast that needs no published series."""
+    p = stored_panel(spark, sf)
+    local = materialize(local_forecasts(spark, sf, MODELS, p), "local")
+    own = forecast.national_forecast(pn.national(p), published(spark, sf), pn.grid(spark), "snaive_own")
+    made = {"average": national_average(spark, sf, p=p), "own": own}
+    rows = [forecast.with_actuals(forecast.compose(local, n), p).withColumn("variant", F.lit(v)) for v, n in made.items()]
+    return materialize(rows[0].unionByName(rows[1]), "variants")
+
+
+_N = len(MODELS)
+_SUM = " + ".join(f"taken[{i}] * p[{i}]" for i in range(1, _N + 1))
+_ERR = ", ".join(f"CASE WHEN any_value(allowed)[{i}] THEN round(avg(abs(y - exp(({_SUM} + p[{i}]) / (step + 1)))), 9) ELSE CAST('inf' AS DOUBLE) END" for i in range(1, _N + 1))
+_VARIANTS = sql.FORECASTS.replace("WITH ", "WITH RECURSIVE ", 1) + f""",
+vf AS (SELECT 'average' AS variant, model, territory_id, category, o, h, t, split, h_group, lf, y FROM fc
+  UNION ALL SELECT 'own', f.model, f.territory_id, f.category, f.o, f.h, f.t, f.split, f.h_group, n.nhat + f.f, f.y FROM fc f LEFT JOIN natf n ON n.method = 'snaive_own' AND n.category = f.category AND n.o = f.o AND n.h = f.h),
+pools AS (SELECT * FROM (VALUES {", ".join(f"('{k}', '{v}', [{', '.join(str(m in some).lower() for m in MODELS)}])" for k, (v, some) in POOLS.items())}) v(pool, variant, allowed)),
+wide AS (SELECT variant, split, h_group, territory_id, category, o, h, t, max(y) AS y, [{", ".join(f"max(lf) FILTER (WHERE model = '{m}')" for m in MODELS)}] AS p FROM vf WHERE y IS NOT NULL GROUP BY ALL),
+every AS (SELECT pool, split, h_group, h, y, list_transform(p, lambda v: coalesce(v, 0.0)) AS p, allowed FROM wide JOIN pools USING (variant)
+  WHERE len(list_filter(range(1, {_N + 1}), lambda i: allowed[i] AND p[i] IS NULL)) = 0),
+cel AS (SELECT * FROM every WHERE split = 'val'),
+sel AS (SELECT DISTINCT pool, h_group, 0 AS step, [{", ".join(["CAST(0 AS DOUBLE)"] * _N)}] AS taken FROM cel
+  UNION ALL SELECT pool, h_group, step + 1, list_transform(range(1, {_N + 1}), lambda i: taken[i] + (i = list_position(e, list_min(e)))::INT)
+  FROM (SELECT c.pool, c.h_group, step, any_value(taken) AS taken, [{_ERR}] AS e FROM sel JOIN cel c USING (pool, h_group) WHERE step < {ensemble.ADDITIONS} GROUP BY c.pool, c.h_group, step)),
+fin AS (SELECT * FROM sel WHERE step = {ensemble.ADDITIONS}),
+opt AS (SELECT pool, h_group, allowed, s AS shrinkage, list_transform(range(1, {_N + 1}), lambda i: (1 - s) * taken[i] / {ensemble.ADDITIONS} + CASE WHEN allowed[i] THEN s / len(list_filter(allowed, lambda a: a)) ELSE 0 END) AS w
+  FROM fin JOIN pools USING (pool) CROSS JOIN (SELECT CAST(unnest({list(ensemble.SHRINKAGES)}) AS DOUBLE) AS s)),
+dot AS (SELECT o.pool, o.h_group, o.shrinkage, any_value(o.w) AS w, round(avg(abs(y - exp({" + ".join(f"w[{i}] * p[{i}]" for i in range(1, _N + 1))}))), 9) AS e FROM opt o JOIN cel USING (pool, h_group) GROUP BY ALL),
+best AS (SELECT pool, h_group, arg_min(shrinkage, (e, shrinkage)) AS shrinkage, arg_min(w, (e, shrinkage)) AS w FROM dot GROUP BY pool, h_group)"""
+
+
+@query(_VARIANTS + f" SELECT pool, h_group, [{', '.join(repr(m) for m in MODELS)}][i] AS model, round(w[i], 6) AS weight, shrinkage FROM best CROSS JOIN (SELECT unnest(range(1, {_N + 1})) AS i) WHERE w[i] > 0")
 def ensemble_selection(spark: SparkSession, sf: str) -> DataFrame:
-    """Greedy selection by horizon group: weights as rows."""
-    w = ensemble.select(forecasts(spark, sf), list(MODELS))
-    return spark.createDataFrame([(g, m, round(x, 6)) for g, v in w.items() for m, x in v.items()], "h_group int, model string, weight double")
-
-
-_W = {g: {"naive": 0.5, "level_season": 0.3, "seasonal_naive": 0.2} for g in (0, 1, 2)}
+    """Greedy selection of three pools at once, by horizon group: weights as rows."""
+    return ensemble.choose(variants(spark, sf), MODELS, POOLS).withColumn("weight", F.round("weight", 6))
 
 
 @query(
@@ -47,19 +78,43 @@ e AS (SELECT territory_id, category, o, h, t, split, max(y) AS y, CASE WHEN coun
 SELECT split, h, round(avg(abs(y - yhat)), 4) + 0.0 AS MAE, count(*) AS n FROM e WHERE y IS NOT NULL AND yhat IS NOT NULL GROUP BY split, h"""
 )
 def ensemble_apply(spark: SparkSession, sf: str) -> DataFrame:
-    e = metrics.usable(ensemble.apply(forecasts(spark, sf, ("naive", "level_season", "seasonal_naive")), _W))
+    fixed = {"naive": 0.5, "level_season": 0.3, "seasonal_naive": 0.2}
+    weights = spark.createDataFrame([(g, m, w) for g in range(len(DEFAULT.grid.groups)) for m, w in fixed.items()], "h_group int, model string, weight double")
+    e = metrics.usable(ensemble.apply(forecasts(spark, sf, tuple(fixed)), weights))
     return e.groupBy("split", "h").agg((F.round(F.avg(F.abs(F.col("y") - F.col("yhat"))), 4) + 0.0).alias("MAE"), F.count("*").alias("n"))
 
 
-@query()
+_TEST = _VARIANTS + f""",
+ens AS (SELECT pool, h, round(avg(abs(y - exp({" + ".join(f"w[{i}] * coalesce(p[{i}], 0)" for i in range(1, _N + 1))}))), 6) AS MAE, count(*) AS n
+  FROM wide JOIN pools USING (variant) JOIN best USING (pool, h_group) WHERE split = 'test' AND len(list_filter(range(1, {_N + 1}), lambda i: w[i] > 0 AND p[i] IS NULL)) = 0 GROUP BY pool, h),
+one AS (SELECT model, h, round(avg(abs(y - exp(lf))), 6) AS MAE FROM vf WHERE variant = 'average' AND split = 'test' AND y IS NOT NULL AND lf IS NOT NULL GROUP BY model, h)"""
+
+
+@query(_TEST + " SELECT 'ensemble' AS model, h, MAE FROM ens WHERE pool = 'full' UNION ALL SELECT model, h, MAE FROM one")
 def ensemble_accuracy(spark: SparkSession, sf: str) -> DataFrame:
     """The selected ensemble against its members on test targets."""
-    f = materialize(forecasts(spark, sf), "forecasts")
-    e = ensemble.apply(f, ensemble.select(f, list(MODELS)))
+    f = variants(spark, sf)
+    w = ensemble.choose(f, MODELS, {"full": POOLS["full"]})
+    f = f.where("variant = 'average'")
+    e = ensemble.apply(f, w.drop("pool"))
     rows = metrics.usable(f.select("model", "split", "h", "y", "yhat").unionByName(e.select("model", "split", "h", "y", "yhat"))).where("split = 'test'")
     return rows.groupBy("model", "h").agg(r6(F.avg(F.abs(F.col("y") - F.col("yhat")))).alias("MAE"))
 
 
+@query(_TEST + """, hind AS (SELECT h, arg_min(model, (MAE, model)) AS best_model, min(MAE) AS best_MAE FROM one GROUP BY h)
+SELECT pool, h, ens.MAE, n, best_model, best_MAE, round(ens.MAE / best_MAE - 1, 6) + 0.0 AS over_best FROM ens JOIN hind USING (h)""")
+def ensemble_ablations(spark: SparkSession, sf: str) -> DataFrame:
+    """Each pool's ensemble on test targets, against the single model that is best there in hindsight."""
+    f = variants(spark, sf)
+    variant = ensemble.pools_table(f, POOLS, MODELS).select("pool", "variant")
+    w = ensemble.choose(f, MODELS, POOLS).join(F.broadcast(variant), "pool")
+    error = F.round(F.avg(F.abs(F.col("y") - F.col("yhat"))), 6).alias("MAE")
+    e = metrics.usable(ensemble.apply(f, w)).where("split = 'test'").groupBy("pool", "h").agg(error, F.count("*").alias("n"))
+    one = metrics.usable(f.where("variant = 'average' and split = 'test'")).groupBy("model", "h").agg(error)
+    hind = one.groupBy("h").agg(F.min_by("model", F.struct("MAE", "model")).alias("best_model"), F.min("MAE").alias("best_MAE"))
+    return e.join(hind, "h").withColumn("over_best", r6(F.col("MAE") / F.col("best_MAE") - 1))
+
+
 @query(
     sql.FORECASTS + ", src AS (SELECT territory_id, category, cat_idx, t, d FROM dec WHERE is_full)" + streams_sql("src", "territory_id, category") + f""",
 s AS (SELECT territory_id, category, t, {_cusum_w("c", _P)} AS score FROM st),

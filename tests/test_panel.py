@@ -128,11 +128,40 @@ def test_ensemble_prefers_the_better_model_and_sums_to_one(spark):
             for m, noise in (("good", 0.02), ("bad", 0.3)):
                 rows.append((m, s, "c", 10, h, 10 + h, "val", {1: 0, 4: 1, 8: 2}[h], ly + rng.normal(0, noise), float(np.exp(ly)), None))
     f = spark.createDataFrame(rows, "model string, territory_id int, category string, o int, h int, t int, split string, h_group int, lf double, y double, ylag double")
-    w = ensemble.select(f, ["good", "bad"], rounds=8)
+    w = ensemble.choose(f.withColumn("variant", F.lit("v")), ["good", "bad"], {"both": ("v", ["good", "bad"]), "one": ("v", ["bad"])}, additions=8)
+    got = {(r.pool, r.h_group, r.model): r.weight for r in w.collect()}
     for g in (0, 1, 2):
-        parts = {k: v for k, v in w[g].items() if k[0] != "_"}
-        assert sum(parts.values()) == pytest.approx(1) and parts["good"] > 0.8
-    assert ensemble.apply(f, w).count() == 180
+        assert got["both", g, "good"] + got.get(("both", g, "bad"), 0) == pytest.approx(1) and got["both", g, "good"] > 0.8
+        assert got["one", g, "bad"] == 1 and ("one", g, "good") not in got
+    assert ensemble.apply(f, w.where("pool = 'both'").drop("pool")).count() == 180
+
+
+def test_ensemble_equals_a_plain_loop(spark):
+    """Every step, pool and shrinkage by brute force; the cells of a pool need its own members only."""
+    rng, models = np.random.default_rng(8), ["a", "b", "c", "d"]
+    rows, held = [], {}
+    for s in range(40):
+        for h, g in ((1, 0), (4, 1)):
+            ly = rng.normal(3, 1)
+            p = [ly + rng.normal(b, 0.2) if rng.random() > 0.1 else None for b in (0.1, -0.1, 0.3, 0.02)]
+            held[s, h] = (g, float(np.exp(ly)), p)
+            rows += [("v", m, s, "c", 10, h, 10 + h, "val", g, v, float(np.exp(ly))) for m, v in zip(models, p, strict=True)]
+    f = spark.createDataFrame(rows, "variant string, model string, territory_id int, category string, o int, h int, t int, split string, h_group int, lf double, y double")
+    pools = {"all": ("v", models), "few": ("v", ["c", "a"])}
+    got = {(r.pool, r.h_group, r.model): (r.weight, r.shrinkage) for r in ensemble.choose(f, models, pools, additions=7).collect()}
+    want = {}
+    for name, (_, members) in pools.items():
+        on = [models.index(m) for m in models if m in members]
+        for g in (0, 1):
+            some = [(y, p) for k, y, p in held.values() if k == g and all(p[i] is not None for i in on)]
+            error = lambda w: round(float(np.mean([abs(y - np.exp(sum(w[i] * p[i] for i in on))) for y, p in some])), 9)  # noqa: B023, E731
+            taken = dict.fromkeys(on, 0)
+            for r in range(1, 8):
+                taken[min(on, key=lambda i: (error({j: (taken[j] + (i == j)) / r for j in on}), i))] += 1  # noqa: B023
+            tried = {s: {i: (1 - s) * taken[i] / 7 + s / len(on) for i in on} for s in ensemble.SHRINKAGES}
+            s = min(tried, key=lambda s: (error(tried[s]), s))  # noqa: B023
+            want.update({(name, g, models[i]): (pytest.approx(x), s) for i, x in tried[s].items() if x > 0})
+    assert got == want
 
 
 def test_guard_replaces_only_what_leaves_the_history(spark, facts):
