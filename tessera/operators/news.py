@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tessera.config import DEFAULT, NewsConfig
 from tessera.operators.quantiles import quantile
@@ -24,10 +25,9 @@ def padded(text: Column) -> Column:
 
 
 def typed(text: Column, rules: dict[str, tuple[str, ...]]) -> Column:
-    """All event types of which a trigger word or phrase occurs."""
-    p = padded(text)
-    hits = [F.when(_any([p.contains(f" {w} ") for w in words]), F.lit(kind)) for kind, words in rules.items()]
-    return F.array_compact(F.array(*hits))
+    """All event types of which a trigger word or phrase occurs. The text is tokenised once for all rules."""
+    kinds = lambda p: F.array(*[F.when(_any([p.contains(f" {w} ") for w in words]), F.lit(kind)) for kind, words in rules.items()])
+    return F.array_compact(F.flatten(F.transform(F.array(padded(text)), kinds)))
 
 
 def _any(tests: list[Column]) -> Column:
@@ -48,7 +48,7 @@ def geocode(texts: DataFrame, gazetteer: DataFrame, id_col: str, text_col: str)
     Words are exploded once and met with the gazetteer, a dimension table that Spark may broadcast by its size.
     """
     words = texts.select(F.col(id_col).alias("id"), F.explode(F.array_distinct(tokens(F.col(text_col)))).alias("term"))
-    named = words.join(gazetteer, "term").distinct()
+    named = materialize(words.join(gazetteer, "term").distinct(), "named")
     places, areas = named.where("territory_id is not null"), named.where("territory_id is null").select("id", "region_code").distinct()
     homonyms = gazetteer.where("territory_id is not null").groupBy("term").agg(F.countDistinct("territory_id").alias("n_places"))
     places = places.join(homonyms, "term")
@@ -58,6 +58,63 @@ def geocode(texts: DataFrame, gazetteer: DataFrame, id_col: str, text_col: str)
     return sure.unionByName(resolved).unionByName(only.select("id", "territory_id", "region_code")).distinct()
 
 
+#: What a name is made of, in lower case: letters, digits, the underscore and the number sign.
+NAME_TOKEN = r"[\p{L}\p{N}_#]+"
+
+
+def name_tokens(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(NAME_TOKEN), F.lit(0))
+
+
+def build_gazetteer(places: DataFrame, regions: DataFrame, stop: DataFrame | None = None) -> DataFrame:
+    """``phrase, n, territory_id, region_code`` from names: ``places(name, territory_id, region_code)`` and ``regions(name, region_code)``
+    (rows with a null territory). A phrase is a name's tokens joined by spaces, ``n`` their number; names in ``stop(name)``,
+    names without a token and repeated rows are left out."""
+    names = places.select("name", "territory_id", "region_code").unionByName(regions.select("name", F.lit(None).cast(places.schema["territory_id"].dataType).alias("territory_id"), "region_code"))
+    words = names.withColumn("_w", name_tokens(F.col("name")))
+    out = words.select(F.concat_ws(" ", "_w").alias("phrase"), F.size("_w").alias("n"), "territory_id", "region_code").where("n > 0").distinct()
+    if stop is not None:
+        out = out.join(stop.select(F.concat_ws(" ", name_tokens(F.col("name"))).alias("phrase")), "phrase", "left_anti")
+    return out
+
+
+def phrase_matches(sentences: DataFrame, gazetteer: DataFrame, keys: list[str], text_col: str = "sentence") -> DataFrame:
+    """``*keys, start, n, phrase, territory_id, region_code``: names in sentences, the longest ones: a match inside a longer one doesn't count.
+
+    Token n-grams as long as the gazetteer's names are exploded once and met with it by equality; how long they may be is one number.
+    """
+    longest = gazetteer.agg(F.max("n")).first()[0] or 0
+    tokens_ = sentences.select(*keys, name_tokens(F.col(text_col)).alias("_w"))
+    at = F.posexplode(F.col("_w")).alias("start", "_first")
+    grams = tokens_.select(*keys, "_w", at).select(*keys, "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(max(longest, 1)), F.size("_w") - F.col("start")))).alias("n"), "_w")
+    grams = grams.select(*keys, "start", "n", F.concat_ws(" ", F.slice("_w", F.col("start") + 1, F.col("n"))).alias("phrase"))
+    found = grams.join(gazetteer, ["phrase", "n"])
+    order = Window.partitionBy(*keys).orderBy("start", F.desc("n"))
+    spans = found.select(*keys, "start", "n").distinct()
+    before = F.max(F.col("start") + F.col("n")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    kept = spans.withColumn("_before", before).where(F.col("_before").isNull() | (F.col("_before") < F.col("start") + F.col("n"))).drop("_before")
+    return found.join(kept, [*keys, "start", "n"])
+
+
+def geocode_sentences(docs: DataFrame, gazetteer: DataFrame, pattern: str, id_col: str = "id", text_col: str = "text", region_col: str = "region_code") -> DataFrame:
+    """``id, territory_ids, region_codes``: places that a document names in sentences that match ``pattern``, in its own region only; where
+    there is none, the region.
+
+    A name of several places counts only where its region says which one it is: homonyms inside the document's region are
+    dropped. Documents without a matching sentence get their region too; null texts have no sentence.
+    """
+    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(region_col).alias("own_region"))
+    s = sentences(docs, "id", "text").where(F.col("sentence").rlike(pattern))
+    found = phrase_matches(s, gazetteer, ["id", "sentence_no"]).where("territory_id is not null")
+    found = found.join(docs.select("id", "own_region"), "id").where(F.col("region_code") == F.col("own_region"))
+    one = found.groupBy("id", "sentence_no", "start").agg(F.min("territory_id").alias("territory_id"), F.max("territory_id").alias("_other")).where(F.col("territory_id") == F.col("_other"))
+    named = one.groupBy("id").agg(F.array_sort(F.collect_set("territory_id")).alias("territory_ids"))
+    out = docs.select("id", "own_region").join(named, "id", "left")
+    none = F.col("territory_ids").isNull()
+    kind = dict(gazetteer.dtypes)["territory_id"]
+    return out.select("id", F.when(none, F.array().cast(f"array<{kind}>")).otherwise(F.col("territory_ids")).alias("territory_ids"), F.when(none, F.array("own_region")).otherwise(F.array().cast(f"array<{dict(docs.dtypes)['own_region']}>")).alias("region_codes"))
+
+
 def lag_weight(lag: Column, date: Column, cfg: NewsConfig = DEFAULT.news) -> Column:
     """Share of the month that is left in the event's own month, 1 in the next, then halved every ``half_life`` months."""
     days = F.dayofmonth(F.last_day(date))

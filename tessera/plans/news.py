@@ -120,6 +120,55 @@ def geocode_terms(spark: SparkSession, sf: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), F.coalesce("territory_id", F.lit(-1)).alias("territory_id"), "region_code")
 
 
+def reports(spark: SparkSession, sf: str) -> DataFrame:
+    """A report of each order: who it is for, and whose goods its first line holds. ``id, region_code`` (the customer's), ``text``."""
+    place = tb.table(spark, sf, "nation").join(tb.table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", "r_name", "r_regionkey")
+    buyer = tb.table(spark, sf, "customer").join(place, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("n_name").alias("to_nation"), F.col("r_regionkey").alias("region_code"))
+    seller = tb.table(spark, sf, "supplier").join(place, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "s_name", F.col("r_name").alias("from_region"))
+    line = tb.table(spark, sf, "lineitem").where("l_linenumber = 1").select("l_orderkey", "l_suppkey", F.when(F.col("l_returnflag") == "R", "Returned").otherwise("Delivered").alias("fate"))
+    o = tb.table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    rows = o.join(buyer, F.col("o_custkey") == F.col("c_custkey")).join(line, F.col("o_orderkey") == F.col("l_orderkey"), "left").join(seller, F.col("l_suppkey") == F.col("s_suppkey"), "left")
+    second = F.concat(F.lit(" "), F.col("fate"), F.lit(" goods of "), F.col("s_name"), F.lit(" in "), F.col("from_region"), F.lit("!"))
+    return rows.select(F.col("o_orderkey").alias("id"), "region_code", F.concat(F.col("o_orderpriority"), F.lit(" order for "), F.col("to_nation"), F.lit("."), F.coalesce(second, F.lit(""))).alias("text"))
+
+
+#: Sentences that count, and names that don't: suppliers whose number ends in 7 (fixed values of the fixture).
+URGENT = "(?i)urgent|high|returned"
+
+
+def names(spark: SparkSession, sf: str) -> DataFrame:
+    """The gazetteer of nations, suppliers (at their nation) and regions, less stop names."""
+    nation = tb.table(spark, sf, "nation").select(F.col("n_name").alias("name"), F.col("n_nationkey").alias("territory_id"), F.col("n_regionkey").alias("region_code"))
+    supplier = tb.table(spark, sf, "supplier").select("s_name", F.col("s_nationkey").alias("territory_id")).join(nation.drop("name"), "territory_id").select(F.col("s_name").alias("name"), "territory_id", "region_code")
+    region = tb.table(spark, sf, "region").select(F.col("r_name").alias("name"), F.col("r_regionkey").alias("region_code"))
+    return nw.build_gazetteer(nation.unionByName(supplier), region, supplier.where(F.col("name").endswith("7")).select("name"))
+
+
+_NAMES = """place AS (SELECT n_nationkey, n_name, r_name, r_regionkey FROM nation JOIN region ON n_regionkey = r_regionkey),
+rep AS (SELECT o_orderkey AS id, b.r_regionkey AS region_code, o_orderpriority || ' order for ' || b.n_name || '.' ||
+    coalesce(' ' || CASE WHEN l_returnflag = 'R' THEN 'Returned' ELSE 'Delivered' END || ' goods of ' || s_name || ' in ' || q.r_name || '!', '') AS text
+  FROM orders JOIN customer ON o_custkey = c_custkey JOIN place b ON c_nationkey = b.n_nationkey LEFT JOIN lineitem ON l_orderkey = o_orderkey AND l_linenumber = 1
+  LEFT JOIN supplier ON s_suppkey = l_suppkey LEFT JOIN place q ON q.n_nationkey = s_nationkey),
+nam AS (SELECT n_name AS name, n_nationkey AS territory_id, n_regionkey AS region_code FROM nation
+  UNION SELECT s_name, s_nationkey, n_regionkey FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_name NOT LIKE '%7' UNION SELECT r_name, NULL, r_regionkey FROM region),
+gaz AS (SELECT DISTINCT array_to_string(regexp_extract_all(lower(name), '[\\p{L}\\p{N}_#]+'), ' ') AS phrase, territory_id, region_code FROM nam),
+sen AS (SELECT id, region_code, k, regexp_extract_all(lower(s), '[\\p{L}\\p{N}_#]+') AS w FROM (SELECT id, region_code, unnest(ss) AS s, generate_subscripts(ss, 1) AS k
+  FROM (SELECT id, region_code, string_split(regexp_replace(text, '([.!?;])[ \\t\\n\\x0B\\f\\r]+', '\\1' || chr(1), 'g'), chr(1)) AS ss FROM rep)) WHERE regexp_matches(s, '(?i)urgent|high|returned')),
+gra AS (SELECT id, region_code, k, i, n, array_to_string(w[i:i + n - 1], ' ') AS phrase FROM sen, range(1, 65) a(i), range(1, 3) b(n) WHERE i + n - 1 <= len(w)),
+mat AS (SELECT g.*, z.territory_id, z.region_code AS named_region FROM gra g JOIN gaz z USING (phrase)),
+kep AS (SELECT * FROM mat m WHERE NOT EXISTS (SELECT 1 FROM mat o WHERE o.id = m.id AND o.k = m.k AND o.n > m.n AND o.i <= m.i AND o.i + o.n >= m.i + m.n)),
+hit AS (SELECT id, min(territory_id) AS territory_id FROM kep WHERE territory_id IS NOT NULL AND named_region = region_code GROUP BY id, k, i HAVING count(DISTINCT territory_id) = 1),
+ter AS (SELECT id, array_to_string(list_sort(list(DISTINCT territory_id)), ',') AS territories FROM hit GROUP BY id)"""
+
+
+@query("WITH " + _NAMES + " SELECT id, coalesce(territories, '') AS territories, CASE WHEN territories IS NULL THEN CAST(region_code AS VARCHAR) ELSE '' END AS regions FROM rep LEFT JOIN ter USING (id)")
+def geocode_reports(spark: SparkSession, sf: str) -> DataFrame:
+    """Places that urgent sentences of reports name in their own region; the region where they name none."""
+    out = nw.geocode_sentences(reports(spark, sf), names(spark, sf), URGENT)
+    text = lambda c: F.array_join(F.col(c).cast("array<string>"), ",")
+    return out.select("id", text("territory_ids").alias("territories"), text("region_codes").alias("regions"))
+
+
 @query(
     """WITH s AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '([.!?;])[ \\t\\n\\x0B\\f\\r]+', '\\1' || chr(1), 'g'), chr(1))) AS sentence FROM documents)
 SELECT doc_id, count(*) AS n_sentences, count(*) FILTER (WHERE regexp_matches(lower(sentence), 'was|that')) AS n_matching FROM s GROUP BY doc_id"""

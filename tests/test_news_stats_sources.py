@@ -180,3 +180,24 @@ print('rows', a.count() + b.count(), shared_dir(s) == shared_dir(s))
         env = {**os.environ, "SPARK_CONF_DIR": conf, "PYTHONPATH": os.path.dirname(os.path.dirname(os.path.abspath(__file__)))}
         out = subprocess.run([sys.executable, "-c", code], env=env, capture_output=True, text=True, timeout=300)
     assert "rows 7 True" in out.stdout, out.stderr[-2000:]
+
+
+def test_gazetteer_phrases_and_sentence_scope(spark):
+    """Stop names, the longest name, homonyms, the document's region, sentences that don't match, null texts."""
+    places = spark.createDataFrame(
+        [("New Town", 1, 10), ("New Town Hill", 2, 10), ("Hill", 3, 10), ("Ford", 4, 10), ("Ford", 5, 10), ("Ford", 6, 20), ("Stopham", 7, 10), ("!?", 8, 10), ("Hill", 3, 10)],
+        "name string, territory_id int, region_code int",
+    )
+    regions = spark.createDataFrame([("Low Land", 10), ("High Land", 20)], "name string, region_code int")
+    g = nw.build_gazetteer(places, regions, spark.createDataFrame([("STOPHAM",)], "name string"))
+    assert {(r.phrase, r.n) for r in g.collect()} == {("new town", 2), ("new town hill", 3), ("hill", 1), ("ford", 1), ("low land", 2), ("high land", 2)}
+    s = spark.createDataFrame([(1, "in new-town hill, hill and NEW TOWN"), (2, "low land"), (3, None), (4, "")], "k int, sentence string")
+    got = {(r.k, r.start, r.phrase) for r in nw.phrase_matches(s, g, ["k"]).collect()}
+    assert got == {(1, 1, "new town hill"), (1, 4, "hill"), (1, 6, "new town"), (2, 0, "low land")}
+    docs = spark.createDataFrame(
+        [(1, 10, "Fire in New Town Hill. Calm at Hill."), (2, 10, "Fire at Ford!  Fire near Stopham"), (3, 20, "fire at Ford; fire in Hill"), (4, 10, None), (5, 10, "Nothing. At Hill"), (6, 10, "FIRE Hill? fire New Town")],
+        "id int, region_code int, text string",
+    )
+    out = {r.id: (r.territory_ids, r.region_codes) for r in nw.geocode_sentences(docs, g, "(?i)fire").collect()}
+    assert out == {1: ([2], []), 2: ([], [10]), 3: ([6], []), 4: ([], [10]), 5: ([], [10]), 6: ([1, 3], [])}
+    assert nw.geocode_sentences(docs, g.limit(0), "fire").where("size(territory_ids) > 0").count() == 0
