@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +10,7 @@ from tessera.functions import r6, stats
 from tessera.operators import direct, ensemble, features, forecast, metrics, offline, plugins, synthetic
 from tessera.operators import panel as pn
 from tessera.plans import sql
+from tessera.plans.sql import _U, _poisson_sql
 from tessera.plans.detection import KEYS, NEAR, SRC, _cusum_w, _P, deviations, near, real_alarms, streams_sql
 from tessera.plans.forecasting import MODELS, decomposed, forecasts, local_forecasts, national_average, published, stored_panel
 from tessera.sources import tables as tb
@@ -229,18 +228,6 @@ def offline_scores(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("method", "penalty", *[r6(F.col(c)).alias(c) for c in ("recall", "precision", "F1", "false_per100")])
 
 
-_U = lambda kind, key: f"CAST(('0x' || substr(md5('{kind}|' || b || '|' || {key}), 1, 8)) AS BIGINT) / 4294967296.0"
-
-
-def _poisson_sql(u: str) -> str:
-    cuts, at, p = [], 0.0, math.exp(-1)
-    for k in range(8):
-        at += p
-        cuts.append(at)
-        p /= k + 1
-    return " + ".join(f"CAST({u} >= {c!r} AS INTEGER)" for c in cuts)
-
-
 #: P(|T| > |s|) for n - 1 degrees of freedom, as in ``stats.student_two_sided``.
 _DM_P = """1 - CASE WHEN (n - 1) % 2 = 1 THEN (atan(abs(s) / sqrt(n - 1)) + CASE WHEN n > 2 THEN list_sum(list_transform(range(0, (n - 4) // 2 + 1), lambda j:
     sn * sqrt(c2) * pow(c2, j) * coalesce(list_product(list_transform(range(1, j + 1), lambda k: 2 * k / (2 * k + 1.0))), 1.0))) ELSE 0 END) * 2 / pi()

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tessera.config import DEFAULT
-from tessera.functions import r6
+from tessera.functions import draw, r6, stats
 from tessera.operators import detect as dt
 from tessera.operators import news as nw
 from tessera.operators.quantiles import quantile
 from tessera.plans import sql
-from tessera.plans.detection import KEYS, REAL, RECURSIVE, STREAMS, bocpd_sql, real_alarms, the_streams
+from tessera.plans.sql import _U, _poisson_sql
+from tessera.plans.detection import KEYS, REAL, RECURSIVE, STREAMS, _cusum_w, _draw, bocpd_sql, real_alarms, the_streams
 from tessera.plans.forecasting import decomposed, forecasts, the_panel
 from tessera.sources import tables as tb
 from tessera.storage import materialize
@@ -263,8 +265,6 @@ SELECT o.territory_id, o.t, round(o.v - c.v, 6) + 0.0 AS effect FROM own o JOIN
 def pooled_study(spark: SparkSession, sf: str) -> DataFrame:
     """Change of named territories less that of untreated territories of the same region and month: a treated territory is not
     among these, so one mean a region and month serves all."""
-    from pyspark.sql.window import Window
-
     t = F.round(F.months_between(F.trunc("date", "MM"), F.lit(DEFAULT.panel.start).cast("date"))).cast("int")
     treated = events(spark, sf).where(F.array_contains("types", "emergency")).select(F.explode("territory_ids").alias("territory_id"), t.alias("t")).distinct()
     d = decomposed(spark, sf).where("is_full").withColumn("dd", F.col("d") - F.lag("d").over(Window.partitionBy(*KEYS).orderBy("t"))).select("territory_id", "t", "dd")
@@ -272,3 +272,97 @@ def pooled_study(spark: SparkSession, sf: str) -> DataFrame:
     own = treated.join(d, ["territory_id", "t"]).groupBy("territory_id", "t").agg(F.avg("dd").alias("v")).join(reg, "territory_id")
     free = d.join(treated, ["territory_id", "t"], "left_anti").join(reg, "territory_id")
     return own.join(free.groupBy("region_code", "t").agg(F.avg("dd").alias("c")), ["region_code", "t"]).select("territory_id", "t", r6(F.col("v") - F.col("c")).alias("effect"))
+
+
+def with_alarm_soon(spark: SparkSession, sf: str) -> DataFrame:
+    """Monitored months of series with ``z`` and ``soon``: an alarm in that month or the next."""
+    rows = real_alarms(spark, sf, 0.03).select(*KEYS, "t", "z", "alarm")
+    later = F.coalesce(F.lead("alarm").over(Window.partitionBy(*KEYS).orderBy("t")), F.lit(False))
+    return materialize(rows.select(*KEYS, "t", "z", (F.col("alarm") | later).cast("int").alias("soon")), "soon")
+
+
+def _month_of(date: str):
+    return F.round(F.months_between(F.trunc(date, "MM"), F.lit(DEFAULT.panel.start).cast("date"))).cast("int")
+
+
+_SOON = STREAMS + f""", sco AS (SELECT territory_id, category, t, z, {_cusum_w("c", "PARTITION BY territory_id, category")} AS score FROM st),
+ala AS (SELECT territory_id, category, t, z, round(score, 9) > round((SELECT quantile_cont(score, 0.97) FROM sco WHERE t BETWEEN 12 AND 23), 9) AS alarm FROM sco WHERE t BETWEEN 12 AND 23),
+soon AS (SELECT territory_id, category, t, z, (alarm OR coalesce(lead(alarm) OVER (PARTITION BY territory_id, category ORDER BY t), false))::INT AS soon FROM ala),""" + EVENTS
+
+
+@query(
+    _SOON + f""", tr AS (SELECT DISTINCT territory_id, CAST(datediff('month', DATE '1998-01-01', date_trunc('month', date)) AS INTEGER) AS t FROM ev WHERE NOT area AND type = 'emergency'),
+ow AS (SELECT s.*, n_regionkey AS region FROM soon s JOIN tr USING (territory_id, t) JOIN nation ON n_nationkey = territory_id),
+ct AS (SELECT n_regionkey AS region, category, t, avg(z) AS z, avg(soon) AS soon FROM soon s JOIN nation ON n_nationkey = s.territory_id WHERE NOT EXISTS (SELECT 1 FROM tr WHERE tr.territory_id = s.territory_id AND tr.t = s.t) GROUP BY ALL),
+dfe AS (SELECT o.region, unnest([o.category, 'every']) AS category, o.z - c.z AS dz, o.soon - c.soon AS dal FROM ow o JOIN ct c USING (region, category, t)),
+lo AS (SELECT region, category, 'dz' AS measure, dz AS v FROM dfe UNION ALL SELECT region, category, 'alarm', dal FROM dfe),
+su AS (SELECT category, measure, region, sum(v) AS s, count(v) AS c FROM lo WHERE v IS NOT NULL GROUP BY ALL),
+wb AS (SELECT region, b, {_poisson_sql(_U('cluster', 'region'))} AS w FROM (SELECT DISTINCT region FROM su) CROSS JOIN range({stats.DRAWS}) r(b)),
+mb AS (SELECT category, measure, b, sum(w * s) / sum(w * c) AS m FROM su JOIN wb USING (region) WHERE w > 0 GROUP BY ALL),
+ci AS (SELECT category, measure, quantile_cont(m, 0.025) AS ci_low, quantile_cont(m, 0.975) AS ci_high, least(1.0, 2 * least(avg((m <= 0)::INT), avg((m >= 0)::INT))) AS p FROM mb GROUP BY ALL)
+SELECT category, measure, CAST(sum(c) AS BIGINT) AS n, count(*) AS n_clusters, round(sum(s) / sum(c), 6) + 0.0 AS mean, round(any_value(ci_low), 6) + 0.0 AS ci_low, round(any_value(ci_high), 6) + 0.0 AS ci_high, round(any_value(p), 6) AS p
+FROM su JOIN ci USING (category, measure) GROUP BY category, measure"""
+)
+def pooled_effect(spark: SparkSession, sf: str) -> DataFrame:
+    """Standardised errors and alarms of named series less those of untreated ones of their region, category and month; intervals and p
+    by resampling regions."""
+    rows = with_alarm_soon(spark, sf).join(tb.regions(spark, sf).select("territory_id", "region_code"), "territory_id")
+    treated = events(spark, sf).where(F.array_contains("types", "emergency")).select(F.explode("territory_ids").alias("territory_id"), _month_of("date").alias("t")).distinct()
+    own = rows.join(treated, ["territory_id", "t"])
+    free = rows.join(treated, ["territory_id", "t"], "left_anti").groupBy("region_code", "category", "t").agg(F.avg("z").alias("cz"), F.avg("soon").alias("cs"))
+    both = own.join(free, ["region_code", "category", "t"])
+    measures = F.explode(F.array(F.struct(F.lit("dz").alias("measure"), (F.col("z") - F.col("cz")).alias("v")), F.struct(F.lit("alarm").alias("measure"), (F.col("soon") - F.col("cs")).alias("v")))).alias("m")
+    long = both.select("region_code", F.explode(F.array("category", F.lit("every"))).alias("category"), "z", "cz", "soon", "cs").select("region_code", "category", measures).select("region_code", "category", "m.*")
+    out = stats.cluster_bootstrap(materialize(long, "effects"), ["category", "measure"], "region_code", "v")
+    return out.select("category", "measure", "n", "n_clusters", *[r6(F.col(c)).alias(c) for c in ("mean", "ci_low", "ci_high", "p")])
+
+
+#: Placebo months of an act, out of the monitored ones.
+PLACEBOS = 5
+
+
+@query(
+    _SOON + f""", nam AS (SELECT DISTINCT territory_id, CAST(datediff('month', DATE '1998-01-01', date_trunc('month', date)) AS INTEGER) AS t FROM ev WHERE NOT area AND type = 'emergency'),
+reg AS (SELECT DISTINCT n_regionkey AS region, t FROM nam JOIN nation ON n_nationkey = territory_id),
+g AS (SELECT s.*, n.n_regionkey AS region, EXISTS (SELECT 1 FROM nam WHERE nam.territory_id = s.territory_id AND nam.t = s.t) AS named,
+  EXISTS (SELECT 1 FROM reg WHERE reg.region = n.n_regionkey AND reg.t = s.t) AS inside FROM soon s JOIN nation n ON n.n_nationkey = s.territory_id),
+k AS (SELECT t, count(*) FILTER (WHERE named AND soon = 1) AS a, count(*) FILTER (WHERE named AND soon = 0) AS b, count(*) FILTER (WHERE NOT inside AND soon = 1) AS c, count(*) FILTER (WHERE NOT inside AND soon = 0) AS d FROM g GROUP BY t),
+lf AS (SELECT *, a + b + c + d AS n FROM k)
+SELECT t, a + b AS n_named, c + d AS n_rest, round(a / nullif(a + b, 0)::DOUBLE, 6) AS share_named, round(c / nullif(c + d, 0)::DOUBLE, 6) AS share_rest,
+  round(least(1.0, list_sum(list_transform(range(a, least(a + b, a + c) + 1), lambda x: exp(lgamma(a + b + 1) + lgamma(n - a - b + 1) + lgamma(a + c + 1) + lgamma(n - a - c + 1) - lgamma(n + 1)
+    - lgamma(x + 1) - lgamma(a + b - x + 1) - lgamma(a + c - x + 1) - lgamma(n - a - b - a - c + x + 1))))), 6) AS p FROM lf"""
+)
+def named_against_rest(spark: SparkSession, sf: str) -> DataFrame:
+    """Share of series with an alarm in the month or the next: those of named territories against regions without any, with an exact test."""
+    reg = tb.regions(spark, sf).select("territory_id", "region_code")
+    named = events(spark, sf).where(F.array_contains("types", "emergency")).select(F.explode("territory_ids").alias("territory_id"), _month_of("date").alias("t")).distinct()
+    areas = named.join(reg, "territory_id").select("region_code", "t").distinct().withColumn("inside", F.lit(True))
+    rows = with_alarm_soon(spark, sf).join(reg, "territory_id").join(named.withColumn("named", F.lit(True)), ["territory_id", "t"], "left").join(areas, ["region_code", "t"], "left")
+    count = lambda who, v: F.count(F.when(who & (F.col("soon") == v), 1))
+    own, rest = F.col("named").isNotNull(), F.col("inside").isNull()
+    k = rows.groupBy("t").agg(count(own, 1).alias("a"), count(own, 0).alias("b"), count(rest, 1).alias("c"), count(rest, 0).alias("d"))
+    a, b, c, d = (F.col(x) for x in "abcd")
+    share = lambda x, y: F.round(x / F.nullif(x + y, F.lit(0)), 6)
+    return k.select("t", (a + b).alias("n_named"), (c + d).alias("n_rest"), share(a, b).alias("share_named"), share(c, d).alias("share_rest"), F.round(stats.fisher_greater(a, b, c, d), 6).alias("p"))
+
+
+@query(
+    _SOON + f""", act AS (SELECT DISTINCT region_code AS region, CAST(datediff('month', DATE '1998-01-01', date_trunc('month', date)) AS INTEGER) AS t FROM ev WHERE area),
+sh AS (SELECT n_regionkey AS region, t, avg(soon) AS share FROM soon JOIN nation ON n_nationkey = territory_id GROUP BY ALL),
+pl AS (SELECT act.region, act.t, p.t AS pt, row_number() OVER (PARTITION BY act.region, act.t ORDER BY {_draw("'placebo'", "act.region", "act.t", "p.t")}, p.t) AS r
+  FROM act CROSS JOIN (SELECT CAST(unnest(range(12, 24)) AS INTEGER) AS t) p WHERE act.t BETWEEN 12 AND 23),
+ps AS (SELECT pl.region, pl.t, avg(share) AS placebo FROM pl JOIN sh ON sh.region = pl.region AND sh.t = pl.pt WHERE r <= {PLACEBOS} GROUP BY ALL)
+SELECT act.region AS region_code, count(*) AS n_acts, round(avg(share), 6) AS share_act, round(avg(placebo), 6) AS share_placebo, round(avg(share - placebo), 6) + 0.0 AS difference
+FROM act JOIN sh USING (region, t) JOIN ps USING (region, t) GROUP BY act.region"""
+)
+def acts_against_placebos(spark: SparkSession, sf: str) -> DataFrame:
+    """Share of a region's series with an alarm in the month of an act or the next, against five months drawn for the act."""
+    reg = tb.regions(spark, sf).select("territory_id", "region_code")
+    first, last = DEFAULT.detect.monitor
+    acts = events(spark, sf).select(F.explode("region_codes").alias("region_code"), _month_of("date").alias("t")).distinct().where(F.col("t").between(first, last))
+    share = materialize(with_alarm_soon(spark, sf).join(reg, "territory_id").groupBy("region_code", "t").agg(F.avg("soon").alias("share")), "shares")
+    months = F.array_sort(F.transform(F.sequence(F.lit(first), F.lit(last)), lambda m: F.struct(draw(F.lit("placebo"), F.col("region_code"), F.col("t"), m).alias("u"), m.alias("pt"))))
+    drawn = acts.select("region_code", "t", F.explode(F.slice(months, 1, PLACEBOS)).alias("m")).select("region_code", "t", "m.pt")
+    placebo = drawn.join(share.select("region_code", F.col("t").alias("pt"), "share"), ["region_code", "pt"]).groupBy("region_code", "t").agg(F.avg("share").alias("placebo"))
+    rows = acts.join(share, ["region_code", "t"]).join(placebo, ["region_code", "t"])
+    return rows.groupBy("region_code").agg(F.count("*").alias("n_acts"), F.round(F.avg("share"), 6).alias("share_act"), F.round(F.avg("placebo"), 6).alias("share_placebo"), r6(F.avg(F.col("share") - F.col("placebo"))).alias("difference"))

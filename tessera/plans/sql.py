@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 CATS = "['ALL','AUTOMOBILE','BUILDING','FURNITURE','HOUSEHOLD','MACHINERY']"
 
 SALES = """
@@ -120,3 +122,15 @@ fc AS (
 METRICS = """round(avg(abs(y - yhat)), 6) + 0.0 AS MAE, round(1 - sum((y - yhat) ** 2) / (var_pop(y) * count(y)), 6) + 0.0 AS R2,
   round(sum(abs(y - yhat)) / sum(abs(y)), 6) + 0.0 AS WAPE, round(avg(2 * abs(y - yhat) / (abs(y) + abs(yhat))), 6) + 0.0 AS sMAPE, count(*) AS n,
   round(1 - sum(CASE WHEN ylag > 0 THEN (ln(y / ylag) - ln(yhat / ylag)) ** 2 END) / (var_pop(CASE WHEN ylag > 0 THEN ln(y / ylag) END) * count(CASE WHEN ylag > 0 THEN ln(y / ylag) END)), 6) + 0.0 AS R2_yoy"""
+
+
+_U = lambda kind, key: f"CAST(('0x' || substr(md5('{kind}|' || b || '|' || {key}), 1, 8)) AS BIGINT) / 4294967296.0"
+
+
+def _poisson_sql(u: str) -> str:
+    cuts, at, p = [], 0.0, math.exp(-1)
+    for k in range(8):
+        at += p
+        cuts.append(at)
+        p /= k + 1
+    return " + ".join(f"CAST({u} >= {c!r} AS INTEGER)" for c in cuts)

@@ -61,7 +61,6 @@ def test_types_and_homonyms(spark):
 
 def test_tests_against_known_values(spark):
     assert stats.student_sf(2.0, 10) == pytest.approx(0.036694, abs=1e-6)
-    assert stats.fisher_greater(8, 2, 1, 5) == pytest.approx(0.0243, abs=1e-3)
     signs = spark.createDataFrame([(6, 6), (3, 6), (0, 0), (0, 6), (9, 40)], "k long, n long")
     got = [r.p for r in signs.select(stats.sign_test(F.col("k"), F.col("n")).alias("p")).collect()]
     want = [2 * sum(math.comb(40, i) for i in range(10)) / 2**40]
@@ -201,3 +200,35 @@ def test_gazetteer_phrases_and_sentence_scope(spark):
     out = {r.id: (r.territory_ids, r.region_codes) for r in nw.geocode_sentences(docs, g, "(?i)fire").collect()}
     assert out == {1: ([2], []), 2: ([], [10]), 3: ([6], []), 4: ([], [10]), 5: ([], [10]), 6: ([1, 3], [])}
     assert nw.geocode_sentences(docs, g.limit(0), "fire").where("size(territory_ids) > 0").count() == 0
+
+
+def test_fisher_tail_is_exact(spark):
+    rng = np.random.default_rng(5)
+    rows = [tuple(map(int, rng.integers(0, 12, 4))) for _ in range(200)] + [(8, 2, 1, 5), (0, 0, 0, 0), (900, 100, 700, 300), (0, 7, 3, 0)]
+
+    def plain(a, b, c, d):
+        n, row, col = a + b + c + d, a + b, a + c
+        return sum(math.comb(row, k) * math.comb(n - row, col - k) for k in range(a, min(row, col) + 1) if col - k <= n - row) / math.comb(n, col)
+
+    df = spark.createDataFrame(rows, "a int, b int, c int, d int")
+    got = df.select("*", stats.fisher_greater(*[F.col(x) for x in "abcd"]).alias("p")).collect()
+    assert all(r.p == pytest.approx(plain(*r[:4]), rel=1e-9, abs=1e-12) for r in got)
+
+
+def test_clusters_are_resampled_whole(spark):
+    """Weights by hand: a cluster's draw holds for all of its rows; null values and all-zero draws don't count."""
+    rng = np.random.default_rng(6)
+    rows = [("k", int(c), float(rng.normal(0.2 * c, 1)) if rng.random() > 0.1 else None) for c in range(6) for _ in range(rng.integers(1, 9))]
+    got = stats.cluster_bootstrap(spark.createDataFrame(rows, "g string, c int, v double"), ["g"], "c", "v", draws=300).first()
+    weight = {}
+    for r in spark.range(6).select(F.col("id").cast("int").alias("c")).transform(lambda d: stats._weights(d, "cluster", "c", 300)).collect():
+        weight[r.b, r.c] = r._cluster
+    means = []
+    for b in range(300):
+        w = [(weight[b, c], v) for _, c, v in rows if v is not None]
+        if sum(x for x, _ in w):
+            means.append(sum(x * v for x, v in w) / sum(x for x, _ in w))
+    own = [v for *_, v in rows if v is not None]
+    assert (got.n, got.n_clusters, got["mean"]) == (len(own), 6, pytest.approx(np.mean(own)))
+    assert (got.ci_low, got.ci_high) == pytest.approx(tuple(np.quantile(means, [0.025, 0.975])))
+    assert got.p == pytest.approx(min(1, 2 * min(np.mean(np.array(means) <= 0), np.mean(np.array(means) >= 0))))
