@@ -318,6 +318,12 @@ def stream_daily(spark: SparkSession, sf: str) -> DataFrame:
     return online.run_to_table(online.daily_counts(online.event_stream(spark, sf)), "daily", "complete").drop("batch")
 
 
+@query("""SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events
+WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY GROUP BY ALL""")
+def stream_daily_closed(spark: SparkSession, sf: str) -> DataFrame:
+    """Days that the watermark has closed: each is given once, and its state is dropped then."""
+    return online.run_to_table(online.daily_counts(online.event_stream(spark, sf)), "daily", "append").drop("batch")
+
 
 @query(
     """WITH m AS (SELECT 50.0 AS mu, 25.0 AS sd),

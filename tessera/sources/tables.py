@@ -66,19 +66,42 @@ def write_results(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").csv(path, header=True)
 
 
-def write_forecasts(new: DataFrame, path: str, spark: SparkSession) -> DataFrame:
-    """Append forecasts by model, without the (model, origin) pairs that the store already has; returns the store.
-
-    What a stopped run has written stays; a rerun writes the rest.
-    """
+def _stored(spark: SparkSession, path: str) -> DataFrame | None:
+    """A Parquet table, or nothing where there is none yet."""
     try:
-        done = spark.read.parquet(path).select("model", "o").distinct()
-        new = new.join(done, ["model", "o"], "left_anti")
+        return spark.read.parquet(path)
     except Exception as e:
         if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
             raise
-    new.write.mode("append").partitionBy("model").parquet(path)
-    return spark.read.parquet(path)
+        return None
+
+
+def read_forecasts(spark: SparkSession, path: str) -> DataFrame:
+    """The forecasts of all (model, origin) pairs that were committed; what a stopped run left of others isn't seen."""
+    rows, done = spark.read.parquet(f"{path}/rows"), spark.read.parquet(f"{path}/commits")
+    return rows.join(done, ["model", "o"], "left_semi")
+
+
+def write_forecasts(new: DataFrame, path: str, spark: SparkSession) -> DataFrame:
+    """Store the forecasts of (model, origin) pairs that the store hasn't committed; returns the store.
+
+    Each pair is a partition that is replaced as a whole, and is committed once all of its rows are there. A run that stopped
+    in between leaves pairs without a commit, whose rows the rerun writes anew.
+    """
+    done = _stored(spark, f"{path}/commits")
+    if done is not None:
+        new = new.join(done, ["model", "o"], "left_anti")
+    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("model", "o").parquet(f"{path}/rows")
+    new.select("model", "o").distinct().coalesce(1).write.mode("append").parquet(f"{path}/commits")
+    return read_forecasts(spark, path)
+
+
+def rebase_forecasts(store: DataFrame, start: str, new_start: str, months: int) -> DataFrame:
+    """Stored forecasts on a calendar that begins at ``new_start`` and has ``months`` months: origins ``o`` and targets ``t`` are counted from
+    there; rows whose origin or target lies outside are left out."""
+    moved = F.round(F.months_between(F.lit(start).cast("date"), F.lit(new_start).cast("date"))).cast("int")
+    out = store.withColumns({c: (F.col(c) + moved).cast("int") for c in ("o", "t")})
+    return out.where((F.col("o") >= 0) & (F.col("t") < months))
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:

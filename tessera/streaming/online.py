@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from typing import Any
 
@@ -52,18 +53,38 @@ def cusum_stream(events: DataFrame, mean: float, std: float, k: float = 0.5) ->
     return rows.groupBy("user_id").applyInPandasWithState(step, "user_id long, n long, up double, down double, peak double", "n long, up double, down double, peak double", "update", GroupStateTimeout.NoTimeout)
 
 
-def run_to_table(stream: DataFrame, tag: str, mode: str) -> DataFrame:
-    """Run a stream over what there is now; its last state of each batch goes to Parquet in the shared folder."""
-    import uuid
+def run_to_table(stream: DataFrame, tag: str, mode: str, base: str | None = None) -> DataFrame:
+    """Run a stream over what there is now; each batch goes to its own folder of the shared one, with its number as ``batch``.
 
+    A batch that is replayed after a failure overwrites what it wrote, so nothing is there twice. In complete mode only
+    the last batch is read. With ``base``, a later call goes on from the state that is kept there.
+    """
     spark = stream.sparkSession
-    base = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    base = base or f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).foreachBatch(batch_sink(base)).start()
+    query.awaitTermination()
+    rows = spark.read.schema(f"{stream_schema(stream)}, batch long").parquet(f"{base}/rows")
+    return rows.where(F.col("batch") == rows.agg(F.max("batch")).first()[0]) if mode == "complete" else rows
+
+
+def stream_schema(stream: DataFrame) -> str:
+    return ", ".join(f"`{c}` {k}" for c, k in stream.dtypes)
+
+
+def batch_sink(base: str):
+    """What writes a numbered batch; the same number overwrites."""
 
     def sink(batch: DataFrame, number: int) -> None:
-        batch.withColumn("batch", F.lit(number)).write.mode("overwrite" if mode == "complete" else "append").parquet(f"{base}/rows")
+        batch.write.mode("overwrite").parquet(f"{base}/rows/batch={number}")
+
+    return sink
+
 
-    stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).foreachBatch(sink).start().awaitTermination()
-    return spark.read.parquet(f"{base}/rows")
+def dropped_rows(stream: DataFrame, tag: str, base: str) -> int:
+    """As ``run_to_table`` in append mode; how many rows came behind the watermark and were left out."""
+    query = stream.writeStream.outputMode("append").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).foreachBatch(batch_sink(base)).start()
+    query.awaitTermination()
+    return sum(int(o["numRowsDroppedByWatermark"]) for p in query.recentProgress for o in p["stateOperators"])
 
 
 def latest_state(rows: DataFrame, key: str) -> DataFrame:

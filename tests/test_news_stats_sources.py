@@ -232,3 +232,40 @@ def test_clusters_are_resampled_whole(spark):
     assert (got.n, got.n_clusters, got["mean"]) == (len(own), 6, pytest.approx(np.mean(own)))
     assert (got.ci_low, got.ci_high) == pytest.approx(tuple(np.quantile(means, [0.025, 0.975])))
     assert got.p == pytest.approx(min(1, 2 * min(np.mean(np.array(means) <= 0), np.mean(np.array(means) >= 0))))
+
+
+def test_stopped_write_of_an_origin_is_repaired(spark):
+    """Rows without a commit aren't seen, and the rerun replaces them."""
+    path = tempfile.mkdtemp()
+    f = spark.createDataFrame([(m, o, o + h, float(h)) for m in ("a", "b") for o in (1, 2) for h in (1, 2, 3)], "model string, o int, t int, yhat double")
+    tb.write_forecasts(f.where("model = 'a' and o = 1"), path, spark)
+    half = f.where("model = 'a' and o = 2 and t = 3").withColumn("yhat", F.lit(-1.0))
+    half.write.mode("append").partitionBy("model", "o").parquet(f"{path}/rows")
+    assert tb.read_forecasts(spark, path).count() == 3
+    out = tb.write_forecasts(f, path, spark)
+    assert out.count() == 12 and out.where("yhat < 0").count() == 0
+    assert tb.write_forecasts(f, path, spark).count() == 12
+    moved = tb.rebase_forecasts(out, "2023-03-01", "2023-01-01", 7)
+    assert {(r.o, r.t) for r in moved.collect()} == {(3, 4), (3, 5), (3, 6), (4, 5), (4, 6)}
+
+
+def test_late_rows_are_dropped_and_replays_write_nothing_twice(spark):
+    """Batches by file: a row behind the watermark is left out and counted, a day is given once, state is evicted."""
+    root = tempfile.mkdtemp()
+    day = lambda d, h=1: dt.datetime(2024, 1, d, h)
+    files = [[(1, day(1), "a", 1.0), (2, day(2), "a", 1.0), (3, day(5), "a", 1.0)], [(4, day(1), "a", 100.0), (5, day(4, 23), "a", 1.0), (6, day(9), "b", 1.0)], [(7, day(20), "b", 1.0)]]
+    schema = "event_id long, ts timestamp, event_type string, value double"
+    base, src = f"{root}/out", f"{root}/in"
+    stream = lambda: online.daily_counts(spark.readStream.schema(schema).parquet(src))
+    dropped = []
+    for k, rows in enumerate(files):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        dropped.append(online.dropped_rows(stream(), "daily", base))
+    assert dropped == [0, 1, 0]
+    out = spark.read.parquet(f"{base}/rows")
+    assert sorted((r.day, r.event_type, r.n, r.total) for r in out.collect()) == [("2024-01-01", "a", 1, 1.0), ("2024-01-02", "a", 1, 1.0), ("2024-01-04", "a", 1, 1.0), ("2024-01-05", "a", 1, 1.0), ("2024-01-09", "b", 1, 1.0)]
+    first = out.where("batch = 1").drop("batch")
+    again, many = spark.createDataFrame(first.collect(), first.schema), out.count()
+    for _ in range(2):
+        online.batch_sink(base)(again, 1)
+    assert spark.read.parquet(f"{base}/rows").count() == many
