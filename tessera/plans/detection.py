@@ -361,6 +361,27 @@ def grid_report(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy("e.dimension", "e.level", "detector", "far").agg(*means, F.count("*").alias("n"))
 
 
+#: Subsets of the grid that are comparable with other studies: name, false-alarm rate, least size, shape and scope (fixed values).
+SETUPS = (("all", 0.03, 0.0, None, None), ("from_5", 0.03, 0.05, None, None), ("from_10", 0.03, 0.10, None, None), ("steps_from_5", 0.03, 0.05, "step", None), ("territory_from_5", 0.03, 0.05, None, "mo"), ("from_5_far_5", 0.05, 0.05, None, None))
+
+
+def _setup_sql(name: str, far: float, least: float, shape: str | None, scope: str | None) -> str:
+    more = "".join(f" AND split_part(scenario, '|', {i}) = '{v}'" for i, v in ((2, shape), (1, scope)) if v)
+    return f"SELECT '{name}' AS setup, detector, round(avg(recall), 6) AS recall, round(avg(recall_at_onset), 6) AS recall_at_onset, round(avg(precision), 6) AS precision, round(avg(delay), 6) AS delay, count(*) AS n_scenarios FROM ev WHERE far = {far} AND CAST(split_part(scenario, '|', 3) AS INTEGER) >= {int(least * 1000)}{more} GROUP BY detector"
+
+
+@query(_GRID + " " + " UNION ALL ".join(_setup_sql(*x) for x in SETUPS))
+def comparable_setups(spark: SparkSession, sf: str) -> DataFrame:
+    """Means by detector over six overlapping subsets of the grid, in one pass."""
+    part = F.split("scenario", r"\|")
+    tests = [
+        (name, (F.col("far") == far) & (part[2].cast("int") >= int(least * 1000)) & (F.lit(True) if shape is None else part[1] == shape) & (F.lit(True) if scope is None else part[0] == scope))
+        for name, far, least, shape, scope in SETUPS
+    ]
+    rows = full_grid(spark, sf).withColumn("setup", F.explode(F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in tests]))))
+    return rows.groupBy("setup", "detector").agg(*[F.round(F.avg(c), 6).alias(c) for c in ("recall", "recall_at_onset", "precision", "delay")], F.count("*").alias("n_scenarios"))
+
+
 def real_alarms(spark: SparkSession, sf: str, far: float = 0.05) -> DataFrame:
     """Alarms of the windowed CUSUM on the series as they are, at the threshold that a share ``far`` of monitored scores exceeds."""
     s = the_streams(spark, sf)

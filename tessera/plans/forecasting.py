@@ -200,6 +200,20 @@ def oracle_true_components(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy("split", "h").agg((F.round(F.max("e"), 4) + 0.0).alias("max_error"), F.count("*").alias("n"))
 
 
+@query(
+    sql.FORECASTS + """, sw AS (SELECT fc.split, fc.h, abs(fc.y - exp(fc.nhat + d.d)) AS true_d, abs(fc.y - exp(tn.n + fc.f)) AS true_n, abs(fc.y - fc.yhat) AS neither FROM fc
+  JOIN dec d ON d.territory_id = fc.territory_id AND d.category = fc.category AND d.t = fc.t JOIN nat tn ON tn.category = fc.category AND tn.t = fc.t
+  WHERE fc.model = 'level_season' AND fc.y IS NOT NULL AND fc.yhat IS NOT NULL AND d.d IS NOT NULL)
+SELECT split, h, round(avg(true_d), 4) + 0.0 AS mae_true_d, round(avg(true_n), 4) + 0.0 AS mae_true_n, round(avg(neither), 4) + 0.0 AS mae, count(*) AS n FROM sw GROUP BY split, h"""
+)
+def swapped_components(spark: SparkSession, sf: str) -> DataFrame:
+    """Which component the error comes from: true local deviations with the forecast shared component, and the reverse."""
+    true = decomposed(spark, sf).where("d is not null").select(*pn.SERIES, "t", F.col("n").alias("tn"), "d")
+    rows = mt.usable(forecasts(spark, sf, ("level_season",))).join(true, [*pn.SERIES, "t"])
+    error = lambda log_forecast: (F.round(F.avg(F.abs(F.col("y") - F.exp(log_forecast))), 4) + 0.0)
+    return rows.groupBy("split", "h").agg(error(F.col("nhat") + F.col("d")).alias("mae_true_d"), error(F.col("tn") + F.col("f")).alias("mae_true_n"), error(F.col("lf")).alias("mae"), F.count("*").alias("n"))
+
+
 @query(
     "WITH " + sql.PANEL + "," + sql.PUBLISHED + "," + sql.national(1) + """,
 last AS (SELECT a.territory_id, a.category, a.t AS o, arg_max(b.d, b.t) FILTER (WHERE b.d IS NOT NULL) AS d
