@@ -139,6 +139,16 @@ def monthly_exposure(events: DataFrame, regions: DataFrame, cfg: NewsConfig = DE
     return rows.groupBy("territory_id", "type", month.alias("month")).agg(F.sum(F.col("w") * lag_weight(F.col("lag"), F.col("date"), cfg)).alias("exposure"))
 
 
+def exposure_without(events: DataFrame, regions: DataFrame, source_col: str = "source", cfg: NewsConfig = DEFAULT.news) -> DataFrame:
+    """``territory_id, month, source, exposure, without``: each source's share of the exposure, and what the other sources leave.
+
+    Groups that one source defines can so be tested with a hazard that it didn't define. A source is met as the type of its
+    events, so exposures of all sources come from one pass; rows are those to which a source contributes, for others nothing changes.
+    """
+    by = monthly_exposure(events.withColumn("types", F.array(F.col(source_col).cast("string"))), regions, cfg).withColumnRenamed("type", "source")
+    return by.withColumn("without", F.sum("exposure").over(Window.partitionBy("territory_id", "month")) - F.col("exposure"))
+
+
 def hazard_multiplier(panel: DataFrame, exposure: DataFrame, cfg: NewsConfig = DEFAULT.news) -> DataFrame:
     """The panel with ``mult`` = 1 + beta * min(exposure of hazard types, cap), 1 elsewhere."""
     some = exposure.where(F.col("type").isin(*cfg.hazard_types)).groupBy("territory_id", "month").agg(F.sum("exposure").alias("_x"))

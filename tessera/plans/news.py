@@ -65,6 +65,17 @@ def monthly_exposure(spark: SparkSession, sf: str) -> DataFrame:
     return out.withColumns({"month": F.col("month").cast("string"), "exposure": r6(F.col("exposure"))})
 
 
+_BY_SOURCE = EVENTS[: EVENTS.index("expo AS (")].replace("n_regionkey AS region_code,", "n_regionkey AS region_code, CAST(o_custkey % 5 AS VARCHAR) AS source,") + EVENTS[EVENTS.index("expo AS (") :].replace("type", "source")
+
+
+@query("WITH " + _BY_SOURCE + " SELECT territory_id, CAST(month AS VARCHAR) AS month, source, round(exposure, 6) AS exposure, round(sum(exposure) OVER (PARTITION BY territory_id, month) - exposure, 6) + 0.0 AS without FROM expo")
+def exposure_leave_one_out(spark: SparkSession, sf: str) -> DataFrame:
+    """Exposure with each source left out; a source is one of five groups of customers."""
+    source = tb.table(spark, sf, "orders").select(F.col("o_orderkey").alias("event_id"), (F.col("o_custkey") % 5).cast("string").alias("source"))
+    out = nw.exposure_without(events(spark, sf).join(source, "event_id"), tb.regions(spark, sf))
+    return out.select("territory_id", F.col("month").cast("string").alias("month"), "source", r6(F.col("exposure")).alias("exposure"), r6(F.col("without")).alias("without"))
+
+
 _HAZ = "WITH " + sql.PANEL + "," + EVENTS + """, hz AS (SELECT territory_id, month, sum(exposure) AS x FROM expo GROUP BY territory_id, month),
 hm AS (SELECT p.*, 1 + 4.0 * least(coalesce(x, 0), 2.0) AS mult FROM panel p LEFT JOIN hz USING (territory_id, month))"""
 

@@ -269,3 +269,17 @@ def test_late_rows_are_dropped_and_replays_write_nothing_twice(spark):
     for _ in range(2):
         online.batch_sink(base)(again, 1)
     assert spark.read.parquet(f"{base}/rows").count() == many
+
+
+def test_exposure_without_a_source_is_that_of_the_others(spark):
+    """Leaving a source out equals the exposure of the events of all others."""
+    ev = spark.createDataFrame(
+        [(1, dt.date(2024, 1, 10), ["x"], [1], [], "a"), (2, dt.date(2024, 1, 20), ["y"], [1], [9], "b"), (3, dt.date(2024, 2, 1), ["x"], [], [9], "c"), (4, dt.date(2024, 2, 9), ["x"], [2], [], "a")],
+        "event_id int, date date, types array<string>, territory_ids array<int>, region_codes array<int>, source string",
+    )
+    reg = spark.createDataFrame([(1, 9), (2, 9)], "territory_id int, region_code int")
+    got = {(r.territory_id, r.month, r.source): r.without for r in nw.exposure_without(ev, reg).collect()}
+    for s in "abc":
+        rest = {(r.territory_id, r.month): r.e for r in nw.monthly_exposure(ev.where(F.col("source") != s), reg).groupBy("territory_id", "month").agg(F.sum("exposure").alias("e")).collect()}
+        own = {k[:2]: v for k, v in got.items() if k[2] == s}
+        assert own and all(v == pytest.approx(rest.get(k, 0.0)) for k, v in own.items())
