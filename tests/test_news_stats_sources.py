@@ -106,6 +106,18 @@ def test_rank_tests(spark):
     assert adj == {0.01: pytest.approx(0.04), 0.03: pytest.approx(0.09), 0.04: pytest.approx(0.09), 0.5: pytest.approx(0.5)}
 
 
+def test_sums_over_lower_values_of_several_ranges(spark):
+    """Rows are dealt to ranges by Spark, not compared with each range's border, so work grows with the rows alone."""
+    rng = np.random.default_rng(4)
+    rows = [(k, float(v), int(n)) for k in ("a", "b") for v, n in zip(rng.permutation(np.arange(-200, 200)) / 8, rng.integers(1, 9, 400))]
+    rows.append(("c", 0.5, 3))
+    got = stats.cumulative(spark.createDataFrame(rows, "k string, v double, n long"), ["k"], "v", "n", "below", per_range=50)
+    assert {(r.k, r.v): r.below for r in got.collect()} == {(k, v): sum(m for j, u, m in rows if j == k and u < v) for k, v, _ in rows}
+    assert got.count() == len(rows) and "NestedLoopJoin" not in got._jdf.queryExecution().toString()
+    one = stats.cumulative(spark.createDataFrame(rows[:400], "k string, v double, n long"), [], "v", "n", "below", per_range=50)
+    assert sum(r.below for r in one.collect()) == sum(m for _, v, _ in rows[:400] for _, u, m in rows[:400] if u < v)
+
+
 def test_bootstrap_covers_the_mean(spark):
     rng = np.random.default_rng(2)
     loss = spark.createDataFrame([(1, s, t, float(rng.normal(-1, 1))) for s in range(40) for t in range(6)], "h int, territory_id int, t int, diff double")
