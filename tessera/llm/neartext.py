@@ -26,8 +26,10 @@ MAX_BITS = 56
 STRIDES = (1, 3, 5, 9, 11, 13)
 #: Segments of a chain that must be equal: keys of 24 bits suit up to some 1e8 texts.
 RUN = 3
-#: Keys of more fingerprints than this link each with the key's least one; the others compare all of theirs.
+#: Keys of more fingerprints than this link each with the key's least one first, and compare the others only between classes.
 CROWDED = 8
+#: Fingerprints in a block of a crowded key, and blocks of one side that meet all others of the key in one group.
+BLOCK_NODES, BLOCKS_AT_ONCE = 256, 32
 #: Tables of up to this many rows of two numbers (32 MB) are broadcast to the scan of whole texts; larger ones are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -93,24 +95,27 @@ def chain_keys(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", "fp").mapInArrow(run, "key long, node long")
 
 
-def within_chains(pairs: DataFrame, max_bits: int) -> DataFrame:
-    """Pairs ``(src, dst, key, a, b)`` whose chains from the key's start all stay within ``l * max_bits / SEGMENTS`` bits.
+def _first_chain(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Ring and start of the first chain that two rows of segments share."""
+    equal = a == b
+    rings = []
+    for stride in STRIDES:
+        chain = equal.copy()
+        for step in range(1, RUN):
+            chain &= np.roll(equal, -step * stride, axis=1)
+        rings.append(chain)
+    return np.concatenate(rings, axis=1).argmax(axis=1)
 
-    The budgets of the shorter chains prune first; the last chain is the whole ring, so it is the full Hamming check.
-    """
+
+def within_bits(pairs: DataFrame, max_bits: int) -> DataFrame:
+    """Pairs ``(src, dst, a, b)`` whose fingerprints differ in at most ``max_bits`` bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 8192):
-            start = b.column(2).to_numpy() >> (8 * RUN)
-            at = (start % SEGMENTS)[:, None] + np.array(STRIDES)[start // SEGMENTS][:, None] * np.arange(SEGMENTS)
-            off = np.bitwise_count(_bytes(b.column(3)) ^ _bytes(b.column(4)))
-            alive = np.arange(b.num_rows)
-            for lo, hi in ((0, 8), (8, 16), (16, SEGMENTS)):
-                run_up = np.cumsum(np.take_along_axis(off[alive], at[alive, :hi] % SEGMENTS, 1), axis=1, dtype=np.int64)
-                alive = alive[(run_up[:, lo:] * SEGMENTS <= max_bits * np.arange(lo + 1, hi + 1)).all(axis=1)]
-            yield b.select(["src", "dst"]).take(pa.array(alive))
+            off = np.bitwise_count(_bytes(b.column(2)) ^ _bytes(b.column(3))).sum(axis=1, dtype=np.int64)
+            yield b.select(["src", "dst"]).filter(pa.array(off <= max_bits))
 
-    return pairs.select("src", "dst", "key", "a", "b").mapInArrow(run, "src long, dst long")
+    return pairs.select("src", "dst", "a", "b").mapInArrow(run, "src long, dst long")
 
 
 def beside_texts(ids: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
@@ -119,22 +124,69 @@ def beside_texts(ids: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(ids) if fixed and ids.count() <= most else ids
 
 
-def candidates(nodes: DataFrame, max_bits: int = MAX_BITS, crowded: int = CROWDED) -> DataFrame:
-    """Distinct pairs ``(src, dst)`` of nodes that share a chain of equal segments and stay within the chain budgets.
-
-    A key held once is dropped. A key of up to ``crowded`` nodes compares all of them; of more, each with the least one:
-    nodes are hashes, so the same few lead most keys of a large group, and a member meets a leader in each of its keys.
-    """
+def shared_chains(nodes: DataFrame) -> DataFrame:
+    """``(key, node, first, n)``: the keys that more than one node holds, with the least of their nodes and how many there are."""
     keyed = chain_keys(nodes)
     # Keys are nearly unique on the map side, so rows are dealt before they are counted.
     held = keyed.repartition("key").groupBy("key").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1")
-    rows = materialize(keyed.join(held, "key"), "chains")
-    few, many = rows.where(F.col("n") <= crowded), rows.where(F.col("n") > crowded)
+    return materialize(keyed.join(held, "key"), "chains")
+
+
+def candidates(chains: DataFrame, nodes: DataFrame, max_bits: int = MAX_BITS, crowded: int = CROWDED) -> DataFrame:
+    """Distinct pairs ``(src, dst)`` of nodes that share a chain of equal segments and differ in at most ``max_bits`` bits.
+
+    A key of up to ``crowded`` nodes compares all of them; of more, each with the least one, and what these links leave in
+    different classes is compared by ``between_classes``. Nodes are hashes, so the same few lead most keys of a large group.
+    """
+    few, many = chains.where(F.col("n") <= crowded), chains.where(F.col("n") > crowded)
     pairs = few.select("key", F.col("node").alias("src")).join(few.select("key", F.col("node").alias("dst")), "key").where("src < dst")
-    star = many.where("node <> first").select("key", F.col("first").alias("src"), F.col("node").alias("dst"))
-    once = pairs.unionByName(star).groupBy("src", "dst").agg(F.min("key").alias("key"))
+    star = many.where("node <> first").select(F.col("first").alias("src"), F.col("node").alias("dst"))
+    once = pairs.select("src", "dst").unionByName(star).distinct()
     a, b = nodes.select(F.col("node").alias("src"), F.col("fp").alias("a")), nodes.select(F.col("node").alias("dst"), F.col("fp").alias("b"))
-    return materialize(within_chains(once.join(a, "src").join(b, "dst"), max_bits), "candidates")
+    return materialize(within_bits(once.join(a, "src").join(b, "dst"), max_bits), "candidates")
+
+
+def between_classes(chains: DataFrame, nodes: DataFrame, roots: DataFrame, max_bits: int = MAX_BITS, crowded: int = CROWDED) -> DataFrame:
+    """All pairs ``(src, dst)`` of nodes in different classes (``roots(node, root)``) that share a crowded key and differ in at
+    most ``max_bits`` bits, each once; pairs that also share an earlier key which is not crowded are left to ``candidates``.
+
+    Keys whose nodes are all of one class are dropped. The others are cut into blocks, of one class where it is large, and
+    blocks meet in groups of bounded size, so a key of any size is shared by tasks and two blocks of one class never meet.
+    """
+    of = nodes.join(roots, "node", "left").select("node", "fp", F.coalesce("root", "node").alias("root"))
+    many = chains.where(F.col("n") > crowded).select("key", "node").join(of.select("node", "root"), "node")
+    split = many.groupBy("key", "root").agg(F.count("*").alias("c"))
+    split = materialize(split, "classes-of-keys")
+    mixed = split.groupBy("key").agg(F.count("*").alias("classes"), F.sum(F.when(F.col("c") < BLOCK_NODES, F.col("c"))).alias("rest")).where("classes > 1")
+    rows = many.join(split.join(mixed, "key"), ["key", "root"]).join(of.select("node", "fp"), "node")
+    large = F.col("c") >= BLOCK_NODES
+    parts = F.ceil(F.when(large, F.col("c")).otherwise(F.col("rest")) / BLOCK_NODES)
+    rows = rows.select("key", F.when(large, F.col("root")).alias("own"), F.pmod(F.xxhash64("node"), parts).alias("part"), F.struct("node", "root", "fp").alias("m"))
+    blocks = materialize(rows.groupBy("key", "own", "part").agg(F.collect_list("m").alias("m")), "blocks-of-keys")
+    turns = blocks.groupBy("key").agg(F.ceil(F.count("*") / BLOCKS_AT_ONCE).alias("turns"))
+    blocks = blocks.join(turns, "key").select("key", "turns", *(F.col(c).alias(f"{c}_a") for c in ("own", "part")), *(F.col(f"m.{c}").alias(f"{c}_a") for c in ("node", "root", "fp")))
+    other = blocks.withColumnsRenamed({f"{c}_a": f"{c}_b" for c in ("own", "part", "node", "root", "fp")}).withColumn("turn", F.pmod(F.xxhash64("own_b", "part_b"), F.col("turns"))).drop("turns")
+    meet = blocks.withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1))).join(other, ["key", "turn"])
+    meet = meet.where("(own_a is null and own_b is null and part_a <= part_b) or (own_a is null and own_b is not null) or own_a < own_b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 1):
+            key, (x, y) = b.column(0)[0].as_py(), [[np.asarray(b[f"{c}_{side}"][0].values) for c in ("node", "root")] for side in "ab"]
+            fx, fy = (_bytes(b[f"fp_{side}"][0].values) for side in "ab")
+            off = np.zeros((len(fx), len(fy)), np.int64)
+            for p, q in zip(fx.view(np.uint64).T, fy.view(np.uint64).T, strict=True):
+                off += np.bitwise_count(p[:, None] ^ q[None, :])
+            i, j = np.nonzero((off <= max_bits) & (x[1][:, None] != y[1][None, :]))
+            src, dst = np.minimum(x[0][i], y[0][j]), np.maximum(x[0][i], y[0][j])
+            # A block meets itself with either order of a pair.
+            same = len(x[0]) == len(y[0]) and (x[0] == y[0]).all()
+            keep = _first_chain(fx[i], fy[j]) == key >> (8 * RUN)
+            if same:
+                keep &= i < j
+            yield pa.RecordBatch.from_arrays([pa.array(src[keep]), pa.array(dst[keep])], names=["src", "dst"])
+
+    columns = [f"{c}_{side}" for side in "ab" for c in ("node", "root", "fp")]
+    return meet.select("key", *columns).mapInArrow(run, "src long, dst long")
 
 
 def similar(pairs: DataFrame, texts: DataFrame, least: float = SIMILARITY) -> DataFrame:
@@ -169,25 +221,38 @@ def of_node(texts: DataFrame) -> DataFrame:
     return texts.select("node", "t", "shared").mapInArrow(run, "node long, t binary")
 
 
-def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY, max_bits: int = MAX_BITS) -> DataFrame:
+def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY, max_bits: int = MAX_BITS, crowded: int = CROWDED) -> DataFrame:
     """One row a document: ``id`` and ``component``, the smallest id of its class.
 
     Links join texts of at least ``least`` similarity (Jaccard, distinct five-word shingles) found by chains of their
     fingerprints; the exact check follows the Hamming check. Texts of equal 256-bit fingerprints are one node, so exact
-    copies cost no pairs. Null and blank texts are alike. Null ids are skipped in the minimum (null if a class has no
-    other). Repeated rows are documents like any other; very long texts are summed in blocks; an empty table gives an
-    empty result; other columns are ignored. A chance to miss a pair remains: a pair must have one of 192 chains equal.
+    copies cost no pairs. Classes are those of all pairs that share a key, whatever its size: what the links through the
+    least text of a crowded key leave apart is compared in a second round. Null and blank texts are alike. Null ids are
+    skipped in the minimum (null if a class has no other). Repeated rows are documents like any other; very long texts are
+    summed in blocks; an empty table gives an empty result; other columns are ignored. A chance to miss a pair remains: a
+    pair must have one of 192 chains equal.
     """
     rows = materialize(fingerprints(docs, id_col, text_col).withColumn("node", F.xxhash64("fp")), "wide")
     nodes = materialize(rows.groupBy("node").agg(F.first("fp").alias("fp"), F.min("id").alias("low")), "nodes")
-    pairs = candidates(nodes, max_bits)
-    asked = pairs.select(F.col("src").alias("node")).unionByName(pairs.select(F.col("dst").alias("node"))).distinct()
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t")).where("id is not null")
     shared = rows.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("id", F.lit(1).alias("shared"))
-    lead = nodes.join(asked, "node", "left_semi").where("low is not null").select("node", F.col("low").alias("id"))
-    lead = materialize(lead.join(shared, "id", "left").select("id", "node", F.coalesce("shared", F.lit(0)).alias("shared")), "asked")
-    one = materialize(of_node(texts.join(beside_texts(lead), "id")).groupBy("node").agg(F.first("t").alias("t")), "texts")
-    roots = connected_components(similar(pairs, one, least))
+
+    def links(pairs: DataFrame) -> DataFrame:
+        asked = pairs.select(F.col("src").alias("node")).unionByName(pairs.select(F.col("dst").alias("node"))).distinct()
+        lead = nodes.join(asked, "node", "left_semi").where("low is not null").select("node", F.col("low").alias("id"))
+        lead = materialize(lead.join(shared, "id", "left").select("id", "node", F.coalesce("shared", F.lit(0)).alias("shared")), "asked")
+        one = materialize(of_node(texts.join(beside_texts(lead), "id")).groupBy("node").agg(F.first("t").alias("t")), "texts")
+        return materialize(similar(pairs, one, least), "links")
+
+    chains = shared_chains(nodes)
+    pairs = candidates(chains, nodes, max_bits, crowded)
+    found = links(pairs)
+    roots = connected_components(found)
+    if not chains.where(F.col("n") > crowded).isEmpty():
+        roots = materialize(roots, "roots")
+        apart = materialize(between_classes(chains, nodes, roots, max_bits, crowded).join(pairs, ["src", "dst"], "left_anti"), "apart")
+        if not apart.isEmpty():
+            roots = connected_components(found.unionByName(links(apart)))
     placed = nodes.join(roots, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root"))
     of = placed.join(placed.groupBy("root").agg(F.min("low").alias("component")), "root").select("node", "component")
     return rows.join(of, "node").select("id", "component")

@@ -71,6 +71,33 @@ def test_a_large_group_of_near_copies_is_one_class(spark):
     assert got == {0}
 
 
+@pytest.mark.parametrize("block, at_once", [(256, 32), (3, 1)])
+def test_crowded_keys_lose_no_link(spark, monkeypatch, block, at_once):
+    """Texts that drift apart step by step, and pairs beside them: classes are those of all pairs, however few a key compares at first."""
+    monkeypatch.setattr(neartext, "BLOCK_NODES", block)
+    monkeypatch.setattr(neartext, "BLOCKS_AT_ONCE", at_once)
+    rng = random.Random(11)
+    rows = []
+    for _ in range(6):
+        v = [f"w{rng.randrange(5000)}" for _ in range(200)]
+        for _ in range(15):
+            v = list(v)
+            for at in rng.sample(range(200), 3):
+                v[at] = f"x{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(v)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2).localCheckpoint()
+    want = {r.id: r.component for r in neartext.near_copies(docs, crowded=10**6).collect()}
+    got = {r.id: r.component for r in neartext.near_copies(docs, crowded=1).collect()}
+    assert got == want and len(set(want.values())) < 20
+    nodes = neartext.fingerprints(docs, "doc_id", "text").select(F.xxhash64("fp").alias("node"), "fp").distinct().localCheckpoint()
+    chains = neartext.shared_chains(nodes)
+    alone = nodes.select("node", F.col("node").alias("root")).where("false")
+    every = {tuple(r) for r in neartext.candidates(chains, nodes, crowded=10**6).collect()}
+    apart = [tuple(r) for r in neartext.between_classes(chains, nodes, alone, crowded=1).collect()]
+    assert len(apart) == len(set(apart)) and set(apart) | {tuple(r) for r in neartext.candidates(chains, nodes, crowded=1).collect()} == every
+    assert len(every) > neartext.candidates(chains, nodes, crowded=1).count()
+
+
 def test_shared_passages_are_no_copies(spark):
     rng = random.Random(5)
     shared = " ".join(f"p{i}" for i in range(60))
