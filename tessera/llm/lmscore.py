@@ -1,9 +1,9 @@
 """Stupid-backoff language-model scores of documents under the n-gram counts of all other documents.
 
-Documents are gathered in blocks, which count their own n-grams. The blocks' n-grams are dealt by ranges of a hash, exploded,
-counted and joined back to their counts; what other blocks have of them returns to the block, whose
-documents sum their scores. A frequent n-gram costs one row a block, so hot ones need no salt; nothing is sampled, cut
-off or broadcast.
+Documents are gathered in blocks, which count their own n-grams. One order after the other, the blocks' n-grams are dealt by
+ranges of a hash, exploded, counted and joined back to their counts; what other blocks have of them returns to the block,
+whose documents sum their scores. Only one order's n-grams are on disk at a time. A frequent n-gram costs one row a block, so
+hot ones need no salt; nothing is sampled, cut off or broadcast.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ ALPHA = 0.4
 #: Longest n-gram.
 ORDER = 3
 #: Bytes of text in a block of documents, and bytes of text whose n-grams one partition of the count tables holds.
-BLOCK_BYTES, BUCKET_BYTES = 8 << 20, 4 << 20
+BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 4 << 20
 #: Most ranges of keys: with more data partitions grow, while 48 bits and the range still tell n-grams apart.
 MOST_BUCKETS = 1 << 16
 #: Most keys in a row of packed n-grams.
@@ -118,11 +119,6 @@ def pieces(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return bucket, cut[bucket] + PIECE * nth
 
 
-def block_keys(block: Block, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """The different n-grams of a block, of all orders, sorted by key, and how often the block has them."""
-    return np.unique(np.concatenate([block.grams(n)[1] for n in range(1, order + 1)]), return_counts=True)
-
-
 def bucket_names(spark: SparkSession, buckets: int, parts: int) -> np.ndarray:
     """Names of buckets that ``repartition(parts, bucket)`` deals evenly: the smallest numbers that hash to each partition."""
     ids = spark.range(32 * parts).select(F.col("id").cast("int").alias("id"))
@@ -131,13 +127,13 @@ def bucket_names(spark: SparkSession, buckets: int, parts: int) -> np.ndarray:
     return np.array(names + list(range(32 * parts, 32 * parts + buckets - len(names))), np.int32)
 
 
-def block_grams(blocks: DataFrame, order: int, names: np.ndarray) -> DataFrame:
+def block_grams(blocks: DataFrame, n: int, names: np.ndarray) -> DataFrame:
     """``bucket, block, piece, top, mid, low, c``: the different n-grams of each block in pieces (see ``pieces``), the lower
     48 bits of their keys (8, 32 and 8), and how often the block has them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 1):
-            keys, counts = block_keys(open_block(b), order)
+            keys, counts = np.unique(open_block(b).grams(n)[1], return_counts=True)
             bucket, start = pieces(keys, len(names))
             ends = pa.array([*start, len(keys)], pa.int32())
             lists = ((keys >> np.uint64(40)).astype(np.uint8).view(np.int8), (keys >> np.uint64(8)).astype(np.uint32).view(np.int32), keys.astype(np.uint8).view(np.int8), counts.astype(np.int32))
@@ -214,21 +210,27 @@ def stupid_backoff(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     """
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // bucket_bytes))
-    buckets = min(parts, MOST_BUCKETS)
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(least, -(-size // bucket_bytes))
+    # A table holds one order's n-grams.
+    tables = max(least, -(-size // (order * bucket_bytes)))
+    buckets = min(tables, MOST_BUCKETS)
     blocks = materialize(blocks_of(docs, id_col=id_col, text_col=text_col, block_bytes=block_bytes), "blocks", codec="zstd", buckets=(parts, "block"))
-    found = counts_elsewhere(block_grams(blocks, order, bucket_names(spark, buckets, parts)), parts)
+    names = bucket_names(spark, buckets, tables)
+    each = [counts_elsewhere(block_grams(blocks, n, names), tables).withColumn("n", F.lit(n)) for n in range(1, order + 1)]
+    found = reduce(DataFrame.unionByName, [materialize(x, "elsewhere", codec="zstd", drop_shuffles=True) for x in each])
     words = blocks.select(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
     kind = docs.schema[id_col].dataType.simpleString()
 
     def score(b: pa.Table, answers: pa.Table) -> pa.Table:
         block = open_block(b)
-        keys, _ = block_keys(block, order)
-        others, start = np.zeros(len(keys), np.int64), pieces(keys, buckets)[1]
-        for piece, *lists in zip(answers["piece"].to_pylist(), answers["at"], answers["low"], answers["high"], strict=True):
+        totals, starts = {}, {}
+        for n in range(1, order + 1):
+            keys = np.unique(block.grams(n)[1])
+            totals[n], starts[n] = np.zeros(len(keys), np.int64), pieces(keys, buckets)[1]
+        for n, piece, *lists in zip(answers["n"].to_pylist(), answers["piece"].to_pylist(), answers["at"], answers["low"], answers["high"], strict=True):
             at, low, high = (np.asarray(x.values) for x in lists)
-            others[start[piece] + at] = high << 7 | low
-        totals = {n: others[np.searchsorted(keys, np.unique(block.grams(n)[1]))] for n in range(1, order + 1)}
+            totals[n][starts[n][piece] + at] = high << 7 | low
         n, sums, backed = score_block(block, totals, words, order, alpha)
         ids = b["ids"][0].values
         return pa.table([ids, pa.array(n, pa.int64()), pa.array(np.round(sums, 9) + 0.0), pa.array(backed, pa.int64())], names=["id", "n_words", "log10_score", "backed_off"])

@@ -28,12 +28,24 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def materialize(df: DataFrame, tag: str, codec: str | None = None, buckets: tuple[int, str] | None = None) -> DataFrame:
+#: Spark's own switch: the shuffle files of a query are deleted when it ends, not when the driver's heap is next collected.
+_DROP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def materialize(df: DataFrame, tag: str, codec: str | None = None, buckets: tuple[int, str] | None = None, drop_shuffles: bool = False) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: the lineage ends at the files,
     so a lost executor costs no more than the stage that was running.
 
     With ``buckets`` (how many, and a column) the table is bucketed: a join or cogroup on the column doesn't shuffle it.
+    With ``drop_shuffles`` the shuffles that made the table leave the disk once it is written.
     """
+    if drop_shuffles:
+        conf, before = df.sparkSession.conf, df.sparkSession.conf.get(_DROP)
+        conf.set(_DROP, "true")
+        try:
+            return materialize(df, tag, codec, buckets)
+        finally:
+            conf.set(_DROP, before)
     spark = df.sparkSession
     name = f"{tag}-{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/{name}"

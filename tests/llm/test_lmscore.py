@@ -1,9 +1,11 @@
 import math
+import time
 from collections import Counter
 
 import pytest
 
 from tessera.llm import lmscore, queries
+from tessera.storage import materialize
 from tests import oracle
 
 
@@ -75,3 +77,18 @@ def test_query_scores_by_trigrams(spark, tmp_path):
     got = {r.doc_id: (r.n_words, r.log10_score, r.backed_off) for r in queries.op2_stupid_backoff(spark, str(tmp_path)).collect()}
     want, lower = ({k: (n, round(s, 4), b) for k, (n, s, b) in brute(rows, order, lmscore.ALPHA).items()} for order in (3, 2))
     assert got == want and got != lower
+
+
+def test_shuffles_of_a_written_table_leave_the_disk(spark):
+    """Only one order's n-grams are on disk at a time: their shuffle ends with the query that wrote the counts."""
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: {f for f in str(files.getAllFiles().mkString("\n")).split("\n") if "shuffle_" in f}
+    rows = spark.range(10_000).selectExpr("id", "id % 7 as k")
+    before = shuffles()
+    out = materialize(rows.repartition(3, "k"), "dropped", drop_shuffles=True)
+    end = time.time() + 30
+    while shuffles() - before and time.time() < end:
+        time.sleep(0.2)
+    assert not shuffles() - before and out.count() == 10_000
+    materialize(rows.repartition(3, "k"), "held")
+    assert shuffles() - before
