@@ -40,3 +40,16 @@ def test_stage_contract(spark, odd):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, odd, SF).columns == odd.columns
     assert bpe.tokens(odd, queries.byte_bpe_path()).count() == 12
+
+
+def test_stages_send_small_batches_to_python(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    try:
+        for given, want in (("10000", corpus_pipeline.BATCH_ROWS), ("0", corpus_pipeline.BATCH_ROWS), ("7", 7)):
+            spark.conf.set(key, given)
+            corpus_pipeline.mix_sources(spark, docs, SF)
+            assert int(spark.conf.get(key)) == want
+    finally:
+        spark.conf.set(key, before)
