@@ -26,8 +26,9 @@ MAX_BITS = 56
 STRIDES = (1, 3, 5, 9, 11, 13)
 #: Segments of a chain that must be equal: keys of 24 bits suit up to some 1e8 texts.
 RUN = 3
-#: Keys of more fingerprints than this link each with the key's least one first, and compare the others only between classes.
-CROWDED = 8
+#: Keys of more fingerprints than this link each with the key's least one first, and compare the others only between classes. The
+#: classes are the same for any value; a key of n fingerprints costs n - 1 pairs at first, or n * (n - 1) / 2 if it has no more than this.
+CROWDED = 4
 #: Fingerprints in a block of a crowded key, and blocks of one side that meet all others of the key in one group.
 BLOCK_NODES, BLOCKS_AT_ONCE = 256, 32
 #: Tables of up to this many rows of two numbers (32 MB) are broadcast to the scan of whole texts; larger ones are joined by shuffle.
@@ -43,9 +44,8 @@ def shingles(text: bytes | None, n: int = SHINGLE_WORDS, seed: int = SEED) -> np
     return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(seed)), dtype="<u8"))
 
 
-def fingerprint(text: bytes | None) -> bytes:
-    """SimHash of 256 bits over the distinct shingles: four words, each of another finalizer of the same hashes."""
-    h = shingles(text)
+def fingerprint(h: np.ndarray) -> bytes:
+    """SimHash of 256 bits over distinct shingles: four words, each of another finalizer of the same hashes."""
     votes = np.zeros(256, np.int64)
     for at in range(0, len(h), BLOCK):
         x = h[at : at + BLOCK, None] ^ (np.arange(1, 5, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -56,6 +56,17 @@ def fingerprint(text: bytes | None) -> bytes:
     return np.packbits(2 * votes > len(h)).tobytes()
 
 
+def bins(h: np.ndarray) -> bytes:
+    """How many of the shingles begin with each byte; a 255 may stand for more."""
+    return np.minimum(np.bincount((h >> np.uint64(56)).astype(np.int64), minlength=256), 255).astype(np.uint8).tobytes()
+
+
+def may_be_similar(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
+    """Of rows of ``bins``, which may have that similarity: two sets share at most the lesser number in each bin."""
+    both, sizes = np.minimum(a, b).sum(axis=1, dtype=np.int64), a.sum(axis=1, dtype=np.int64) + b.sum(axis=1, dtype=np.int64)
+    return (both + 1e-6 >= least * (sizes - both)) | (a == 255).any(axis=1) | (b == 255).any(axis=1)
+
+
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
     """Jaccard similarity of two sorted sets of shingles; texts without words are alike."""
     if not len(a) and not len(b):
@@ -65,19 +76,20 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(id, fp)``; ``fp`` is 32 bytes."""
+    """``(id, fp, bins)``; ``fp`` is 32 bytes, ``bins`` 256."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            fp = pa.array([fingerprint(x) for x in b.column(1).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), fp], names=["id", "fp"])
+            sets = [shingles(x) for x in b.column(1).to_pylist()]
+            cols = [pa.array([f(h) for h in sets], pa.binary()) for f in (fingerprint, bins)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *cols], names=["id", "fp", "bins"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t")).mapInArrow(run, f"id {kind}, fp binary")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t")).mapInArrow(run, f"id {kind}, fp binary, bins binary")
 
 
-def _bytes(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), SEGMENTS)
+def _bytes(column: pa.Array, n: int = SEGMENTS) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), n)
 
 
 def chain_keys(nodes: DataFrame) -> DataFrame:
@@ -107,15 +119,16 @@ def _first_chain(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.concatenate(rings, axis=1).argmax(axis=1)
 
 
-def within_bits(pairs: DataFrame, max_bits: int) -> DataFrame:
-    """Pairs ``(src, dst, a, b)`` whose fingerprints differ in at most ``max_bits`` bits."""
+def within_bits(pairs: DataFrame, max_bits: int, least: float) -> DataFrame:
+    """Pairs ``(src, dst, a, b, bins_a, bins_b)`` whose fingerprints differ in at most ``max_bits`` bits and whose bins leave room for the similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 8192):
+        for b in slices(batches, 4096):
             off = np.bitwise_count(_bytes(b.column(2)) ^ _bytes(b.column(3))).sum(axis=1, dtype=np.int64)
-            yield b.select(["src", "dst"]).filter(pa.array(off <= max_bits))
+            keep = (off <= max_bits) & may_be_similar(_bytes(b.column(4), 256), _bytes(b.column(5), 256), least)
+            yield b.select(["src", "dst"]).filter(pa.array(keep))
 
-    return pairs.select("src", "dst", "a", "b").mapInArrow(run, "src long, dst long")
+    return pairs.select("src", "dst", "a", "b", "bins_a", "bins_b").mapInArrow(run, "src long, dst long")
 
 
 def beside_texts(ids: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
@@ -132,8 +145,15 @@ def shared_chains(nodes: DataFrame) -> DataFrame:
     return materialize(keyed.join(held, "key"), "chains")
 
 
-def candidates(chains: DataFrame, nodes: DataFrame, max_bits: int = MAX_BITS, crowded: int = CROWDED) -> DataFrame:
-    """Distinct pairs ``(src, dst)`` of nodes that share a chain of equal segments and differ in at most ``max_bits`` bits.
+def binned(nodes: DataFrame) -> DataFrame:
+    """``nodes`` with bins for each: where they are unknown, bins that leave room for any similarity."""
+    unknown = F.lit(b"\xff" * 256)
+    return nodes.withColumn("bins", F.coalesce("bins", unknown) if "bins" in nodes.columns else unknown)
+
+
+def candidates(chains: DataFrame, nodes: DataFrame, max_bits: int = MAX_BITS, crowded: int = CROWDED, least: float = SIMILARITY) -> DataFrame:
+    """Distinct pairs ``(src, dst)`` of nodes that share a chain of equal segments, differ in at most ``max_bits`` bits and whose
+    bins leave room for a similarity of ``least``.
 
     A key of up to ``crowded`` nodes compares all of them; of more, each with the least one, and what these links leave in
     different classes is compared by ``between_classes``. Nodes are hashes, so the same few lead most keys of a large group.
@@ -142,50 +162,59 @@ def candidates(chains: DataFrame, nodes: DataFrame, max_bits: int = MAX_BITS, cr
     pairs = few.select("key", F.col("node").alias("src")).join(few.select("key", F.col("node").alias("dst")), "key").where("src < dst")
     star = many.where("node <> first").select(F.col("first").alias("src"), F.col("node").alias("dst"))
     once = pairs.select("src", "dst").unionByName(star).distinct()
-    a, b = nodes.select(F.col("node").alias("src"), F.col("fp").alias("a")), nodes.select(F.col("node").alias("dst"), F.col("fp").alias("b"))
-    return materialize(within_bits(once.join(a, "src").join(b, "dst"), max_bits), "candidates")
+    a, b = (binned(nodes).select(F.col("node").alias(end), F.col("fp").alias(x), F.col("bins").alias(f"bins_{x}")) for end, x in (("src", "a"), ("dst", "b")))
+    return materialize(within_bits(once.join(a, "src").join(b, "dst"), max_bits, least), "candidates")
 
 
-def between_classes(chains: DataFrame, nodes: DataFrame, roots: DataFrame, max_bits: int = MAX_BITS, crowded: int = CROWDED) -> DataFrame:
-    """All pairs ``(src, dst)`` of nodes in different classes (``roots(node, root)``) that share a crowded key and differ in at
-    most ``max_bits`` bits, each once; pairs that also share an earlier key which is not crowded are left to ``candidates``.
+def between_classes(chains: DataFrame, nodes: DataFrame, roots: DataFrame, max_bits: int = MAX_BITS, crowded: int = CROWDED, least: float = SIMILARITY) -> DataFrame:
+    """All pairs ``(src, dst)`` of nodes in different classes (``roots(node, root)``) that share a crowded key, differ in at most
+    ``max_bits`` bits and whose bins leave room for a similarity of ``least``, each once; pairs that also share an earlier key which
+    is not crowded are left to ``candidates``.
 
-    Keys whose nodes are all of one class are dropped. The others are cut into blocks, of one class where it is large, and
-    blocks meet in groups of bounded size, so a key of any size is shared by tasks and two blocks of one class never meet.
+    A node meets its class and fingerprint once, in a row with all its crowded keys (192 at most). Keys whose nodes are all
+    of one class are dropped. The others are cut into blocks, of one class where it is large, and blocks meet in groups of
+    bounded size, so a key of any size is shared by tasks and two blocks of one class never meet. What a task compares in a
+    block is not written out: only pairs that are left for the exact check are rows.
     """
-    of = nodes.join(roots, "node", "left").select("node", "fp", F.coalesce("root", "node").alias("root"))
-    many = chains.where(F.col("n") > crowded).select("key", "node").join(of.select("node", "root"), "node")
-    split = many.groupBy("key", "root").agg(F.count("*").alias("c"))
+    of = binned(nodes).join(roots, "node", "left").select("node", "fp", "bins", F.coalesce("root", "node").alias("root"))
+    held = chains.where(F.col("n") > crowded).groupBy("node").agg(F.collect_list("key").alias("keys"))
+    held = materialize(held.join(of, "node"), "crowded-nodes")
+    split = held.select("root", F.explode("keys").alias("key")).groupBy("key", "root").agg(F.count("*").alias("c"))
     split = materialize(split, "classes-of-keys")
     mixed = split.groupBy("key").agg(F.count("*").alias("classes"), F.sum(F.when(F.col("c") < BLOCK_NODES, F.col("c"))).alias("rest")).where("classes > 1")
-    rows = many.join(split.join(mixed, "key"), ["key", "root"]).join(of.select("node", "fp"), "node")
+    member = F.struct("node", "root", "fp", "bins").alias("m")
+    rows = held.select(F.explode("keys").alias("key"), "root", member).join(split.join(mixed, "key"), ["key", "root"])
     large = F.col("c") >= BLOCK_NODES
     parts = F.ceil(F.when(large, F.col("c")).otherwise(F.col("rest")) / BLOCK_NODES)
-    rows = rows.select("key", F.when(large, F.col("root")).alias("own"), F.pmod(F.xxhash64("node"), parts).alias("part"), F.struct("node", "root", "fp").alias("m"))
+    rows = rows.select("key", F.when(large, F.col("root")).alias("own"), F.pmod(F.xxhash64("m.node"), parts).alias("part"), "m")
     blocks = materialize(rows.groupBy("key", "own", "part").agg(F.collect_list("m").alias("m")), "blocks-of-keys")
     turns = blocks.groupBy("key").agg(F.ceil(F.count("*") / BLOCKS_AT_ONCE).alias("turns"))
-    blocks = blocks.join(turns, "key").select("key", "turns", *(F.col(c).alias(f"{c}_a") for c in ("own", "part")), *(F.col(f"m.{c}").alias(f"{c}_a") for c in ("node", "root", "fp")))
-    other = blocks.withColumnsRenamed({f"{c}_a": f"{c}_b" for c in ("own", "part", "node", "root", "fp")}).withColumn("turn", F.pmod(F.xxhash64("own_b", "part_b"), F.col("turns"))).drop("turns")
+    fields = ("own", "part", "node", "root", "fp", "bins")
+    blocks = blocks.join(turns, "key").select("key", "turns", *(F.col(c).alias(f"{c}_a") for c in fields[:2]), *(F.col(f"m.{c}").alias(f"{c}_a") for c in fields[2:]))
+    other = blocks.withColumnsRenamed({f"{c}_a": f"{c}_b" for c in fields}).withColumn("turn", F.pmod(F.xxhash64("own_b", "part_b"), F.col("turns"))).drop("turns")
     meet = blocks.withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1))).join(other, ["key", "turn"])
     meet = meet.where("(own_a is null and own_b is null and part_a <= part_b) or (own_a is null and own_b is not null) or own_a < own_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 1):
             key, (x, y) = b.column(0)[0].as_py(), [[np.asarray(b[f"{c}_{side}"][0].values) for c in ("node", "root")] for side in "ab"]
-            fx, fy = (_bytes(b[f"fp_{side}"][0].values) for side in "ab")
+            (fx, fy), (bx, by) = ([_bytes(b[f"{c}_{side}"][0].values, n) for side in "ab"] for c, n in (("fp", SEGMENTS), ("bins", 256)))
             off = np.zeros((len(fx), len(fy)), np.int64)
             for p, q in zip(fx.view(np.uint64).T, fy.view(np.uint64).T, strict=True):
                 off += np.bitwise_count(p[:, None] ^ q[None, :])
             i, j = np.nonzero((off <= max_bits) & (x[1][:, None] != y[1][None, :]))
-            src, dst = np.minimum(x[0][i], y[0][j]), np.maximum(x[0][i], y[0][j])
             # A block meets itself with either order of a pair.
-            same = len(x[0]) == len(y[0]) and (x[0] == y[0]).all()
-            keep = _first_chain(fx[i], fy[j]) == key >> (8 * RUN)
-            if same:
-                keep &= i < j
-            yield pa.RecordBatch.from_arrays([pa.array(src[keep]), pa.array(dst[keep])], names=["src", "dst"])
-
-    columns = [f"{c}_{side}" for side in "ab" for c in ("node", "root", "fp")]
+            if len(x[0]) == len(y[0]) and (x[0] == y[0]).all():
+                i, j = i[i < j], j[i < j]
+            for at in range(0, len(i), 4096):
+                p, q = i[at : at + 4096], j[at : at + 4096]
+                keep = may_be_similar(bx[p], by[q], least)
+                p, q = p[keep], q[keep]
+                first = _first_chain(fx[p], fy[q]) == key >> (8 * RUN)
+                u, v = x[0][p[first]], y[0][q[first]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["src", "dst"])
+
+    columns = [f"{c}_{side}" for side in "ab" for c in fields[2:]]
     return meet.select("key", *columns).mapInArrow(run, "src long, dst long")
 
 
@@ -215,7 +244,7 @@ def of_node(texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             known = zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)
-            keep = [not shared or np.uint64(xxhash.xxh64_intdigest(fingerprint(t), SEED)).astype(np.int64) == node for node, t, shared in known]
+            keep = [not shared or np.uint64(xxhash.xxh64_intdigest(fingerprint(shingles(t)), SEED)).astype(np.int64) == node for node, t, shared in known]
             yield b.select(["node", "t"]).filter(pa.array(keep, pa.bool_()))
 
     return texts.select("node", "t", "shared").mapInArrow(run, "node long, t binary")
@@ -225,7 +254,7 @@ def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """One row a document: ``id`` and ``component``, the smallest id of its class.
 
     Links join texts of at least ``least`` similarity (Jaccard, distinct five-word shingles) found by chains of their
-    fingerprints; the exact check follows the Hamming check. Texts of equal 256-bit fingerprints are one node, so exact
+    fingerprints; the exact check follows the Hamming check and one of bins, which loses none. Texts of equal 256-bit fingerprints are one node, so exact
     copies cost no pairs. Classes are those of all pairs that share a key, whatever its size: what the links through the
     least text of a crowded key leave apart is compared in a second round. Null and blank texts are alike. Null ids are
     skipped in the minimum (null if a class has no other). Repeated rows are documents like any other; very long texts are
@@ -233,7 +262,7 @@ def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     pair must have one of 192 chains equal.
     """
     rows = materialize(fingerprints(docs, id_col, text_col).withColumn("node", F.xxhash64("fp")), "wide")
-    nodes = materialize(rows.groupBy("node").agg(F.first("fp").alias("fp"), F.min("id").alias("low")), "nodes")
+    nodes = materialize(rows.groupBy("node").agg(F.first("fp").alias("fp"), F.min_by("bins", "id").alias("bins"), F.min("id").alias("low")), "nodes")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t")).where("id is not null")
     shared = rows.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("id", F.lit(1).alias("shared"))
 
@@ -245,14 +274,15 @@ def near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         return materialize(similar(pairs, one, least), "links")
 
     chains = shared_chains(nodes)
-    pairs = candidates(chains, nodes, max_bits, crowded)
+    pairs = candidates(chains, nodes, max_bits, crowded, least)
     found = links(pairs)
     roots = connected_components(found)
     if not chains.where(F.col("n") > crowded).isEmpty():
         roots = materialize(roots, "roots")
-        apart = materialize(between_classes(chains, nodes, roots, max_bits, crowded).join(pairs, ["src", "dst"], "left_anti"), "apart")
+        apart = materialize(between_classes(chains, nodes, roots, max_bits, crowded, least).join(pairs, ["src", "dst"], "left_anti"), "apart")
         if not apart.isEmpty():
-            roots = connected_components(found.unionByName(links(apart)))
+            # Members of a class are linked to its root already.
+            roots = connected_components(roots.select(F.col("node").alias("src"), F.col("root").alias("dst")).unionByName(links(apart)))
     placed = nodes.join(roots, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root"))
     of = placed.join(placed.groupBy("root").agg(F.min("low").alias("component")), "root").select("node", "component")
     return rows.join(of, "node").select("id", "component")

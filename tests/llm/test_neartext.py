@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -98,6 +99,38 @@ def test_crowded_keys_lose_no_link(spark, monkeypatch, block, at_once):
     assert len(every) > neartext.candidates(chains, nodes, crowded=1).count()
 
 
+def test_texts_of_a_crowded_key_that_are_no_copies_make_no_rows(spark):
+    """Texts near one that is absent: most pairs share a key and are within the bits, and none is similar, however many there are."""
+    rng = random.Random(13)
+    base = [f"w{rng.randrange(5000)}" for _ in range(300)]
+    rows = []
+    for k in range(120):
+        v = list(base)
+        for at in rng.sample(range(300), 6):
+            v[at] = f"x{k}-{at}"
+        rows.append((k, " ".join(v)))
+    sets = [neartext.shingles(t.encode()) for _, t in rows]
+    alike = [(i, j) for j in range(120) for i in range(j) if neartext.similarity(sets[i], sets[j]) >= 0.8]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    nodes = neartext.fingerprints(docs, "doc_id", "text").withColumn("node", F.xxhash64("fp")).localCheckpoint()
+    alone = nodes.select("node", F.col("node").alias("root")).where("false")
+    apart = neartext.between_classes(neartext.shared_chains(nodes), nodes, alone, crowded=1)
+    unbinned = neartext.between_classes(neartext.shared_chains(nodes), nodes.select("node", "fp"), alone, crowded=1)
+    assert not alike and unbinned.count() > 10 * len(rows) and apart.count() <= len(rows)
+    assert {r.id: r.component for r in neartext.near_copies(docs).collect()} == {k: k for k in range(120)}
+
+
+@pytest.mark.parametrize("size", [0, 1, 7, 300, 90_000])
+def test_bins_reject_no_similar_pair(size):
+    rng = np.random.default_rng(size)
+    a = np.unique(rng.integers(0, (1 << 64) - 1, size, np.uint64)) if size else np.empty(0, np.uint64)
+    for share in (0.75, 0.8, 0.88, 0.889, 0.9, 1.0):
+        kept = a[: round(share * len(a))]
+        for b in (kept, np.unique(np.concatenate([kept, rng.integers(0, (1 << 64) - 1, len(a) - len(kept), np.uint64)]))):
+            rows = (np.frombuffer(neartext.bins(h), np.uint8)[None, :] for h in (a, b))
+            assert neartext.may_be_similar(*rows, 0.8)[0] or neartext.similarity(a, b) < 0.8
+
+
 def test_shared_passages_are_no_copies(spark):
     rng = random.Random(5)
     shared = " ".join(f"p{i}" for i in range(60))
