@@ -1,7 +1,7 @@
 """Stupid-backoff language-model scores of documents under the n-gram counts of all other documents.
 
 Documents are gathered in blocks, which count their own n-grams. One order after the other, the blocks' n-grams are dealt by
-ranges of a hash, exploded, counted and joined back to their counts; what other blocks have of them returns to the block,
+ranges of a hash and counted range by range; what other blocks have of them returns to the block,
 whose documents sum their scores. Only one order's n-grams are on disk at a time. A frequent n-gram costs one row a block, so
 hot ones need no salt; nothing is sampled, cut off or broadcast.
 """
@@ -16,9 +16,8 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tessera.llm.text import slices
 from tessera.storage import materialize
@@ -147,22 +146,31 @@ def counts_elsewhere(grams: DataFrame, parts: int) -> DataFrame:
     """``block, piece, at, low, high``: of a block's n-grams that other blocks have too, their places in the piece and how
     often the other blocks have them (lowest seven bits, and the rest).
 
-    N-grams are dealt to partitions by bucket while they are packed by block; each partition explodes its own, counts them
-    and puts the count beside each row. Count table and join are one window over the n-gram, as an equi-join on it
-    would shuffle the exploded rows once more. A frequent n-gram has one row a block there, whatever the number of
-    its occurrences, and a window's rows can spill.
+    N-grams are dealt to partitions by bucket while they are packed by block, and a bucket is counted in one sort. It is a
+    range of hashes: their number grows with the text, so a bucket keeps its size, and a frequent n-gram has one row a
+    block there, whatever the number of its occurrences.
     """
-    rows = grams.repartition(parts, "bucket").select("bucket", "block", "piece", F.posexplode(F.arrays_zip("top", "mid", "low", "c")).alias("at", "g"))
 
-    def part(name: str, bits: int) -> Column:
-        return F.col(f"g.{name}").cast("long").bitwiseAND(F.lit((1 << bits) - 1))
-
-    key = F.shiftleft(part("top", 8), 40).bitwiseOR(F.shiftleft(part("mid", 32), 8)).bitwiseOR(part("low", 8))
-    rows = rows.select("bucket", "block", "piece", F.col("at").cast("short").alias("at"), key.alias("key"), F.col("g.c").alias("c"))
-    same = Window.partitionBy("key", "bucket")
-    found = rows.withColumns({"others": F.sum("c").over(same) - F.col("c"), "blocks": F.count("*").over(same)}).where("blocks > 1")
-    low, high = F.col("others").bitwiseAND(F.lit(127)).cast("byte"), F.shiftright("others", 7)
-    return found.groupBy("bucket", "block", "piece").agg(F.collect_list("at").alias("at"), F.collect_list(low).alias("low"), F.collect_list(high).alias("high")).drop("bucket")
+    def count(b: pa.Table) -> pa.Table:
+        top, mid, low, c = (b[name].combine_chunks() for name in ("top", "mid", "low", "c"))
+        sizes = np.diff(top.offsets.to_numpy())
+        part = lambda x, kind: np.asarray(x.flatten()).view(kind).astype(np.uint64)
+        keys = part(top, np.uint8) << np.uint64(40) | part(mid, np.uint32) << np.uint64(8) | part(low, np.uint8)
+        own = np.asarray(c.flatten()).astype(np.int64)
+        _, inv, blocks = np.unique(keys, return_inverse=True, return_counts=True)
+        others = np.zeros(len(blocks), np.int64)
+        np.add.at(others, inv, own)
+        shared = np.flatnonzero(blocks[inv] > 1)
+        others = others[inv[shared]] - own[shared]
+        row = np.repeat(np.arange(len(sizes)), sizes)[shared]
+        at = shared - (np.cumsum(sizes) - sizes)[row]
+        found, n = np.unique(row, return_counts=True)
+        ends = pa.array([0, *np.cumsum(n)], pa.int32())
+        lists = (at.astype(np.int16), (others & 127).astype(np.int8), others >> 7)
+        rows = b.select(["block", "piece"]).take(pa.array(found))
+        return pa.table([*rows.columns, *(pa.ListArray.from_arrays(ends, pa.array(x)) for x in lists)], names=["block", "piece", "at", "low", "high"])
+
+    return grams.repartition(parts, "bucket").groupBy("bucket").applyInArrow(count, "block long, piece int, at array<short>, low array<byte>, high array<long>")
 
 
 def score_block(block: Block, totals: dict[int, np.ndarray], words: int, order: int, alpha: float) -> tuple:

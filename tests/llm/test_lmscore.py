@@ -92,3 +92,17 @@ def test_shuffles_of_a_written_table_leave_the_disk(spark):
     assert not shuffles() - before and out.count() == 10_000
     materialize(rows.repartition(3, "k"), "held")
     assert shuffles() - before
+
+
+def test_ngrams_are_counted_without_a_row_each(spark):
+    """An n-gram that only passes the count is no row of Spark's: packed rows are dealt, and packed rows return."""
+    texts = ["a b c a b", "b c a b c d", "a b", "x y", "c d a b a b"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    blocks = materialize(lmscore.blocks_of(docs, id_col="doc_id", text_col="text", block_bytes=1), "blocks-test")
+    found = lmscore.counts_elsewhere(lmscore.block_grams(blocks, 2, lmscore.bucket_names(spark, 3, 3)), 3)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Window" not in plan
+    got = sorted(h << 7 | lo for r in found.collect() for lo, h in zip(r.low, r.high, strict=True))
+    own = [Counter(zip(t.split(), t.split()[1:], strict=False)) for t in texts]
+    total = sum(own, Counter())
+    assert got == sorted(total[g] - o[g] for o in own for g in o if total[g] > o[g])
