@@ -10,8 +10,10 @@ from __future__ import annotations
 
 import math
 import uuid
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Callable, Iterator
 from functools import reduce
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +52,40 @@ def ngram_keys(words: np.ndarray, n: int) -> np.ndarray:
     return key
 
 
+def packed(values: np.ndarray, ends: np.ndarray | list[int]) -> pa.Array:
+    """One binary value for each of the rows that end at ``ends[1:]``: bytes cross Spark as a whole, a list's numbers one by one."""
+    offsets = (np.asarray(ends, np.int64) * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def unpacked(rows: pa.Array | pa.ChunkedArray, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of all rows that ``packed`` made, and where rows begin and end among them."""
+    x = rows.combine_chunks() if isinstance(rows, pa.ChunkedArray) else rows
+    _, offsets, data = x.buffers()
+    ends = np.frombuffer(offsets, np.int64 if pa.types.is_large_binary(x.type) else np.int32)[x.offset : x.offset + len(x) + 1].astype(np.int64) if len(x) else np.zeros(1, np.int64)
+    values = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if data else np.zeros(0, np.uint8)
+    return values.view(kind), (ends - ends[0]) // np.dtype(kind).itemsize
+
+
+def grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order that sorts 64-bit keys, equal ones as they came, and where each different key begins in it.
+
+    Places are sorted along in the keys' lowest bits, which is several times faster than sorting places by keys; where keys
+    differ in those bits only, and so came out of order, they are sorted in full.
+    """
+    if not len(keys):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    bits = np.uint64(len(keys).bit_length())
+    both = keys >> bits << bits | np.arange(len(keys), dtype=np.uint64)
+    both.sort()
+    order = (both & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    held = keys[order]
+    if (held[1:] < held[:-1]).any():
+        order = np.argsort(keys, kind="stable")
+        held = keys[order]
+    return order, np.flatnonzero(np.concatenate([[True], held[1:] != held[:-1]]))
+
+
 class Block:
     """Documents as indices into a sorted table of word hashes; n-grams never reach from one document to the next."""
 
@@ -65,12 +101,12 @@ class Block:
 
 
 def blocks_of(docs: DataFrame, *, id_col: str, text_col: str, block_bytes: int) -> DataFrame:
-    """``block, ids, sizes, words, low, high``: of the documents of a block their ids and numbers of words, the hashes of all
-    different words, frequent ones first, and each word's place among these (lowest byte, and the rest)."""
+    """``block, ids, sizes, words, low, mid, high``: of the documents of a block their ids and numbers of words, the hashes of all
+    different words, frequent ones first, and each word's place among these (lowest byte, next byte, and the rest)."""
     kind = docs.schema[id_col].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, sizes, codes, seen, held = [], [], [], {}, 0
+        ids, sizes, codes, seen, held = [], [], [], defaultdict(count().__next__), 0
 
         def emit() -> pa.RecordBatch:
             h = np.fromiter(map(xxhash.xxh64_intdigest, seen), np.uint64, len(seen))
@@ -79,9 +115,9 @@ def blocks_of(docs: DataFrame, *, id_col: str, text_col: str, block_bytes: int)
             place = np.empty(len(h), np.int32)
             place[order] = np.arange(len(h))
             tokens = place[tokens]
-            lists = {"sizes": np.array(sizes, np.int32), "words": h[order].view(np.int64), "low": tokens.astype(np.uint8).view(np.int8), "high": tokens >> 8}
-            row = [pa.array([uuid.uuid4().int >> 65], pa.int64()), pa.array([ids], pa.list_(of)), *(pa.array([x]) for x in lists.values())]
-            return pa.RecordBatch.from_arrays(row, names=["block", "ids", *lists])
+            lists = {"words": h[order], "low": tokens.astype(np.uint8), "mid": (tokens >> 8).astype(np.uint8), "high": (tokens >> 16).astype(np.uint16)}
+            row = [pa.array([uuid.uuid4().int >> 65], pa.int64()), pa.array([ids], pa.list_(of)), pa.array([np.array(sizes, np.int32)]), *(packed(x, [0, len(x)]) for x in lists.values())]
+            return pa.RecordBatch.from_arrays(row, names=["block", "ids", "sizes", *lists])
 
         for b in slices(batches):
             of = b.column(0).type
@@ -89,22 +125,22 @@ def blocks_of(docs: DataFrame, *, id_col: str, text_col: str, block_bytes: int)
                 words = (text or b"").split()
                 ids.append(key)
                 sizes.append(len(words))
-                codes.append(np.fromiter((seen.setdefault(w, len(seen)) for w in words), np.int32, len(words)))
+                codes.append(np.fromiter(map(seen.__getitem__, words), np.int32, len(words)))
                 held += len(text or b"")
                 if held >= block_bytes:
                     yield emit()
-                    ids, sizes, codes, seen, held = [], [], [], {}, 0
+                    ids, sizes, codes, seen, held = [], [], [], defaultdict(count().__next__), 0
         if ids:
             yield emit()
 
-    schema = f"block long, ids array<{kind.simpleString()}>, sizes array<int>, words array<long>, low array<byte>, high array<int>"
+    schema = f"block long, ids array<{kind.simpleString()}>, sizes array<int>, words binary, low binary, mid binary, high binary"
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t")).mapInArrow(run, schema)
 
 
 def open_block(row: pa.RecordBatch | pa.Table) -> Block:
     """The block in a table of one row."""
-    sizes, words, low, high = (np.asarray(row[c][0].values) for c in ("sizes", "words", "low", "high"))
-    return Block(words.view(np.uint64), high.astype(np.int64) << 8 | low.view(np.uint8), sizes.astype(np.int64))
+    words, low, mid, high = (unpacked(row[c], kind)[0] for c, kind in (("words", np.uint64), ("low", np.uint8), ("mid", np.uint8), ("high", np.uint16)))
+    return Block(words, high.astype(np.int64) << 16 | mid.astype(np.int64) << 8 | low, np.asarray(row["sizes"][0].values).astype(np.int64))
 
 
 def pieces(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -134,58 +170,74 @@ def block_grams(blocks: DataFrame, n: int, names: np.ndarray) -> DataFrame:
         for b in slices(batches, 1):
             keys, counts = np.unique(open_block(b).grams(n)[1], return_counts=True)
             bucket, start = pieces(keys, len(names))
-            ends = pa.array([*start, len(keys)], pa.int32())
-            lists = ((keys >> np.uint64(40)).astype(np.uint8).view(np.int8), (keys >> np.uint64(8)).astype(np.uint32).view(np.int32), keys.astype(np.uint8).view(np.int8), counts.astype(np.int32))
+            ends = np.append(start, len(keys))
+            lists = ((keys >> np.uint64(40)).astype(np.uint8), (keys >> np.uint64(8)).astype(np.uint32), keys.astype(np.uint8), counts.astype(np.uint32))
             cols = [pa.array(names[bucket]), pa.array(np.full(len(bucket), b.column(0)[0].as_py(), np.int64)), pa.array(np.arange(len(bucket), dtype=np.int32))]
-            yield from slices([pa.RecordBatch.from_arrays([*cols, *(pa.ListArray.from_arrays(ends, pa.array(x)) for x in lists)], names=["bucket", "block", "piece", "top", "mid", "low", "c"])])
+            yield from slices([pa.RecordBatch.from_arrays([*cols, *(packed(x, ends) for x in lists)], names=["bucket", "block", "piece", "top", "mid", "low", "c"])])
 
-    return blocks.drop("ids").mapInArrow(run, "bucket int, block long, piece int, top array<byte>, mid array<int>, low array<byte>, c array<int>")
+    return blocks.drop("ids").mapInArrow(run, "bucket int, block long, piece int, top binary, mid binary, low binary, c binary")
 
 
 def counts_elsewhere(grams: DataFrame, parts: int) -> DataFrame:
-    """``block, piece, at, low, high``: of a block's n-grams that other blocks have too, their places in the piece and how
-    often the other blocks have them (lowest seven bits, and the rest).
+    """``block, piece, at, low, high, rest``: which of a block's n-grams other blocks have too (a bit for each of the piece), and
+    of these how often the other blocks have them (lowest seven bits, next eight, and the rest).
 
     N-grams are dealt to partitions by bucket while they are packed by block, and a bucket is counted in one sort. It is a
     range of hashes: their number grows with the text, so a bucket keeps its size, and a frequent n-gram has one row a
     block there, whatever the number of its occurrences.
     """
 
-    def count(b: pa.Table) -> pa.Table:
-        top, mid, low, c = (b[name].combine_chunks() for name in ("top", "mid", "low", "c"))
-        sizes = np.diff(top.offsets.to_numpy())
-        part = lambda x, kind: np.asarray(x.flatten()).view(kind).astype(np.uint64)
-        keys = part(top, np.uint8) << np.uint64(40) | part(mid, np.uint32) << np.uint64(8) | part(low, np.uint8)
-        own = np.asarray(c.flatten()).astype(np.int64)
-        _, inv, blocks = np.unique(keys, return_inverse=True, return_counts=True)
-        others = np.zeros(len(blocks), np.int64)
-        np.add.at(others, inv, own)
-        shared = np.flatnonzero(blocks[inv] > 1)
-        others = others[inv[shared]] - own[shared]
-        row = np.repeat(np.arange(len(sizes)), sizes)[shared]
-        at = shared - (np.cumsum(sizes) - sizes)[row]
-        found, n = np.unique(row, return_counts=True)
-        ends = pa.array([0, *np.cumsum(n)], pa.int32())
-        lists = (at.astype(np.int16), (others & 127).astype(np.int8), others >> 7)
-        rows = b.select(["block", "piece"]).take(pa.array(found))
-        return pa.table([*rows.columns, *(pa.ListArray.from_arrays(ends, pa.array(x)) for x in lists)], names=["block", "piece", "at", "low", "high"])
-
-    return grams.repartition(parts, "bucket").groupBy("bucket").applyInArrow(count, "block long, piece int, at array<short>, low array<byte>, high array<long>")
-
-
-def score_block(block: Block, totals: dict[int, np.ndarray], words: int, order: int, alpha: float) -> tuple:
-    """Sums of log10 scores of a block's documents, under counts less their own; ``totals`` are the counts in other blocks."""
+    def total(b: pa.Table) -> pa.Table:
+        top, ends = unpacked(b["top"], np.uint8)
+        mid, low, own = (unpacked(b[c], kind)[0] for c, kind in (("mid", np.uint32), ("low", np.uint8), ("c", np.uint32)))
+        keys = top.astype(np.uint64) << np.uint64(56) | mid.astype(np.uint64) << np.uint64(24) | low.astype(np.uint64) << np.uint64(16)
+        order, first = grouped(keys)
+        own = own.astype(np.int64)[order]
+        blocks = np.diff(first, append=len(keys))
+        others, shared = np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+        others[order] = np.repeat(np.add.reduceat(own, first), blocks) - own if len(keys) else 0
+        shared[order] = np.repeat(blocks > 1, blocks)
+        found = np.flatnonzero(shared)
+        others, row = others[found], np.repeat(np.arange(len(ends) - 1), np.diff(ends))[found]
+        kept, n = np.unique(row, return_counts=True)
+        # a kept piece's bits begin with a byte
+        size = -(-np.diff(ends)[kept] // 8)
+        bits, cut = np.zeros(8 * size.sum(), np.uint8), np.concatenate([[0], np.cumsum(size)])
+        bits[found - np.repeat(ends[kept] - 8 * cut[:-1], n)] = 1
+        lists = ((others & 127).astype(np.uint8), (others >> 7).astype(np.uint8), (others >> 15).astype(np.uint32))
+        rows, ends = b.select(["block", "piece"]).take(pa.array(kept)), np.concatenate([[0], np.cumsum(n)])
+        return pa.table([*rows.columns, packed(np.packbits(bits), cut), *(packed(x, ends) for x in lists)], names=["block", "piece", "at", "low", "high", "rest"])
+
+    return grams.repartition(parts, "bucket").groupBy("bucket").applyInArrow(total, "block long, piece int, at binary, low binary, high binary, rest binary")
+
+
+def answered(answers: pa.Table, start: np.ndarray, keys: int) -> np.ndarray:
+    """How often other blocks have each of a block's n-grams of one order, whose pieces begin at ``start``."""
+    out, bits = np.zeros(keys, np.int64), unpacked(answers["at"], np.uint8)
+    low, high, rest = (unpacked(answers[c], kind)[0].astype(np.int64) for c, kind in (("low", np.uint8), ("high", np.uint8), ("rest", np.uint32)))
+    place = np.repeat(start[answers["piece"].to_numpy()] - 8 * bits[1][:-1], 8 * np.diff(bits[1]))
+    at = np.flatnonzero(np.unpackbits(bits[0]))
+    out[place[at] + at] = rest << 15 | high << 7 | low
+    return out
+
+
+def score_block(block: Block, elsewhere: Callable[[int, np.ndarray], np.ndarray], words: int, order: int, alpha: float) -> tuple:
+    """Sums of log10 scores of a block's documents, under counts less their own; ``elsewhere`` gets an order and its sorted keys
+    and returns the counts in other blocks."""
     doc = np.repeat(np.arange(len(block.sizes)), block.sizes)
     rest: list[np.ndarray] = []
     for n in range(1, order + 1):
         at, keys = block.grams(n)
-        every, inv, here = np.unique(keys, return_inverse=True, return_counts=True)
-        own, back = np.unique(doc[at].astype(np.uint64) * np.uint64(max(1, len(every))) + inv.astype(np.uint64), return_inverse=True)
-        mine = np.bincount(back, minlength=len(own))[back] if len(own) else np.zeros(0)
-        count = np.zeros(len(doc))
-        if len(at):
-            count[at] = (totals[n].astype(np.float64) + here)[inv] - mine
-        rest.append(count)
+        by, first = grouped(keys)
+        here, at = np.diff(first, append=len(keys)), at[by]
+        # a key's occurrences in one document are neighbours in this order
+        run = np.concatenate([[True], doc[at[1:]] != doc[at[:-1]]])[: len(at)]
+        run[first] = True
+        own = np.flatnonzero(run)
+        mine = np.diff(own, append=len(at))
+        left = np.zeros(len(doc))
+        left[at] = np.repeat(elsewhere(n, keys[by[first]]).astype(np.float64) + here, here) - np.repeat(mine, mine)
+        rest.append(left)
     others = np.maximum(1.0, float(words) - block.sizes[doc])
     score, level, open_ = np.zeros(len(doc)), np.zeros(len(doc)), np.ones(len(doc), bool)
     for n in range(order, 0, -1):
@@ -232,14 +284,12 @@ def stupid_backoff(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
     def score(b: pa.Table, answers: pa.Table) -> pa.Table:
         block = open_block(b)
-        totals, starts = {}, {}
-        for n in range(1, order + 1):
-            keys = np.unique(block.grams(n)[1])
-            totals[n], starts[n] = np.zeros(len(keys), np.int64), pieces(keys, buckets)[1]
-        for n, piece, *lists in zip(answers["n"].to_pylist(), answers["piece"].to_pylist(), answers["at"], answers["low"], answers["high"], strict=True):
-            at, low, high = (np.asarray(x.values) for x in lists)
-            totals[n][starts[n][piece] + at] = high << 7 | low
-        n, sums, backed = score_block(block, totals, words, order, alpha)
+        which = answers["n"].to_numpy()
+
+        def elsewhere(n: int, keys: np.ndarray) -> np.ndarray:
+            return answered(answers.filter(pa.array(which == n)), pieces(keys, buckets)[1], len(keys))
+
+        n, sums, backed = score_block(block, elsewhere, words, order, alpha)
         ids = b["ids"][0].values
         return pa.table([ids, pa.array(n, pa.int64()), pa.array(np.round(sums, 9) + 0.0), pa.array(backed, pa.int64())], names=["id", "n_words", "log10_score", "backed_off"])
 

@@ -2,6 +2,8 @@ import math
 import time
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from tessera.llm import lmscore, queries
@@ -106,3 +108,33 @@ def test_ngrams_are_counted_without_a_row_each(spark):
     own = [Counter(zip(t.split(), t.split()[1:], strict=False)) for t in texts]
     total = sum(own, Counter())
     assert got == sorted(total[g] - o[g] for o in own for g in o if total[g] > o[g])
+
+
+def test_equal_keys_are_grouped_as_they_came():
+    """Also where keys differ in the lowest bits only, in which their places are sorted along."""
+    rng = np.random.default_rng(3)
+    for keys in (rng.integers(0, 2**64, 5000, np.uint64), rng.integers(0, 9, 5000, np.uint64), np.uint64(2**64 - 1) - rng.integers(0, 5000, 5000, np.uint64), np.zeros(0, np.uint64), np.array([7], np.uint64)):
+        order, first = lmscore.grouped(keys)
+        assert (order == np.argsort(keys, kind="stable")).all() and (keys[order][first] == np.unique(keys)).all()
+
+
+def test_packed_ngrams_are_bytes(spark):
+    """What is packed crosses Spark as bytes, not number by number: blocks, n-grams and their counts."""
+    docs = spark.createDataFrame([(1, "a b c"), (2, "b c d")], "doc_id long, text string")
+    blocks = lmscore.blocks_of(docs, id_col="doc_id", text_col="text", block_bytes=1)
+    grams = lmscore.block_grams(blocks, 2, lmscore.bucket_names(spark, 3, 3))
+    kinds = [(t.schema[c].dataType.typeName(), c) for t, cs in ((blocks, "words low high"), (grams, "top mid low c"), (lmscore.counts_elsewhere(grams, 3), "at low high")) for c in cs.split()]
+    assert {k for k, _ in kinds} == {"binary"}, kinds
+
+
+def test_counts_of_any_size_return_to_their_places():
+    """Pieces of several lengths, in any order, with counts beyond one and two bytes."""
+    want = np.zeros(40, np.int64)
+    want[[0, 8, 9, 20, 39]] = [1, 127, 128, 40_000, 2**40 + 5]
+    start, found = np.array([0, 9, 10, 21]), [(3, [39]), (0, [0, 8]), (1, [9]), (2, [20])]
+    sizes = {0: 9, 1: 1, 2: 11, 3: 19}
+    bits = [np.packbits(np.isin(np.arange(start[p], start[p] + sizes[p]), at)) for p, at in found]
+    counts, ends = want[[i for _, at in found for i in at]], np.cumsum([0, *(len(at) for _, at in found)])
+    lists = ((counts & 127).astype(np.uint8), (counts >> 7).astype(np.uint8), (counts >> 15).astype(np.uint32))
+    columns = [pa.array([p for p, _ in found]), lmscore.packed(np.concatenate(bits), np.cumsum([0, *map(len, bits)])), *(lmscore.packed(x, ends) for x in lists)]
+    assert (lmscore.answered(pa.table(columns, names=["piece", "at", "low", "high", "rest"]), start, 40) == want).all()
