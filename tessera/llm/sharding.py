@@ -64,7 +64,9 @@ def shard(df: DataFrame, n_shards: int, *, seed: int = 17, rows: int = ROWS) ->
     Rows are dealt to source partitions by a hash of all their columns, at least one partition a core. The counts matrix is drawn on the driver from
     the partitions' counts (at most ``MOST`` of them); each partition permutes its rows by a second hash and gives
     its first rows to shard 0, the next to shard 1 and so on; each shard permutes again by a third hash, in cells
-    whose offsets come from their counts, so no shard has to fit in one task. Everything is a function of seed and
+    whose offsets come from their counts, so no shard has to fit in one task. Rows are exchanged twice, and the first exchange leaves
+    the disk before the second begins; where there are more groups than shuffle partitions, each exchange has a partition a group, so
+    that sorts keep their size. Everything is a function of seed and
     rows: a rerun or a recomputed task gives the same answer. Rows equal in every column are interchangeable (and share a
     source partition: give a table that may repeat one row very often a column of ids). Texts of any length are moved whole; nulls
     are hashed like other values, an empty table stays empty, and columns named shard or slot are replaced.
@@ -89,12 +91,15 @@ def shard(df: DataFrame, n_shards: int, *, seed: int = 17, rows: int = ROWS) ->
     text = json.dumps([{"p": p, "cuts": [sum(row[: s + 1]) for s in range(n_shards)]} for p, row in zip(ids, matrix, strict=True)])
     plan = spark.range(1).select(F.explode(F.from_json(F.lit(text), "array<struct<p:int,cuts:array<bigint>>>")).alias("x")).select(F.col("x.p").alias(part), F.col("x.cuts").alias(cuts))
 
+    def spread(x: DataFrame, groups: int, *by: str) -> DataFrame:
+        return x.repartition(groups, *by) if groups > int(spark.conf.get("spark.sql.shuffle.partitions")) else x
+
     rank = F.row_number().over(Window.partitionBy(part).orderBy(order, again))
     to = F.size(F.filter(F.col(cuts), lambda c: c < F.col(at))).cast("int")
-    sent = dealt.withColumn(at, rank).join(F.broadcast(plan), part).select(*[F.col(f"`{c}`") for c in own], order, again, to.alias("shard"))
-    sent = materialize(sent.withColumn(cell, F.pmod(F.shiftright(F.col(again), 20), F.lit(cells)).cast("int")), "shards")
+    sent = spread(dealt, parts, part).withColumn(at, rank).join(F.broadcast(plan), part).select(*[F.col(f"`{c}`") for c in own], order, again, to.alias("shard"))
+    sent = materialize(sent.withColumn(cell, F.pmod(F.shiftright(F.col(again), 20), F.lit(cells)).cast("int")), "shards", drop_shuffles=True)
 
     held = sent.groupBy("shard", cell).agg(F.count("*").alias(n))
     start = held.select("shard", cell, (F.sum(n).over(Window.partitionBy("shard").orderBy(cell)) - F.col(n)).alias(first))
     place = F.row_number().over(Window.partitionBy("shard", cell).orderBy(again, order))
-    return sent.withColumn(at, place).join(start, ["shard", cell]).select(*[F.col(f"`{c}`") for c in own], "shard", (F.col(first) + F.col(at) - 1).alias("slot"))
+    return spread(sent, n_shards * cells, "shard", cell).withColumn(at, place).join(start, ["shard", cell]).select(*[F.col(f"`{c}`") for c in own], "shard", (F.col(first) + F.col(at) - 1).alias("slot"))

@@ -1,4 +1,6 @@
+import os
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -121,3 +123,30 @@ def test_sharding_query_deals_whole_documents(spark, sf, monkeypatch):
     held = {r.doc_id: (r.text, r.shard, r.slot) for r in shard(table, queries.N_SHARDS).collect()}
     want = {i: (len((t or "").encode()) + 1, None if t is None else zlib.crc32(t.encode()), s, n) for i, (t, s, n) in held.items()}
     assert got == want
+
+
+def test_first_exchange_leaves_the_disk(spark):
+    """Whole rows are exchanged twice; what the first exchange wrote is gone when its rows are dealt to shards."""
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        found = [f for f in str(files.getAllFiles().mkString("\n")).split("\n") if "shuffle_" in f]
+        return {f: os.path.getsize(f) for f in found if os.path.exists(f)}
+
+    rng, before = random.Random(5), shuffled()
+    docs = spark.createDataFrame([(i, rng.randbytes(4000).hex()) for i in range(300)], "doc_id long, text string")
+    out = sharding.shard(docs, 8)
+    size = lambda: sum(n for f, n in shuffled().items() if f not in before)
+    end = time.time() + 10
+    while size() > 300_000 and time.time() < end:
+        time.sleep(0.2)
+    assert size() <= 300_000 and out.count() == 300
+
+
+def test_exchanges_have_a_partition_a_group(docs):
+    """With more groups than shuffle partitions (4 here) a sort gets no more rows as the table grows."""
+    few, many = (sharding.shard(docs.select("doc_id", "text"), 2, rows=rows) for rows in (10_000, 20))
+    cells = -(-docs.count() // 40)
+    assert f"{2 * cells}), REPARTITION_BY_NUM" in many._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" not in few._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.slot for r in many.where("shard = 0").collect()) == list(range(-(-docs.count() // 2)))
