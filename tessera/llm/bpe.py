@@ -6,7 +6,9 @@ import hashlib
 import json
 import re
 from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +28,8 @@ LATIN = r"A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f"
 PLAIN = r"\x00-\x84\x86-\x9f\xa1-\xa9\xab-\xb1\xb4\xb6-\xb8\xbb\xbf-\u024f\u2010-\u2027\u2030-\u205e"
 #: Pieces whose ids a task remembers, and the longest such piece in characters. Others are encoded anew each time.
 REMEMBERED, REMEMBERED_CHARS = 200_000, 64
+#: Pairs of state and token whose answer a walker holds, as a power of two.
+HELD = 18
 #: Longest word in bytes that is walked in step with others; longer ones go alone.
 IN_STEP = 256
 
@@ -183,12 +187,21 @@ class Walker:
         self.page, self.next = _pages(tables)
         self.views = {k: memoryview(x) for k, x in (("page", self.page), ("next", self.next), *((k, tables[k]) for k in ("longest", "shorter", "length", "row", "number", "lacks", "upto")))}
         self.known: dict[int, bool] = {}
+        self.held = np.full(1 << HELD, -1, np.int64)
 
     def has_arcs(self, row: np.ndarray, token: np.ndarray) -> np.ndarray:
-        """Whether the states of these rows have arcs of these tokens."""
-        number = self.t["number"][token]
-        at = np.searchsorted(self.t["lacks"], row.astype(np.int64) << 32 | number, "right") - 1
-        return ~((self.t["lacks"][at] >> 32 == row) & (self.t["upto"][at] > number) & (at >= 0))
+        """Whether the states of these rows have arcs of these tokens. The latest answer of each slot is held beside its
+        question, as most pairs come often; the others are searched for."""
+        asked = row.astype(np.int64) << 31 | token
+        slot = (asked.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - HELD)).view(np.int64)
+        held = self.held[slot]
+        out, new = (held & 1).astype(bool), np.flatnonzero(held >> 1 != asked)
+        if len(new):
+            row, number = row[new], self.t["number"][token[new]]
+            at = np.searchsorted(self.t["lacks"], row.astype(np.int64) << 32 | number, "right") - 1
+            out[new] = ~((self.t["lacks"][at] >> 32 == row) & (self.t["upto"][at] > number) & (at >= 0))
+            self.held[slot[new]] = asked[new] << 1 | out[new]
+        return out
 
     def words(self, words: list[bytes]) -> list[bytes]:
         """Ids of each word as little-endian unsigned 32-bit integers. Short words are walked in step, byte by byte."""
@@ -255,37 +268,42 @@ class Walker:
         return np.array(out[::-1], "<u4").tobytes()
 
 
-class Remembered(dict):
-    """Ids of pieces. What is asked for in vain stands as an empty array until ``settle`` fills it, so that each piece of a
-    text is looked up once. What was there before the table filled up is kept as ``older``."""
+class Remembered:
+    """Ids of numbered pieces: a piece that is asked for in vain gets the next number, and its ids when ``settle`` is called, so
+    each piece of a text is looked up once. What was there before the table filled up is kept as ``older``."""
 
     def __init__(self):
-        super().__init__()
-        self.older, self.new = {}, []
+        self.older, self.older_ids = {}, []
+        self.start()
+
+    def start(self) -> None:
+        self.number, self.ids, self.kept, self.new, self.back = defaultdict(count().__next__), [], 0, [], []
+
+    def numbers(self, pieces: list[str]) -> list[int]:
+        return list(map(self.number.__getitem__, pieces))
 
-    def __missing__(self, key: str) -> bytes | bytearray:
-        if (found := self.older.get(key)) is None:
-            found = bytearray()
-            self.new.append(key)
-        self[key] = found
-        return found
+    def lost(self) -> list[str]:
+        """Pieces that got a number since ``trim`` and that the older table lacks too."""
+        self.new = list(islice(reversed(self.number), len(self.number) - self.kept))[::-1]
+        self.back = list(map(self.older.get, self.new))
+        return [key for key, x in zip(self.new, self.back, strict=True) if x is None]
 
     def settle(self, ids: list[bytes]) -> None:
-        """The ids of ``new``, in its order."""
-        for key, x in zip(self.new, ids, strict=True):
-            self[key].extend(x)
+        """The ids of what was ``lost``, in its order."""
+        made, older = iter(ids), self.older_ids
+        self.ids += [next(made) if x is None else older[x] for x in self.back]
+
+    def joined(self, numbers: list[int]) -> bytes:
+        return b"".join(map(self.ids.__getitem__, numbers))
 
     def trim(self) -> None:
         """Called when the texts that asked are done."""
-        for key in self.new:
-            if len(key) > REMEMBERED_CHARS:
-                del self[key]
-            else:
-                self[key] = bytes(self[key])
-        self.new = []
-        if len(self) > REMEMBERED:
-            self.older = self.copy()
-            self.clear()
+        for key in [key for key in self.new if len(key) > REMEMBERED_CHARS]:
+            self.ids[self.number.pop(key)] = b""
+        self.kept, self.new, self.back = len(self.number), [], []
+        if len(self.ids) > REMEMBERED:
+            self.older, self.older_ids = self.number, self.ids
+            self.start()
 
 
 class Encoder:
@@ -297,7 +315,7 @@ class Encoder:
         self.split = regex.compile(PRE_SPLIT.replace(r"\s", f"[{SPACE}]").replace(f"[^[{SPACE}]", f"[^{SPACE}").replace(r"\S", f"[^{SPACE}]")).findall
         self.chunks = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+").findall
         self.other = re.compile(f"[^{PLAIN}]").search
-        self.plain = re.compile(f" ?[{LATIN}]+|'(?:[stmd]|re|ve|ll)| ?[0-9]+| ?[^{SPACE}{LATIN}0-9]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+").findall
+        self.ascii, self.plain = (re.compile(f" ?[{x}]+|'(?:[stmd]|re|ve|ll)| ?[0-9]+| ?[^{SPACE}{x}0-9]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+").findall for x in ("A-Za-z", LATIN))
         self.found, self.runs = Remembered(), Remembered()
         self.added = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if added else None
         label = list(tables["label"]) + [b""] * (max([i for _, i in added], default=-1) + 1 - len(tables["label"]))
@@ -313,19 +331,22 @@ class Encoder:
         Plain texts are pre-split as they are. In others white-space runs and the words after them are split first, as the
         pre-split never looks past them. What no table holds of all texts is walked at once.
         """
-        found, runs = self.found.__getitem__, self.runs.__getitem__
-        asked = []
-        for text in texts:
-            parts = self.added.split(text) if self.added else [text]
-            asked.append([[self.special[x]] if k % 2 else list(map(runs, self.chunks(x)) if self.other(x) else map(found, self.plain(x))) for k, x in enumerate(parts)])
-        split = [list(map(found, self.split(x))) for x in self.runs.new]
-        self.found.settle(self.walker.words([w.encode() for w in self.found.new]))
-        self.runs.settle([b"".join(x) for x in split])
-        out = [b"".join([b"".join(x) for x in parts]) for parts in asked]
+        asked = [[self._asked(x) if k % 2 == 0 else self.special[x] for k, x in enumerate(self.added.split(text) if self.added else [text])] for text in texts]
+        split = [self.found.numbers(self.split(x)) for x in self.runs.lost()]
+        self.found.settle(self.walker.words([w.encode() for w in self.found.lost()]))
+        self.runs.settle(list(map(self.found.joined, split)))
+        out = [b"".join([x if isinstance(x, bytes) else x[0].joined(x[1]) for x in parts]) for parts in asked]
         self.found.trim()
         self.runs.trim()
         return out
 
+    def _asked(self, text: str) -> tuple[Remembered, list[int]]:
+        if text.isascii():
+            return self.found, self.found.numbers(self.ascii(text))
+        if self.other(text):
+            return self.runs, self.runs.numbers(self.chunks(text))
+        return self.found, self.found.numbers(self.plain(text))
+
     def decode(self, ids: list[np.ndarray]) -> list[str]:
         """The labels of the arcs, as UTF-8 (what isn't is replaced)."""
         every = np.concatenate([np.zeros(0, np.int64), *ids]).astype(np.int64)

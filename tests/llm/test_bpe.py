@@ -107,3 +107,38 @@ def test_long_words(encoder, library):
     words = ["".join(rng.choice("abcdeinrstßж") for _ in range(n)) for n in (1, 2, 255, 256, 257, 5000)]
     assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(words)] == [library.encode(w, add_special_tokens=False).ids for w in words]
     assert encoder.encode([]) == [] and encoder.decode([]) == []
+
+
+def test_pairs_asked_again_are_not_searched_for(encoder, monkeypatch):
+    walker = bpe.Walker(encoder.walker.t)
+    row, token = np.array([0, 5, 9, 700]), np.array([40, 50, 60, 70])
+    first = walker.has_arcs(row, token)
+
+    def fail(*_):
+        raise AssertionError("searched again")
+
+    monkeypatch.setattr(np, "searchsorted", fail)
+    assert (walker.has_arcs(row, token) == first).all()
+
+
+def test_held_answers_that_push_each_other_out(encoder, library, monkeypatch):
+    """Four slots for all pairs: an answer is only used for the pair that it was given to."""
+    monkeypatch.setattr(bpe, "HELD", 2)
+    walker, rng = bpe.Walker(encoder.walker.t), random.Random(9)
+    words = ["".join(rng.choice("abcdeinrstßж") for _ in range(rng.randrange(1, 40))) for _ in range(500)]
+    got = walker.words([w.encode() for w in words])
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [library.encode(w, add_special_tokens=False).ids for w in words]
+
+
+def test_pieces_get_their_ids_after_the_texts_asked(monkeypatch):
+    """New pieces are lost once, long ones are not kept, older ones come back from the table before."""
+    monkeypatch.setattr(bpe, "REMEMBERED", 2)
+    table, long = bpe.Remembered(), "x" * (bpe.REMEMBERED_CHARS + 1)
+    asked = []
+    for pieces in (["a", "b", "a", long], ["a", "c", long], ["c", "b", "d"]):
+        numbers = table.numbers(pieces)
+        asked.append(table.lost())
+        table.settle([x[:2].upper().encode() for x in asked[-1]])
+        assert table.joined(numbers) == "".join(x[:2].upper() for x in pieces).encode()
+        table.trim()
+    assert asked == [["a", "b", long], ["c", long], ["b", "d"]]
